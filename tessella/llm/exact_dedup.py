@@ -59,7 +59,7 @@ class CountingQuotientFilter:
         return cls((np.repeat(occupied, run).astype(np.uint64) << np.uint64(32)) | remainder.astype(np.uint64), counts.astype(np.int64))
 
 
-def _digests(docs: DataFrame, with_text: bool) -> DataFrame:
+def _digests(docs: DataFrame, with_text: bool, row: str | None = None) -> DataFrame:
     """(row, doc_id, fp, text_sha256[, text]) with the text lower-cased in A-Z only; null counts as empty."""
 
     def digest(batches):
@@ -71,7 +71,7 @@ def _digests(docs: DataFrame, with_text: bool) -> DataFrame:
 
     if with_text:
         return arrow_map(docs.select("text"), digest, "fp long, text_sha256 string, text binary")
-    return arrow_map(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "row long, doc_id long, fp long, text_sha256 string")
+    return arrow_map(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), digest, "row long, doc_id long, fp long, text_sha256 string")
 
 
 def repeated_fingerprints(digests: DataFrame, rows: int) -> DataFrame:
@@ -95,18 +95,18 @@ def repeated_fingerprints(digests: DataFrame, rows: int) -> DataFrame:
     return arrow_map(digests.select("fp"), build, "segment long, slots binary").groupBy("segment").applyInPandas(merge, "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs`.
 
     `docs` needs doc_id and text; other columns, whatever their names, are ignored. Texts are equal when
     identical after lower-casing A-Z; a null text equals the empty one. Of equal texts the row with the largest
     doc_id stays (a null doc_id is the smallest); of repeated rows with one doc_id, exactly one. An
-    empty table gives an empty result.
+    empty table gives an empty result. `row` names a column that tells rows apart; without it they are numbered.
 
     Fingerprints counted once by the merged filters are unique without reading their bytes; the others
     go to byte verification, which groups whole texts and stops the job if one SHA-256 has two texts.
     """
-    base = stage(_digests(docs, False), "digests")
+    base = stage(_digests(docs, False, row), "digests")
     rows = base.count()
     repeated = stage(repeated_fingerprints(base, rows), "repeated")
     n = repeated.count()
