@@ -10,7 +10,7 @@ from ..functions.text import IMAGE_SUFFIXES, suffix
 
 def new_images(spark: SparkSession, directory: str) -> DataFrame:
     """A stream of (path, size, modificationTime) of image files as they appear."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(directory)
     return found.filter(suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select("path", F.col("length").alias("size"), "modificationTime")
 
 
