@@ -17,20 +17,21 @@ from .common import arrow_map, stage
 #: Items that one packing task gets, about.
 GROUP_ITEMS = 16_384
 EOD = 2
-_CHUNK = re.compile(r"\n| ?[^ \n]+")
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\s\Z")
+_CHUNK = re.compile(r"\n| ?[^\W\d_]+| ?[^ \n]+")
+_PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _CODERS: dict = {}
 
 
 class Coder:
     """Ids of whole texts from a byte-level BPE file; ids of chunks are kept, as no token crosses a chunk.
 
-    The pre-tokeniser of such files ends a piece before every single space and around every single newline, so
-    a text without other white space falls into chunks that encode alone as they do in place; any
-    other text is encoded whole.
+    The pre-tokeniser of such files ends a piece before every single space, around every single newline and where letters
+    end, so a text without other white space falls into chunks that encode alone as they do in place; any other text
+    is encoded whole. Once `limit` chunks are known, ids of new ones are not kept beyond their text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,24 +43,30 @@ class Coder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether single spaces and single newlines between other characters are all the white space there is."""
+        return not (text[-1:].isspace() or any(x in text for x in _PAIRS) or not text.isascii() and _ODD_SPACE.search(text))
+
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers, an end-of-document id last."""
         end = EOD.to_bytes(4, "little")
         if not text:
             return end
-        if _ODD_SPACE.search(text):
+        if not self._plain(text):
             return self._encode([text])[0] + end
         chunks = _CHUNK.findall(text)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks)) + end
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self._encode(new)))
-            return b"".join(map(known.__getitem__, chunks)) + end
+        found = list(map(known.get, chunks))
+        if None in found:
+            places = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys(chunks[i] for i in places))
+            fresh = dict(zip(new, self._encode(new)))
+            if len(known) < self.limit:
+                known.update(fresh)
+            for i in places:
+                found[i] = fresh[chunks[i]]
+        return b"".join(found) + end
 
 
 def coder(path: str) -> Coder:
