@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage
+from .common import BROADCAST_ROWS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
 
 #: Entries that one bucket of the frequency check holds, about.
 BUCKET_ENTRIES = 1_000_000
+#: Sets beyond which a signature is costly to look up.
+COSTLY = 16
 #: Sets that are compared with all others at once when their signatures can't meet the error budget.
 BLOCK_SETS = 512
 
@@ -51,7 +53,7 @@ class Scheme:
 
     def extra(self, n: int) -> int:
         """Tokens beyond the first that two linked sets must share within their leading tokens."""
-        return 1 + n // 20
+        return 1 + n // 8
 
     def leading(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
@@ -70,54 +72,70 @@ class Scheme:
 
     @staticmethod
     def deletable(place: np.ndarray, m: int) -> np.ndarray:
-        """Segments whose one-deletion neighbourhoods are indexed: all of a small scheme, an eighth of a large one."""
+        """Segments that can be looked up with one token more or less: all of a small scheme, an eighth of a large one.
+
+        Only one with two tokens or more is, so that what is left after a deletion is never empty, a signature of most sets;
+        hence one-deletion neighbourhoods are indexed from three tokens on.
+        """
         return np.ones(len(place), bool) if m <= 16 else place % 8 == 0
 
     @staticmethod
     def signature(place, total, kind: int, s: int) -> np.ndarray:
         return mix(total + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(kind) + (np.uint64(s + 1) << np.uint64(40))))
 
-    def probe(self, n: int, s: int, m: int, place: np.ndarray, count: np.ndarray):
-        """(segments to look up as equal, segments to look up with one token more or less, met) for a probe.
+    def need(self, n: int, s: int) -> int:
+        """Units that a set of n tokens needs to find any larger set within the band of scheme s; 0 if none can link."""
+        low, high = (n if s == self.band(n) else self.edge(s)), min(self.edge(s + 1) - 1, n * self.den // self.num)
+        return self.budget(n, high) + 1 if high >= low else 0
 
-        Costs: an equal look-up is one signature and the rarer the more tokens the segment has; an allowance of one
-        costs a signature for each token. Empty segments, which many sets share, are never looked up.
-        """
-        low, high = (n, self.edge(s + 1) - 1) if s == self.band(n) else (self.edge(s), self.edge(s + 1) - 1)
-        high = min(high, n * self.den // self.num)
-        if high < low:
-            return None
-        need = self.budget(n, high) + 1
-        if len(place) >= need:
-            return np.argsort(-count, kind="stable")[:need], np.empty(0, np.int64), True
-        able = np.flatnonzero(self.deletable(place, m))
-        able = able[np.argsort(count[able], kind="stable")][: need - len(place)]
-        return np.arange(len(place)), able, len(place) + len(able) >= need
+    def lookups(self, tokens: np.ndarray):
+        """For the own scheme and the next: (units needed, its place, equal signatures, segments that can be looser, whose they are, looser signatures).
 
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, bool]:
-        """(signatures of a set under which it is found and looks for others, whether its budgets are met)."""
-        n, out, met = len(tokens), [], True
-        own = self.band(n)
-        for s in (own, own + 1):
+        A segment looked up as equal is a unit and one signature, one looked up with one token more or less is two
+        units and a signature more for each of its tokens and for itself. Empty segments, which many sets share, are never looked up.
+        """
+        for s in (self.band(len(tokens)), self.band(len(tokens)) + 1):
             m, place, total, count, value, starts = self.segments(tokens, s)
             of = np.repeat(np.arange(len(place)), count)  # the segment of each token
-            found = self.probe(n, s, m, place, count)
-            if s == own:
-                out.append(self.signature(place, total, 0, s))
-                able = self.deletable(place, m)[of]
+            loose = self.deletable(place, m) & (count >= 2)
+            those = loose[of]
+            looser = np.concatenate([self.signature(place[loose], total[loose], 1, s), self.signature(place[of[those]], total[of[those]] - value[those], 0, s)])
+            yield s, self.need(len(tokens), s), place, total, count, value, of, m, self.signature(place, total, 0, s), loose, np.concatenate([np.flatnonzero(loose), of[those]]), looser
+
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, bool]:
+        """(signatures under which a set is found and may look for others, whether they are enough for its budgets)."""
+        out, met = [], True
+        for s, need, place, total, count, value, of, m, equal, loose, _, looser in self.lookups(tokens):
+            if s == self.band(len(tokens)):
+                able = (self.deletable(place, m) & (count >= 3))[of]
                 out.append(self.signature(place[of[able]], total[of[able]] - value[able], 1, s))
-            if found is None:
+            elif not need:
                 continue
-            equal, loose, enough = found
-            met &= enough
-            if s != own:
-                out.append(self.signature(place[equal], total[equal], 0, s))
-            if len(loose):
-                out.append(self.signature(place[loose], total[loose], 1, s))
-                those = np.isin(of, loose)
-                out.append(self.signature(place[of[those]], total[of[those]] - value[those], 0, s))
+            out += [equal, looser]
+            met &= len(place) + int(loose.sum()) >= need
         return np.unique(np.concatenate(out)), met
 
+    def unavoidable(self, tokens: np.ndarray, costly: np.ndarray) -> np.ndarray:
+        """Of the costly signatures those that a set must look up, as the others aren't enough for its budgets.
+
+        Cost-based allocation: segments that cost nothing first, then loosening that costs nothing, then costly segments, then
+        costly loosening.
+        """
+        out = []
+        for _, need, place, _, _, _, _, _, equal, loose, owner, looser in self.lookups(tokens):
+            dear = np.isin(equal, costly)
+            dear_looser = np.isin(looser, costly)
+            dear_loose = np.zeros(len(place), bool)
+            dear_loose[owner[dear_looser]] = True
+            missing = need - int((~dear).sum()) - int((loose & ~dear & ~dear_loose).sum())
+            if missing <= 0:
+                continue
+            taken = np.flatnonzero(dear)[:missing]
+            out.append(equal[taken])
+            if missing > len(taken):
+                out.append(looser[dear_looser])
+        return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
 
 def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in (tokens, mix(tokens + np.uint64(1))))
@@ -253,6 +271,52 @@ def _hard_links(tokens: DataFrame, scheme: Scheme) -> DataFrame | None:
     return reduce(DataFrame.unionByName, out) if out else None
 
 
+def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, allocate: bool = True) -> list[DataFrame]:
+    """Verified links among the ids that share a signature, enough to connect every linked pair that collides.
+
+    `signed` has (sig, id, n), `tokens` (id, tokens). No group is gathered: pivots are minima by key, members join them. With
+    `allocate` the signatures are those of `scheme`, and of one that several components and many ids share only the ids that
+    can't do without it look for others there.
+    """
+    pivots = signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("many")).filter("pivot < last").select("sig", "pivot", "many")
+    multi = stage(signed.join(pivots, "sig"), "multi")
+
+    # First each set against the one pivot that shares most signatures with it.
+    stars = multi.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"))
+    tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("a")).select("a", F.col("id").alias("b")), "tried")
+    links = stage(_verified(tried, tokens, scheme), "links")
+    label = stage(components(links), "label")
+
+    # Then, in signatures that still hold several components, pairs across components.
+    named = multi.join(maybe_broadcast(label.withColumnRenamed("node", "id"), label.count()), "id", "left").select("sig", "id", "n", "many", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("sig")
+    open_ = stage(named.join(mixed, "sig"), "open")
+    costly = (F.col("many") > COSTLY) if allocate else F.lit(False)
+    a, b = (open_.filter(~costly).select("sig", F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
+    pairs = a.join(b, "sig").filter("a < b AND c_a <> c_b").filter(_compatible(scheme, "n_a", "n_b")).select("a", "b")
+    staged = [multi, tried, label, open_]
+    if allocate:
+
+        def choose(batches):
+            for batch in batches:
+                sig, ids, n = [], [], []
+                for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
+                    still = scheme.unavoidable(np.frombuffer(data, "<u8"), np.array(dear, np.int64).view(np.uint64))
+                    sig.append(still.view(np.int64)), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k))
+                yield {"sig": np.concatenate(sig), "id": np.concatenate(ids), "n": np.concatenate(n)} if sig else {"sig": [], "id": [], "n": []}
+
+        dear = open_.filter(costly).groupBy("id").agg(F.collect_list("sig").alias("dear"))  # of one set
+        asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, id long, n long"), "asks")
+        askers = asks.join(label.withColumnRenamed("node", "id"), "id", "left").select("sig", F.col("id").alias("p"), F.col("n").alias("n_p"), F.coalesce("component", "id").alias("c_p"))
+        asked = open_.filter(costly).select("sig", "id", "n", "c").join(askers, "sig").filter("c <> c_p AND (n > n_p OR n = n_p AND id > p)").filter(_compatible(scheme, "n", "n_p"))
+        pairs = pairs.unionByName(asked.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")))
+        staged.append(asks)
+    across = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    more = stage(_verified(across, tokens, scheme), "links")
+    unstage(*staged)
+    return [links, more]
+
+
 def jaccard_links(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(sets, links) of the exact Jaccard self-join of the word-shingle sets of `docs`.
 
@@ -261,14 +325,16 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100
     connected, as a set that already reached another through verified links isn't compared again.
     """
     scheme = Scheme(num, den)
-    measured = stage(_sets(docs, scheme, width), "sets")
+    led = stage(_sets(docs, scheme, width), "sets")
+    measured = stage(led.drop("lead"), "sizes")
     groups = measured.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    lead_entries = measured.agg(F.sum(F.length("lead") / 6)).first()[0] or 0
+    lead_entries = led.agg(F.sum(F.length("lead") / 6)).first()[0] or 0
     bits = max(4, math.ceil(math.log2(lead_entries / BUCKET_ENTRIES + 1)))
-    shared = _shared_leading(measured.filter("n > 0"), bits)
-    enough = 1 + F.floor(F.ceil(F.col("n") * num / den) / 20)
+    shared = _shared_leading(led.filter("n > 0"), bits)
+    enough = 1 + F.floor(F.ceil(F.col("n") * num / den) / 8)
     alive = stage(groups.join(shared, "h1").filter(F.col("rep").isNotNull() & (F.col("shared") >= enough)), "alive")
     n_alive = alive.count()
+    unstage(led)
 
     def tokenise(batches):
         for b in batches:
@@ -290,28 +356,12 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100
             yield {"sig": np.concatenate(own) if own else [], "id": np.repeat(b["id"].to_numpy(), times), "n": np.repeat(b["n"].to_numpy(), times)}
 
     signed = arrow_map(tokens.select("id", "n", "tokens"), sign, "sig long, id long, n long")
-    pivots = signed.groupBy("sig").agg(F.min(F.struct("n", "id")).alias("p"), F.max("id").alias("last"), F.min("id").alias("first")).filter("first < last").select("sig", "p")
-    pivots = stage(pivots, "pivots")
-
-    # First each set against the one pivot that shares most signatures with it.
-    stars = signed.join(pivots, "sig").filter("id <> p.id").filter(_compatible(scheme, "n", "p.n")).groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("c"))
-    tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "tried")
-    links = stage(_verified(tried, tokens, scheme), "links")
-    label = stage(components(links), "label")
-
-    # Then, in signatures that still hold several components, every pair across components.
-    named = signed.join(pivots.select("sig"), "sig").join(label.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
-    named = stage(named, "named")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("sig")
-    open_ = stage(named.join(mixed, "sig"), "open")
-    a, b = (open_.select("sig", F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-    across = a.join(b, "sig").filter("a < b AND c_a <> c_b").filter(_compatible(scheme, "n_a", "n_b")).select("a", "b").distinct()
-    across = across.join(tried, ["a", "b"], "left_anti")
-    found = [links, stage(_verified(across, tokens, scheme), "links")]
+    found = colliding_links(signed, tokens, scheme)
     hard = _hard_links(tokens, scheme)
     if hard is not None:
         found.append(stage(hard, "links"))
-    reps = measured.select("doc_id", "n", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"], "left")
+    unstage(tokens, alive)
+    reps = measured.join(groups.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     return reps.select("doc_id", "n", "h1", "h2", "rep"), reduce(DataFrame.unionByName, found)
 
 
@@ -325,6 +375,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, de
     """
     sets, links = jaccard_links(docs, width, num, den)
     label = stage(components(links), "label")
+    unstage(links)
     label = maybe_broadcast(label, label.count())
     out = sets.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, sharding
+from . import decontaminate, exact_dedup, html_extraction, language_id, ngram_join, packing, sharding, substring_dedup, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -19,6 +19,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_benchmark_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -35,15 +39,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op7_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_substring_dedup, op9_sharding)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
