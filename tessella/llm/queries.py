@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extraction, language_id, ngram_join, packing, sharding, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extraction, language_id, ngram_join, packing, pii, sharding, substring_dedup, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -55,7 +55,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_substring_dedup, op9_sharding)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_substring_dedup, op9_sharding, op10_pii)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
