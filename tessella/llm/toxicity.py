@@ -116,13 +116,21 @@ def _counts(rows: DataFrame, wanted: set[str] | None, least: int) -> dict[str, i
     return {r[0]: r[1] for r in total.filter(F.col("n") >= least).collect()}
 
 
+def _surprise(toxic: int, clean: int, share: float) -> float:
+    """Chernoff's bound on how unlikely it is that of toxic + clean documents so many are toxic by chance, as -log of the probability."""
+    n, p = toxic + clean, toxic / (toxic + clean)
+    if p <= share or share == 0:
+        return 0.0
+    return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
+
+
 def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: int = LEXICON_ENTRIES) -> Lexicon:
     """A lexicon from (doc_id, text, toxic); null labels are left out, null texts are empty.
 
     Of more than `sample` documents those with the smallest hashes of doc_id are used, about `sample` of them; near copies,
     told by the smallest word hash and the first words, count once. An entry's weight is its smoothed log odds; entries
-    must be in enough toxic documents, and one that only lengthens another without being in other documents replaces
-    it. Exceptions are two-word phrases around an entry that only documents that aren't toxic have. The curve is fitted by
+    must be in enough toxic documents for less than one of all tried to be there by chance, and of two where one only lengthens the
+    other and is in as many documents the longer one is taken. Exceptions are two-word phrases around an entry that only documents that aren't toxic have. The curve is fitted by
     logistic regression on the sample's features.
     """
     rows = labelled.filter("toxic IS NOT NULL")
@@ -146,12 +154,14 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: in
     with1 = _counts(kept.filter("toxic = 1"), None, least)
     with0 = _counts(kept.filter("toxic = 0"), set(with1), 1)
     odds = {e: math.log((c + 0.5) / (n1 + 1) * (n0 + 1) / (with0.get(e, 0) + 0.5)) for e, c in with1.items()}
-    ranked = sorted((e for e, w in odds.items() if w >= 2.5), key=lambda e: (-with1[e] * odds[e], -len(e), e))
+    sure = math.log(max(len(with1), 2))
+    sound = (e for e, w in odds.items() if w >= 2.5 and _surprise(with1[e], with0.get(e, 0), n1 / (n1 + n0)) >= sure)
+    ranked = sorted(sound, key=lambda e: (-with1[e] * odds[e], -len(e), e))
     weights: dict[str, float] = {}
     for e in ranked:
         if len(weights) == entries:
             break
-        if not any(e.startswith(x) for x in weights):
+        if not any(e.startswith(x) or x.startswith(e) and (with1[x], with0.get(x)) == (with1[e], with0.get(e)) for x in weights):
             weights[e] = round(odds[e], 4)
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(kept, lexicon, entries)
