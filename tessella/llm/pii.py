@@ -145,14 +145,15 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
     for attempt in range(attempts):
         if not n:
             break
-        drawn = stage(todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("gender"), key, attempt)), "drawn")
-        known = entities.select("kind", F.col("canonical").alias("surrogate"))
+        drawn = todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("gender"), key, attempt))
+        drawn = stage(drawn.withColumn("low", F.lower("surrogate")), "drawn")
+        known = entities.select("kind", F.col("canonical").alias("low"))
         for x in accepted:
-            known = known.unionByName(x.select("kind", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).join(known.withColumn("surrogate", F.lower("surrogate")), ["kind", "surrogate"], "left_anti")
-        won = stage(drawn.join(first, ["kind", "surrogate", "canonical"], "left_semi"), "won")
+            known = known.unionByName(x.select("kind", "low"))
+        first = drawn.groupBy("kind", "low").agg(F.min("canonical").alias("canonical")).join(known, ["kind", "low"], "left_anti")
+        won = stage(drawn.join(first, ["kind", "low", "canonical"], "left_semi"), "won")
         accepted.append(won)
-        todo = drawn.drop("surrogate").join(won, ["kind", "canonical"], "left_anti")
+        todo = drawn.drop("surrogate", "low").join(won, ["kind", "canonical"], "left_anti")
         n -= won.count()
     if n:
         raise RuntimeError(f"{n} entities found no surrogate of their own in {attempts} attempts")
