@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stage
+from .common import arrow_map, mix, stage
 
 #: Items that one packing task gets, about.
 GROUP_ITEMS = 16_384
@@ -152,7 +152,7 @@ def _fitter(turn: int, last: bool, capacity: int):
         gap = len(used) - lower_bound(sizes, capacity)
         opened = np.zeros(len(used), bool)
         if not last:
-            opened[np.argsort(used, kind="stable")[: gap + 1]] = True
+            opened[np.argsort(used, kind="stable")[: gap + 1 + len(used) // 8]] = True
             opened &= used < capacity
         order = np.argsort(bins, kind="stable")
         running = np.cumsum(sizes[order]) - sizes[order]
@@ -167,10 +167,10 @@ def _fitter(turn: int, last: bool, capacity: int):
 def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(row, piece, sequence_id, offset): bins for (row, piece, length), with as few bins as the rounds reach.
 
-    Full pieces are bins of their own. The others are dealt by hash to groups of about `group_items`; each is packed
-    by best-fit decreasing. A group whose bins equal its dual-feasible bound is certified and only its
-    one emptiest bin, if not full, goes on; of a group with a gap as many of its emptiest bins as the gap has,
-    and one more, are opened. Opened pieces are dealt anew to fewer groups, so that groups exchange
+    Full pieces are bins of their own. The others are dealt to groups of about `group_items`, those of one batch in turn
+    by size, so that all groups get like mixtures of sizes; each is packed
+    by best-fit decreasing and holds its bins against its dual-feasible bound. The emptiest eighth of its bins is opened, and as many
+    more as its bins exceed the bound by. Opened pieces are dealt anew to fewer groups, so that groups exchange
     documents, and packed again; the last round closes all. Every group is of bounded size.
     """
     full = items.filter(F.col("length") >= capacity).select("row", "piece", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -183,7 +183,15 @@ def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4, group_items: i
         groups = max(1, math.ceil(n / group_items))
         last = turn == rounds - 1 or groups == 1
 
-        dealt = pool.withColumn("g", F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(groups)))
+        def deal(batches, groups=groups, salt=np.uint64(turn)):
+            for b in batches:
+                row, length = b["row"].to_numpy(), b["length"].to_numpy()
+                place = np.empty(len(row), np.int64)
+                place[np.lexsort((b["piece"].to_numpy(), row, length))] = np.arange(len(row))
+                first = int(mix(row[:1].view(np.uint64) + salt)[0] % np.uint64(groups)) if len(row) else 0
+                yield {"row": row, "piece": b["piece"], "length": length, "g": (place + first) % groups}
+
+        dealt = arrow_map(pool, deal, "row long, piece int, length long, g long")
         packed = stage(dealt.groupBy("g").applyInPandas(_fitter(turn, last, capacity), "row long, piece int, length long, sequence_id long, offset long, opened boolean"), "packed")
         done.append(packed.filter("NOT opened").select("row", "piece", "sequence_id", "offset"))
         if last:
