@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _WORDS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
+from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
 from .ngram_join import Scheme, colliding_links
 
-#: Words of the smallest paragraph or piece that is compared, and of the shortest passage that is reported.
-MIN_UNIT_WORDS = 8
+#: Words on either side that decide whether a piece ends at a word, and of the longest piece.
+REACH = 4
 MAX_UNIT_WORDS = 40
-MIN_PASSAGE_WORDS = 20
+#: Words of the shortest passage that is reported, and of the shortest paragraph that is compared.
+MIN_PASSAGE_WORDS = 16
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -29,26 +30,25 @@ def tune_bands(similarity: float, recall: float, most_rows: int = 32) -> tuple[i
     raise ValueError("no bands within the limit reach that recall")
 
 
-def _pieces(words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last + 1) of content-defined pieces: a piece ends after a word whose hash is 0 modulo 8, once it has enough words, and after 40 words.
+def _pieces(hashes: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of content-defined pieces: one begins where the hash of three words is the least of all within `REACH` places, and after 40 words.
 
-    Ends depend on the words alone, so that a passage copied into other text falls into the same pieces there.
+    Where pieces begin depends on the words near it alone, so that a passage copied into other text falls into the same
+    pieces there, but for a few words at its ends.
     """
-    out, start = [], 0
-    ends = (mix(hashes) & np.uint64(7)) == 0
-    for i in np.flatnonzero(ends).tolist():
-        while i + 1 - start > MAX_UNIT_WORDS:  # a run of one word, most often
-            out.append((start, start + MAX_UNIT_WORDS))
-            start += MAX_UNIT_WORDS
-        if i + 1 - start >= MIN_UNIT_WORDS:
-            out.append((start, i + 1))
-            start = i + 1
-    while len(words) - start > MAX_UNIT_WORDS:
-        out.append((start, start + MAX_UNIT_WORDS))
-        start += MAX_UNIT_WORDS
-    if len(words) - start >= MIN_UNIT_WORDS:
-        out.append((start, len(words)))
-    return out
+    n = len(hashes)
+    m = n - 2
+    cuts = np.empty(0, np.int64)
+    if m > 2 * REACH:
+        three = mix(hashes[:m] * _POWERS[0] + hashes[1 : m + 1] * _POWERS[1] + hashes[2:] * _POWERS[2])
+        middle = three[REACH : m - REACH]
+        least = np.ones(len(middle), bool)
+        for shift in range(-REACH, REACH + 1):
+            if shift:
+                least &= middle < three[REACH + shift : m - REACH + shift]
+        cuts = np.flatnonzero(least) + REACH
+    cuts = [0, *cuts.tolist(), n]
+    return [(at, min(at + MAX_UNIT_WORDS, y)) for x, y in zip(cuts, cuts[1:]) for at in range(x, y, MAX_UNIT_WORDS)]
 
 
 def _content(hashes: np.ndarray) -> int:
@@ -83,12 +83,12 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 low = raw.translate(_LOWER)
                 words = low.split()
                 h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-                for x, y in _pieces(words, h):
+                for x, y in _pieces(h):
                     add(d, "piece", spans[x][0], spans[y][0] if y < len(spans) else spans[y - 1][1], y - x, _content(h[x:y]), 0, None)
                 begins = np.fromiter((s[0] for s in spans), np.int64, len(spans))
                 for m in re.finditer(rb"[^\n]+", raw):
                     x, y = np.searchsorted(begins, m.span())
-                    if y - x >= MIN_UNIT_WORDS:
+                    if y - x >= MIN_PASSAGE_WORDS:
                         s = shingle_hashes(m[0].decode("utf-8", "surrogatepass"))
                         least = np.array([mix(s ^ seed).min() for seed in seeds], np.uint64).reshape(bands, rows)
                         keys = mix(least.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -96,7 +96,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield out
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(source, cut, "doc_id long, kind string, start long, end long, words int, content long, n int, keys array<long>")
+    return arrow_map(source, cut, "doc_id long, kind string, start int, end int, words int, content long, n int, keys array<long>")
 
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
                 left = set(contents)
                 for line in _LINE.findall(t or ""):
                     words = line.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                    if left and len(words) >= MIN_UNIT_WORDS:
+                    if left and len(words) >= MIN_PASSAGE_WORDS:
                         c = _content(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
                         if c in left:
                             left.discard(c)
@@ -124,10 +124,10 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
 def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100), recall: float = 0.995, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, component, keep_doc_id, removed): passages that stand in several documents.
 
-    Paragraphs (lines) of at least eight words collide when a band of their MinHash values is equal, the bands being tuned to find a
+    Paragraphs (lines) of at least 16 words collide when a band of their MinHash values is equal, the bands being tuned to find a
     pair of the given Jaccard similarity of five-word shingles with probability `recall`. Collisions are verified exactly
-    and connected paragraphs form components. Within lines, content-defined pieces of at least eight words are compared
-    as wholes, so that a passage inside a longer line is found too. What stands in two or more documents is kept
+    and connected paragraphs form components. Content-defined pieces of about nine words are compared
+    as wholes, so that a passage inside longer lines or across lines is found too, but for a few words at its ends. What stands in two or more documents is kept
     in that with the smallest doc_id and removed in the others. Repeated units that touch form a passage; those of
     fewer than `min_words` words, such as licence lines, are left alone.
 
@@ -161,8 +161,8 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= before + 2, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     passages = marks.withColumn("island", island).groupBy("doc_id", "removed", "island").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
         F.greatest(F.sum(F.when(F.col("level") == 0, F.col("words")).otherwise(0)), F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0))).cast("long").alias("n_words"),
         F.min("component").alias("component"),
         F.min("keep").alias("keep_doc_id"),
