@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
+from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, stage, unstage
 from .ngram_join import Scheme, colliding_links
 
 #: Words on either side that decide whether a piece ends at a word, and of the longest piece.
@@ -17,8 +16,6 @@ REACH = 4
 MAX_UNIT_WORDS = 40
 #: Words of the shortest passage that is reported, and of the shortest paragraph that is compared.
 MIN_PASSAGE_WORDS = 16
-_LINE = re.compile(r"[^\n]+")
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def tune_bands(similarity: float, recall: float, most_rows: int = 32) -> tuple[int, int]:
@@ -30,15 +27,15 @@ def tune_bands(similarity: float, recall: float, most_rows: int = 32) -> tuple[i
     raise ValueError("no bands within the limit reach that recall")
 
 
-def _pieces(hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last + 1) of content-defined pieces: one begins where the hash of three words is the least of all within `REACH` places, and after 40 words.
+def _pieces(hashes: np.ndarray) -> np.ndarray:
+    """Where content-defined pieces begin: where the hash of three words is the least of all within `REACH` places, and after 40 words.
 
     Where pieces begin depends on the words near it alone, so that a passage copied into other text falls into the same
     pieces there, but for a few words at its ends.
     """
     n = len(hashes)
     m = n - 2
-    cuts = np.empty(0, np.int64)
+    cuts = np.zeros(1, np.int64)
     if m > 2 * REACH:
         three = mix(hashes[:m] * _POWERS[0] + hashes[1 : m + 1] * _POWERS[1] + hashes[2:] * _POWERS[2])
         middle = three[REACH : m - REACH]
@@ -46,16 +43,45 @@ def _pieces(hashes: np.ndarray) -> list[tuple[int, int]]:
         for shift in range(-REACH, REACH + 1):
             if shift:
                 least &= middle < three[REACH + shift : m - REACH + shift]
-        cuts = np.flatnonzero(least) + REACH
-    cuts = [0, *cuts.tolist(), n]
-    return [(at, min(at + MAX_UNIT_WORDS, y)) for x, y in zip(cuts, cuts[1:]) for at in range(x, y, MAX_UNIT_WORDS)]
-
-
-def _content(hashes: np.ndarray) -> int:
-    """A hash of a sequence of words, as a signed 64-bit number."""
-    n = len(hashes)
-    places = mix(np.arange(1, n + 1, dtype=np.uint64))
-    return int(mix(np.array([(mix(hashes) * places).sum(dtype=np.uint64) + np.uint64(n)], np.uint64)).view(np.int64)[0])
+        cuts = np.r_[cuts, np.flatnonzero(least) + REACH]
+    parts = -(-np.diff(np.r_[cuts, n]) // MAX_UNIT_WORDS)
+    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(cuts, parts) + within * MAX_UNIT_WORDS
+
+
+def _contents(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes, as signed 64-bit numbers, of the sequences of words that begin at `starts` and end where the next begins."""
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    places = np.arange(len(hashes)) - np.repeat(starts, sizes) + 1
+    total = np.add.reduceat(mix(hashes) * mix(places.astype(np.uint64)), starts)
+    return mix(total + sizes.astype(np.uint64)).view(np.int64)
+
+
+class Words:
+    """The words of a text: their hashes, lower-cased in A-Z, their places in the UTF-8 bytes, and where lines begin among them."""
+
+    def __init__(self, text: str):
+        raw = text.encode("utf-8", "surrogatepass")
+        self.hashes = np.fromiter(map(_WORDS.__getitem__, raw.translate(_LOWER).split()), np.uint64)
+        data = np.frombuffer(raw, np.uint8)
+        space = np.r_[True, (data == 32) | ((data >= 9) & (data <= 13)), True]
+        self.starts, self.ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        line = np.searchsorted(np.flatnonzero(data == 10), self.starts)
+        self.lines = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
+
+    def shingles(self, width: int = 5) -> np.ndarray:
+        """Hashes of the shingles at each word but the last few, equal to those of `shingle_hashes`."""
+        n = len(self.hashes) - width + 1
+        total = np.full(max(n, 0), np.uint64(width), np.uint64)
+        for j in range(width if n > 0 else 0):
+            total += self.hashes[j : n + j] * _POWERS[j]
+        return mix(total)
+
+    def long_lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, last + 1, content) of the lines that are compared."""
+        stop = np.r_[self.lines[1:], len(self.hashes)]
+        keep = stop - self.lines >= MIN_PASSAGE_WORDS
+        return self.lines[keep], stop[keep], _contents(self.hashes, self.lines)[keep]
 
 
 def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -64,36 +90,39 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     start and end are byte places in the UTF-8 text; keys, of paragraphs only, are the band keys of its MinHash values.
     """
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    keyed = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def batch(kind, ids, starts, ends, words, contents, n, keys):
+        sizes = [len(x) for x in starts]
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+        count = sum(sizes)
+        lists = pa.nulls(count, pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(join(keys, np.int64)))
+        return {
+            "doc_id": np.repeat(np.array(ids, np.int64), sizes), "kind": [kind] * count, "start": join(starts, np.int32), "end": join(ends, np.int32),
+            "words": join(words, np.int32), "content": join(contents, np.int64), "n": join(n, np.int32) if n else np.zeros(count, np.int32), "keys": lists,
+        }
 
     def cut(batches):
         for b in batches:
-            out = {k: [] for k in ("doc_id", "kind", "start", "end", "words", "content", "n", "keys")}
-
-            def add(*values, out=out):
-                for k, v in zip(out, values):
-                    out[k].append(v)
-
+            pieces, lines = [[] for _ in range(5)], [[] for _ in range(7)]
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                if not t:
-                    continue
-                raw = t.encode("utf-8", "surrogatepass")
-                spans = [m.span() for m in _WORD.finditer(raw)]
-                if not spans:
+                w = Words(t)
+                if not len(w.hashes):
                     continue
-                low = raw.translate(_LOWER)
-                words = low.split()
-                h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-                for x, y in _pieces(h):
-                    add(d, "piece", spans[x][0], spans[y][0] if y < len(spans) else spans[y - 1][1], y - x, _content(h[x:y]), 0, None)
-                begins = np.fromiter((s[0] for s in spans), np.int64, len(spans))
-                for m in re.finditer(rb"[^\n]+", raw):
-                    x, y = np.searchsorted(begins, m.span())
-                    if y - x >= MIN_PASSAGE_WORDS:
-                        s = shingle_hashes(m[0].decode("utf-8", "surrogatepass"))
-                        least = np.array([mix(s ^ seed).min() for seed in seeds], np.uint64).reshape(bands, rows)
-                        keys = mix(least.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        add(d, "paragraph", int(spans[x][0]), int(spans[y - 1][1]), int(y - x), _content(h[x:y]), len(s), keys.view(np.int64).tolist())
-            yield out
+                first = _pieces(w.hashes)
+                for to, x in zip(pieces, (d, w.starts[first], np.r_[w.starts[first[1:]], w.ends[-1]], np.diff(np.r_[first, len(w.hashes)]), _contents(w.hashes, first))):
+                    to.append(x)
+                x, y, content = w.long_lines()
+                if len(x):
+                    s = w.shingles()
+                    n = np.array([len(np.unique(s[i : j - 4])) for i, j in zip(x.tolist(), y.tolist())])
+                    cuts = np.stack([x, y - 4], axis=1).ravel()
+                    least = np.stack([np.minimum.reduceat(np.r_[mix(s ^ seed), np.uint64(0)], cuts)[::2] for seed in seeds], axis=1).reshape(len(x), bands, rows)
+                    keys = mix(least.sum(axis=2, dtype=np.uint64) + keyed).view(np.int64).ravel()
+                    for to, v in zip(lines, (d, w.starts[x], w.ends[y - 1], y - x, content, n, keys)):
+                        to.append(v)
+            yield batch("piece", *pieces, None, None)
+            yield batch("paragraph", *lines)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return arrow_map(source, cut, "doc_id long, kind string, start int, end int, words int, content long, n int, keys array<long>")
@@ -107,14 +136,12 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
         for b in batches:
             ids, tokens = [], []
             for t, contents in zip(b["text"].to_pylist(), b["contents"].to_pylist()):
-                left = set(contents)
-                for line in _LINE.findall(t or ""):
-                    words = line.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                    if left and len(words) >= MIN_PASSAGE_WORDS:
-                        c = _content(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
-                        if c in left:
-                            left.discard(c)
-                            ids.append(c), tokens.append(shingle_hashes(line).astype("<u8").tobytes())
+                left, w = set(contents), Words(t or "")
+                shingles = w.shingles()
+                for x, y, c in zip(*(v.tolist() for v in w.long_lines())) if len(w.hashes) else ():
+                    if c in left:
+                        left.discard(c)
+                        ids.append(c), tokens.append(np.unique(shingles[x : y - 4]).astype("<u8").tobytes())
             yield {"id": ids, "tokens": tokens}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(own, n_wanted), "doc_id").select("text", "contents")
