@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, stage, unstage
-from .ngram_join import Scheme, colliding_links
+from .ngram_join import COSTLY, Scheme, _hard_links, colliding_links
 
 #: Words on either side that decide whether a piece ends at a word, and of the longest piece.
 REACH = 4
@@ -18,10 +20,10 @@ MAX_UNIT_WORDS = 40
 MIN_PASSAGE_WORDS = 16
 
 
-def tune_bands(similarity: float, recall: float, most_rows: int = 32) -> tuple[int, int]:
-    """(bands, rows) with the fewest bands that find a pair of that similarity with that probability; ties: more rows."""
-    for bands in range(1, most_rows + 1):
-        for rows in range(most_rows // bands, 0, -1):
+def tune_bands(similarity: float, recall: float, values: int = 16) -> tuple[int, int]:
+    """(bands, rows) with the most rows, for the fewest false collisions, that find a pair of that similarity with that probability within so many hash values."""
+    for rows in range(values, 0, -1):
+        for bands in range(1, values // rows + 1):
             if 1 - (1 - similarity**rows) ** bands >= recall:
                 return bands, rows
     raise ValueError("no bands within the limit reach that recall")
@@ -89,7 +91,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     start and end are byte places in the UTF-8 text; keys, of paragraphs only, are the band keys of its MinHash values.
     """
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     keyed = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def batch(kind, ids, starts, ends, words, contents, n, keys):
@@ -117,7 +119,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     s = w.shingles()
                     n = np.array([len(np.unique(s[i : j - 4])) for i, j in zip(x.tolist(), y.tolist())])
                     cuts = np.stack([x, y - 4], axis=1).ravel()
-                    least = np.stack([np.minimum.reduceat(np.r_[mix(s ^ seed), np.uint64(0)], cuts)[::2] for seed in seeds], axis=1).reshape(len(x), bands, rows)
+                    least = np.stack([np.minimum.reduceat(np.r_[(s ^ (seed >> np.uint64(7))) * seed, np.uint64(0)], cuts)[::2] for seed in seeds], axis=1).reshape(len(x), bands, rows)
                     keys = mix(least.sum(axis=2, dtype=np.uint64) + keyed).view(np.int64).ravel()
                     for to, v in zip(lines, (d, w.starts[x], w.ends[y - 1], y - x, content, n, keys)):
                         to.append(v)
@@ -148,12 +150,27 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
     return arrow_map(rows, cut, "id long, tokens binary")
 
 
+def _crowded_links(ids: DataFrame, tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
+    """Verified links among paragraphs that share a band with many others, by the exact signatures of the n-gram join in place of all pairs of a band."""
+
+    def measure(batches):
+        for b in batches:
+            own = [np.frombuffer(x, "<u8") for x in b["tokens"].to_pylist()]
+            signed = [scheme.signatures(x) for x in own]
+            yield {"id": b["id"], "n": [len(x) for x in own], "tokens": b["tokens"], "hard": [not met for _, met in signed], "sigs": [x.view(np.int64) for x, _ in signed]}
+
+    crowded = stage(arrow_map(tokens.join(ids, "id", "left_semi"), measure, "id long, n long, tokens binary, hard boolean, sigs array<long>"), "crowded")
+    found = colliding_links(crowded.select(F.explode("sigs").alias("sig"), "id", "n"), crowded, scheme)
+    hard = _hard_links(crowded, scheme)
+    return found + ([stage(hard, "links")] if hard is not None else [])
+
+
 def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100), recall: float = 0.995, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, component, keep_doc_id, removed): passages that stand in several documents.
 
     Paragraphs (lines) of at least 16 words collide when a band of their MinHash values is equal, the bands being tuned to find a
     pair of the given Jaccard similarity of five-word shingles with probability `recall`. Collisions are verified exactly
-    and connected paragraphs form components. Content-defined pieces of about nine words are compared
+    and connected paragraphs form components; those in bands that many share find each other by exact signatures instead of pair by pair. Content-defined pieces of about nine words are compared
     as wholes, so that a passage inside longer lines or across lines is found too, but for a few words at its ends. What stands in two or more documents is kept
     in that with the smallest doc_id and removed in the others. Repeated units that touch form a passage; those of
     fewer than `min_words` words, such as licence lines, are left alone.
@@ -173,11 +190,14 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
     firsts = stage(firsts, "firsts")
     signed = firsts.select(F.explode(F.array(*(f"k{i}" for i in range(bands)))).alias("sig"), F.col("content").alias("id"), F.col("n").cast("long").alias("n"))
-    shared = signed.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("sig")
-    wanted = stage(signed.join(shared, "sig").select(F.col("id").alias("content")).distinct().join(firsts, "content").select("doc_id", "content"), "wanted")
+    scheme = Scheme(*similarity)
+    shared = signed.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("many")).filter("x < y").select("sig", "many")
+    colliding = stage(signed.join(shared, "sig"), "colliding")
+    wanted = stage(colliding.select(F.col("id").alias("content")).distinct().join(firsts, "content").select("doc_id", "content"), "wanted")
     tokens = stage(_paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["id"]), "tokens")
-    links = colliding_links(signed, tokens, Scheme(*similarity), allocate=False)
-    label = stage(components(links[0].unionByName(links[1])), "label")
+    links = colliding_links(colliding.filter(F.col("many") <= COSTLY).select("sig", "id", "n"), tokens, scheme, allocate=False)
+    links += _crowded_links(colliding.filter(F.col("many") > COSTLY).select("id").distinct(), tokens, scheme)
+    label = stage(components(reduce(DataFrame.unionByName, links)), "label")
     labelled = lines.select("doc_id", "start", "end", "words", "content").join(maybe_broadcast(label.withColumnRenamed("node", "content"), label.count()), "content", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "content"))
     groups = labelled.groupBy("component").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("component", "keep")
@@ -195,7 +215,7 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
         F.min("keep").alias("keep_doc_id"),
     )
     passages = stage(passages.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "component", "keep_doc_id", "removed"), "passages")
-    unstage(units, firsts, wanted, tokens, label, *links)
+    unstage(units, firsts, colliding, wanted, tokens, label, *links)
     return passages
 
 
