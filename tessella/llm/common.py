@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Rows that may be broadcast after they have been counted; beyond it every operator shuffles instead.
 BROADCAST_ROWS = 1_000_000
 
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged: what was shuffled for it goes once it is written, and Python gets texts in small batches.
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,12 +33,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")  # what was shuffled for the table goes once the table is written
+    before = {k: spark.conf.get(k, None) for k in _STAGING}
+    for k, v in _STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,7 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, kept per worker and emptied when it holds `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

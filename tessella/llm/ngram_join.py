@@ -16,6 +16,8 @@ from .common import BROADCAST_ROWS, arrow_map, components, maybe_broadcast, mix,
 BUCKET_ENTRIES = 1_000_000
 #: Sets beyond which a signature is costly to look up.
 COSTLY = 16
+#: Sets whose signatures a task holds at once.
+SIGNED_SETS = 256
 #: Sets that are compared with all others at once when their signatures can't meet the error budget.
 BLOCK_SETS = 512
 
@@ -175,7 +177,7 @@ def _shared_leading(sets: DataFrame, bits: int) -> DataFrame:
                 raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
                 held.append((raw.view(">u8")[:, 0].astype(np.uint64), h))
                 size += len(raw)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from blocks(held)
                 held, size, seen = [], 0, set()
         if held:
@@ -351,9 +353,11 @@ def jaccard_links(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100
 
     def sign(batches):
         for b in batches:
-            own = [scheme.signatures(np.frombuffer(x, "<u8"))[0].view(np.int64) for x in b["tokens"].to_pylist()]
-            times = [len(x) for x in own]
-            yield {"sig": np.concatenate(own) if own else [], "id": np.repeat(b["id"].to_numpy(), times), "n": np.repeat(b["n"].to_numpy(), times)}
+            for at in range(0, len(b["id"]), SIGNED_SETS):
+                part = {k: v.slice(at, SIGNED_SETS) for k, v in b.items()}
+                own = [scheme.signatures(np.frombuffer(x, "<u8"))[0].view(np.int64) for x in part["tokens"].to_pylist()]
+                times = [len(x) for x in own]
+                yield {"sig": np.concatenate(own), "id": np.repeat(part["id"].to_numpy(), times), "n": np.repeat(part["n"].to_numpy(), times)}
 
     signed = arrow_map(tokens.select("id", "n", "tokens"), sign, "sig long, id long, n long")
     found = colliding_links(signed, tokens, scheme)
