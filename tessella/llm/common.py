@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Settings while a table is staged: what was shuffled for it goes once it is written, and Python gets texts in small batches.
-_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def shared_dir(spark: SparkSession) -> str:
