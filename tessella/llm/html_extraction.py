@@ -15,6 +15,8 @@ from .common import arrow_map, stage
 
 #: Template rows (a host each) that may be broadcast.
 BROADCAST_HOSTS = 50_000
+#: Pages of a host from which on what they have in common is told from what chance repeats.
+LEAST_PAGES = 3
 
 # Element names of HTML by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -24,6 +26,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": (), "thead": ("table",), "tbody": ("table",)}
 OUTSIDE = frozenset("aside button dialog footer form head menu nav".split())
 MAIN = ("article", "main")
+PARTS = frozenset("address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody tfoot th thead tr ul".split())
 _OUT_NAME = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|side-?bar|comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|footer|header|masthead|widget|pagination|pager|toolbar|skip-?link)(?:$|[-_\s])",
@@ -50,10 +53,10 @@ class Element:
 
 @dataclass
 class Page:
-    """The elements of a page in order, and its text runs as (element, text); an empty text ends a block."""
+    """The elements of a page in order, and its text runs as (element, text, whether in a link); an empty text ends a block."""
 
     elements: list[Element] = field(default_factory=list)
-    runs: list[tuple[int, str]] = field(default_factory=list)
+    runs: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
 def parse(source: str | None) -> Page:
@@ -66,13 +69,13 @@ def parse(source: str | None) -> Page:
     def add_text(part: str) -> None:
         text = html_lib.unescape(part)
         if text:
-            page.runs.append((stack[-1][0], text))
+            page.runs.append((stack[-1][0], text, bool(links)))
             own = page.elements[stack[-1][0]]
             own.chars += len(text.strip())
             own.linked += len(text.strip()) if links else 0
 
     def end_block() -> None:
-        page.runs.append((stack[-1][0], ""))
+        page.runs.append((stack[-1][0], "", False))
 
     def close(k: int) -> None:
         end_block()
@@ -94,7 +97,7 @@ def parse(source: str | None) -> Page:
         ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in INLINE:
             if name == "br":
-                page.runs.append((stack[-1][0], " "))
+                page.runs.append((stack[-1][0], " ", False))
             elif name == "a":
                 links = 0 if ending else 1
             continue
@@ -147,71 +150,156 @@ def _is_outside(page: Page) -> list[bool]:
     return out
 
 
-def blocks(page: Page, roots: set[int] | None) -> list[str]:
-    """The blocks of text below the given elements, or below all if none are given, without what is no part of an article."""
+def _blocks(page: Page) -> list[tuple[int, list[str], int]]:
+    """(element, words, characters outside links) of the blocks of text of a page; a block never goes beyond its element."""
+    out, held, free = [], [], 0
+    for i, text, linked in [*page.runs, (0, "", False)]:
+        if text:
+            held.append(text)
+            at, free = i, free + (0 if linked else len(text.strip()))
+        elif held:
+            words = "".join(held).split()
+            if words:
+                out.append((at, words, free))
+            held, free = [], 0
+    return out
+
+
+class _WordIds(dict):
+    """(token of an element, word) -> the word's token, kept per worker and emptied when it holds `limit` words."""
+
+    def __missing__(self, key: tuple[str, str]) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[key] = xxhash.xxh64_intdigest(f"{key[0]}\n{key[1]}".encode("utf-8", "surrogatepass")) - 2**63
+        return h
+
+
+_IDS = _WordIds()
+
+
+def blocks(page: Page, roots: set[int] | None, common: frozenset[int] = frozenset()) -> list[str]:
+    """The blocks of text below the given elements, or below all if none are given, without what is no part of an article.
+
+    Blocks made of template words alone, given by `common`, go too. Where an element holds both such blocks and others,
+    and lies in an article by name, they stay.
+    """
     outside = _is_outside(page)
     inside: list[bool] = []
+    named: list[bool] = []
     for i, e in enumerate(page.elements):
         inside.append(roots is None or i in roots or (e.parent >= 0 and inside[e.parent]))
-    out, held = [], []
-    for i, text in page.runs:
-        if not text:
-            out.append(" ".join("".join(held).split()))
-            held = []
-        elif inside[i] and not outside[i]:
-            held.append(text)
-    out.append(" ".join("".join(held).split()))
-    return [x for x in out if x]
-
+        named.append(e.main == 2 or (e.parent >= 0 and named[e.parent]))
+    kept = [(i, words, not common or any(_IDS[page.elements[i].token, w] not in common for w in words)) for i, words, _ in _blocks(page) if inside[i] and not outside[i]]
+    mixed = {page.elements[i].token for i, _, own in kept if own and named[i]}
+    return [" ".join(words) for i, words, own in kept if own or named[i] and page.elements[i].token in mixed]
 
-def _slots(page: Page) -> dict[str, tuple[int, int, int, int, int]]:
-    """{token: (times, characters, of these in links, rank as a main slot, depth)} of the elements that can belong to an article."""
-    outside, found = _is_outside(page), {}
-    for i, e in enumerate(page.elements[1:], 1):
-        if not outside[i]:
-            times, chars, linked, main, _ = found.get(e.token, (0, 0, 0, 0, 0))
-            found[e.token] = (times + 1, chars + e.chars, linked + e.linked, max(main, e.main), e.depth)
-    return found
 
+def _common(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, common): the words, with the paths of their elements, that belong to each host's template.
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, members): the main slot of each host's template, and the tokens of its classes.
-
-    `pages` has (row, host, html). A token is an element with its path. Its occurrence vector, times by page, is told by an
-    order-free hash that tasks combine, so no host is gathered. Tokens of one host with equal vectors form an equivalence
-    class; classes on at least half of the host's pages are valid and, as tokens carry their paths, nested as these are.
-    The slots of the template are its elements; the main one is that of the highest rank (an article by name, by class,
-    any other), then the one that holds most text outside links, then the innermost.
+    Tokens are elements and words with their paths. A token's occurrence vector over the pages of its host is told by an
+    order-free hash that tasks combine, so no host is gathered; tokens that are equally often on each page that has them and
+    are on the same pages form an equivalence class. A class is valid on two thirds of the host's pages, if it is nested
+    in elements of its own, has three tokens, or is on nine pages of ten. Hosts of fewer than three pages have no common words.
     """
 
     def read(batches):
         for b in batches:
-            out = {k: [] for k in ("host", "token", "vector", "chars", "main", "depth")}
+            found: dict[tuple[str, int], list[int]] = {}
             for row, host, source in zip(b["row"].to_pylist(), b["host"].to_pylist(), b["html"].to_pylist()):
-                for token, (times, chars, linked, main, depth) in _slots(parse(source)).items():
-                    out["host"].append(host), out["token"].append(token), out["main"].append(main), out["depth"].append(depth)
-                    out["chars"].append(chars - linked), out["vector"].append(np.uint64(xxhash.xxh64_intdigest(f"{row} {times}")).view(np.int64))
-            yield out
-
-    rows = arrow_map(pages.select("row", "host", "html"), read, "host string, token string, vector long, chars long, main int, depth int")
-    seen = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.max("main").alias("main"), F.max("depth").alias("depth"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
-    frequent = seen.join(hosts, "host")
-    frequent = frequent.filter("2 * pages >= of")
-    classes = frequent.groupBy("host", "vector", "pages").agg(  # a host has a few frequent tokens for each token of a page
-        F.max(F.struct("main", "chars", "depth", "token")).alias("best"), F.collect_list("token").alias("members")
+                page, times = parse(source), {}
+                vector = xxhash.xxh64_intdigest(str(row))
+                for e in page.elements[1:]:
+                    k = _IDS[e.token, ""]
+                    times[k] = times.get(k, 0) + 1
+                elements = set(times)
+                for i, words, _ in _blocks(page):
+                    token = page.elements[i].token
+                    for w in words:
+                        k = _IDS[token, w]
+                        times[k] = times.get(k, 0) + 1
+                for k, n in times.items():
+                    x = found.get((host, k))
+                    if x is None:
+                        found[host, k] = [vector, 1, n, n, k in elements]
+                    else:
+                        x[0] ^= vector
+                        x[1] += 1
+                        x[2], x[3] = min(x[2], n), max(x[3], n)
+            vectors, n, low, high, element = zip(*found.values()) if found else [()] * 5
+            yield {"host": [h for h, _ in found], "token": [k for _, k in found], "vector": np.array(vectors, np.uint64).view(np.int64), "pages": n, "low": low, "high": high, "element": element}
+
+    large = pages.join(hosts.filter(F.col("of") >= LEAST_PAGES).select("host"), "host", "left_semi")
+    rows = arrow_map(large.select("row", "host", "html"), read, "host string, token long, vector long, pages long, low int, high int, element boolean")
+    seen = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("element").alias("element"))
+    frequent = seen.join(hosts, "host").filter("low = high AND 3 * pages >= 2 * of")
+    classes = frequent.groupBy("host", "vector", "pages", "of").agg(  # a host has a few frequent tokens for each token of a page
+        F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("words"), F.count("*").alias("size"), F.max("element").alias("nested")
     )
-    return classes.groupBy("host").agg(F.max("best").alias("best"), F.sort_array(F.flatten(F.collect_list("members"))).alias("members")).select("host", F.col("best.token").alias("main"), "members")
+    return classes.filter("nested OR size >= 3 OR 10 * pages >= 9 * of").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("common"))
 
 
-def extract_text(source: str | None, main: str | None) -> str:
-    """The article of a page: the main slot of its host's template, or what the page itself shows as its article."""
+def _choose(slots) -> str | None:
+    """The main slot among (token, data, chars, main, depth): of those with half of the data, the highest rank, then the innermost with nine tenths of what the best of that rank has."""
+    weight = (lambda s: s["data"]) if any(s["data"] for s in slots) else (lambda s: s["chars"])
+    most = max(map(weight, slots), default=0)
+    rank = max((s["main"] for s in slots if 2 * weight(s) >= most), default=0)
+    ranked = [s for s in slots if s["main"] == rank and 2 * weight(s) >= most]
+    best = max(map(weight, ranked), default=0)
+    return max(((s["depth"], weight(s), s["token"]) for s in ranked if 10 * weight(s) >= 9 * best), default=(0, 0, None))[2]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main, common): the main slot of each host's template, and the words of its template; see `_common`.
+
+    `pages` has (row, host, html). The slots are the elements on at least half of the host's pages that can hold an article. What they hold is
+    the text outside links that remains without blocks made of template words alone; it decides which is the main
+    one. Names (an article by name, by class, any other) decide only among slots that hold at least half of the most.
+    """
+    hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
+    n = (hosts := stage(hosts, "hosts")).count()
+    near = F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts
+    common = stage(_common(pages, near), "common")
+
+    def read(batches):
+        for b in batches:
+            found: dict[tuple[str, str], list[int]] = {}
+            for host, source, known in zip(b["host"].to_pylist(), b["html"].to_pylist(), b["common"].to_pylist()):
+                page, known = parse(source), frozenset(known or ())
+                outside, data = _is_outside(page), [0] * len(page.elements)
+                for i, words, free in _blocks(page):
+                    if not outside[i] and any(_IDS[page.elements[i].token, w] not in known for w in words):
+                        data[i] += free
+                for i in range(len(page.elements) - 1, 0, -1):  # children come after their parents
+                    data[page.elements[i].parent] += data[i]
+                met = set()
+                for i, e in enumerate(page.elements[1:], 1):
+                    if not outside[i] and (e.main or e.label.split(".")[0] not in PARTS):
+                        x = found.setdefault((host, e.token), [0, 0, 0, 0, e.depth])
+                        x[0] += e.token not in met
+                        x[1], x[2], x[3] = x[1] + data[i], x[2] + e.chars - e.linked, max(x[3], e.main)
+                        met.add(e.token)
+            n, data, chars, main, depth = zip(*found.values()) if found else [()] * 5
+            yield {"host": [h for h, _ in found], "token": [t for _, t in found], "pages": n, "data": data, "chars": chars, "main": main, "depth": depth}
+
+    joined = pages.join(F.broadcast(common) if n <= BROADCAST_HOSTS else common, "host", "left").select("host", "html", "common")
+    rows = arrow_map(joined, read, "host string, token string, pages long, data long, chars long, main int, depth int")
+    slots = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("data").alias("data"), F.sum("chars").alias("chars"), F.max("main").alias("main"), F.max("depth").alias("depth"))
+    slots = slots.join(near, "host").filter("2 * pages >= of").groupBy("host").agg(F.collect_list(F.struct("token", "data", "chars", "main", "depth")).alias("slots"))  # a few for each element of a page
+    main = slots.select("host", F.udf(_choose, "string")("slots").alias("main"))
+    return hosts.select("host").join(main, "host", "left").join(common, "host", "left")
+
+
+def extract_text(source: str | None, main: str | None, common: frozenset[int] = frozenset()) -> str:
+    """The article of a page: the main slot of its host's template, or what the page itself shows as its article, without the template's words."""
     page = parse(source)
     roots = {i for i, e in enumerate(page.elements) if main is not None and e.token == main}
     if not roots:
         best = max((e.main for e in page.elements if not e.outside), default=0)
         roots = {i for i, e in enumerate(page.elements) if e.main == best and not e.outside} if best else set()
-    return "\n\n".join(blocks(page, roots or None))
+    # a page that has nothing of its own is a copy of others on its host
+    return "\n\n".join(blocks(page, roots or None, common) or blocks(page, roots or None))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -224,13 +312,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host.alias("host"), "html")
-    found = stage(templates(rows), "templates").select("host", "main")
+    found = stage(templates(rows), "templates")
     n = found.count()
-    joined = rows.join(F.broadcast(found) if n <= BROADCAST_HOSTS else found, "host", "left").select("page_id", "url", "main", "html")
+    joined = rows.join(F.broadcast(found) if n <= BROADCAST_HOSTS else found, "host", "left").select("page_id", "url", "main", "common", "html")
 
     def extract(batches):
         for b in batches:
-            text = [extract_text(h, m) for h, m in zip(b["html"].to_pylist(), b["main"].to_pylist())]
+            text = [extract_text(h, m, frozenset(c or ())) for h, m, c in zip(b["html"].to_pylist(), b["main"].to_pylist(), b["common"].to_pylist())]
             yield {"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}
 
     return arrow_map(joined.withColumn("page_id", F.col("page_id").cast("long")), extract, "page_id long, url string, text string, n_chars long")

@@ -295,6 +295,15 @@ def test_html(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_without_names(spark):
+    rng = random.Random(5)
+    shell = "<html><body><div class=a1><div class=q7>Our site has moved, see the long notice about it that every page of this host shows here</div><div class=k3><div>Start</div><div>Offers</div></div><div class=z9><h2>{}</h2><p>{}</p><p>Stay in touch with us</p></div><div class=m2>All rights of these pages are reserved by the people who wrote them</div></div></body></html>"
+    texts = [(sentence(rng, 3), sentence(rng, 30)) for _ in range(6)]
+    pages = [(i, f"http://opaque.example/{i}", shell.format(*t)) for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{a}\n\n{b}" for i, (a, b) in enumerate(texts)}
+
+
 def test_pii(spark, docs, empty):
     rows = [
         (1, "Mr. John Smith, +1 (136) 555-7479, +1-136-555-7479, ab.cd@mail.example.com AB.CD@MAIL.EXAMPLE.COM"),
