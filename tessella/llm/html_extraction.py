@@ -32,6 +32,9 @@ _OUT_NAME = re.compile(
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|footer|header|masthead|widget|pagination|pager|toolbar|skip-?link)(?:$|[-_\s])",
     re.I,
 )
+# The head of an article, by class; within an article every such name is one.
+_OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:article|entry|post|story|content)[-_]+header(?=$|[-_\s])", re.I)
+_ANY_HEADER = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[-_\s])(?:article|articlebody|post|entry|story|content|main)(?:$|[-_\s])", re.I)
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -47,6 +50,7 @@ class Element:
     parent: int
     outside: bool  # by its name, role or class no part of an article
     main: int  # 2: an article by name, 1: by class
+    by_class: bool = False  # outside by its class alone
     chars: int = 0  # of the text below it
     linked: int = 0  # of these, inside links
 
@@ -128,21 +132,49 @@ def parse(source: str | None) -> Page:
         shown = " ".join(sorted(given.get("class", "").split())) or given.get("id", "")
         label = f"{name}.{shown}" if shown else name
         parent = stack[-1][0]
-        outside = name in OUTSIDE or given.get("role", "") in _OUT_ROLE or "hidden" in attributes.lower().split() or name not in ("html", "body", *MAIN) and bool(_OUT_NAME.search(names))
         within = any(opened.get(n) for n in MAIN)
+        outside = name in OUTSIDE or given.get("role", "") in _OUT_ROLE or "hidden" in attributes.lower().split()
         if name == "header":
-            outside = not within
-        main = 2 if name in MAIN or given.get("role") == "main" or given.get("itemprop") == "articleBody" else 1 if _MAIN_NAME.search(names) else 0
+            outside = outside or not within
+        own = (_ANY_HEADER if within else _OWN_HEADER).sub(" ", names)
+        by_class = not outside and name not in ("html", "body", *MAIN) and not (name == "header" and within) and bool(_OUT_NAME.search(own))
+        main = 2 if name in MAIN or given.get("role") == "main" or given.get("itemprop") == "articleBody" else 1 if _MAIN_NAME.search(_OWN_HEADER.sub(" ", names)) else 0
         above = page.elements[parent]
-        page.elements.append(Element(label, f"{label[:80]} {xxhash.xxh64_hexdigest(f'{above.token}>{label}')}", above.depth + 1, parent, outside, main))
+        page.elements.append(Element(label, f"{label[:80]} {xxhash.xxh64_hexdigest(f'{above.token}>{label}')}", above.depth + 1, parent, outside or by_class, main, by_class))
         stack.append((len(page.elements) - 1, name))
         opened[name] = opened.get(name, 0) + 1
     for e in reversed(page.elements[1:]):  # children come after their parents
         page.elements[e.parent].chars += e.chars
         page.elements[e.parent].linked += e.linked
+    _keep_wrappers(page)
     return page
 
 
+def _keep_wrappers(page: Page) -> None:
+    """A class alone doesn't put an element outside that holds the page's article, or most of its text outside links where no article by name holds a fifth of it.
+
+    The article is that by name within the fewest elements that are outside by class, then the one with most text outside links.
+    """
+    elements = page.elements
+    if not any(e.by_class for e in elements):
+        return
+    hard, soft = [], []  # whether outside by more than a class; how many are outside by class, from the root down
+    for e in elements:  # parents come first
+        hard.append(e.parent >= 0 and hard[e.parent] or e.outside and not e.by_class)
+        soft.append((soft[e.parent] if e.parent >= 0 else 0) + e.by_class)
+    free = [0 if hard[i] else e.chars - e.linked for i, e in enumerate(elements)]
+    whole = sum(len(t.strip()) for i, t, linked in page.runs if not linked and not hard[i])
+    article = max(((-soft[i], free[i], i) for i, e in enumerate(elements) if e.main == 2 and not hard[i] and free[i] and 5 * free[i] >= whole), default=(0, 0, 0))[2]
+    if article:
+        while article > 0:
+            keep = elements[article]
+            keep.outside, article = keep.outside and not keep.by_class, keep.parent
+        return
+    for i, e in enumerate(elements):
+        if e.by_class and 2 * free[i] > whole:
+            e.outside = False
+
+
 def _is_outside(page: Page) -> list[bool]:
     out: list[bool] = []
     for e in page.elements:  # parents come first

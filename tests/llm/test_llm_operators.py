@@ -304,6 +304,17 @@ def test_html_template_without_names(spark):
     assert got == {i: f"{a}\n\n{b}" for i, (a, b) in enumerate(texts)}
 
 
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "main-with-comments", "page no-sidebar"])
+def test_html_wrapper_named_after_its_side_bar(wrapper):
+    rest = "<div class='comments'><p>first!</p></div><div class=sidebar><p>other things</p></div>"
+    for source in (
+        f"<body><div class='{wrapper}'><article><div class='entry-header'><h1>Title</h1></div><p>The text of it, in some words</p></article>{rest}</div></body>",
+        f"<body><div class='{wrapper}'><article><div class='page-header'><h1>Title</h1></div><p>The text of it, in some words</p></article>{rest}</div></body>",
+        f"<body><div class='{wrapper}'><div class='post-header'><h1>Title</h1></div><p>The text of it, in some words</p>{rest}</div></body>",
+    ):
+        assert html_extraction.extract_text(source, None) == "Title\n\nThe text of it, in some words"
+
+
 def test_pii(spark, docs, empty):
     rows = [
         (1, "Mr. John Smith, +1 (136) 555-7479, +1-136-555-7479, ab.cd@mail.example.com AB.CD@MAIL.EXAMPLE.COM"),
