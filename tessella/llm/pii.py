@@ -24,7 +24,10 @@ FAMILY = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_NAME = r"\p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)?"
+# A word of a name (O'Brien, McDonald, Jean-Luc, SMITH) or initials (J. or J.R.); a name has up to eight, with particles between them.
+_PART = r"(?:[dDlL]['’])?\p{Lu}(?:\.(?:-?\p{Lu}\.)*+|[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+){0,4}+)"
+_PARTICLE = r"(?:de|del|la|las|los|von|van|zu|der|den|da|di|du|bin|ibn|y) "
+_NAME = rf"{_PART}(?:(?: |(?<=\.))(?:{_PARTICLE}){{0,3}}{_PART}){{0,7}}+"
 # Country calling codes of one and two digits; all others have three.
 _CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
@@ -100,7 +103,7 @@ def _draw(names: list[str], stream: Column, at: int) -> Column:
 
 
 def _surrogate(kind: Column, canonical: Column, gender: Column, key: str, attempt: int) -> Column:
-    """A replacement in canonical form. Each attempt draws anew; names get one more family name every second attempt."""
+    """A replacement in canonical form. Each attempt draws anew; names get one more family name every second attempt, and local parts of addresses two more letters each attempt from the fifth on."""
     stream = _stream(key, kind, canonical, attempt)
     shaped = _shaped(canonical, stream)
     # a changed last digit keeps the Luhn sum of a number, valid or not
@@ -110,7 +113,8 @@ def _surrogate(kind: Column, canonical: Column, gender: Column, key: str, attemp
     secret = F.when(canonical.rlike("^[0-9a-f]+$"), F.substr(stream, F.lit(1), F.length(canonical))).otherwise(F.concat(F.regexp_extract(canonical, "^(?:akia|gh[a-z]_|sk-)", 0), _shaped(F.regexp_replace(canonical, "^(?:akia|gh[a-z]_|sk-)", ""), stream)))
     iban = F.concat(F.left(canonical, F.lit(2)), F.substr(shaped, F.lit(3), F.length(shaped)))
     host = F.element_at(F.split(canonical, "@"), 2)
-    email = F.concat(_shaped(F.element_at(F.split(canonical, "@"), 1), stream), F.lit("@"), _shaped(F.regexp_replace(host, r"\.[a-z]+$", ""), F.sha2(F.concat(F.lit(key), host), 512)), F.regexp_extract(host, r"\.[a-z]+$", 0))
+    longer = F.translate(F.right(stream, F.lit(2 * max(attempt - 3, 0))), "0123456789abcdef", "aeioubdfklmnprst")
+    email = F.concat(_shaped(F.element_at(F.split(canonical, "@"), 1), stream), longer, F.lit("@"), _shaped(F.regexp_replace(host, r"\.[a-z]+$", ""), F.sha2(F.concat(F.lit(key), host), 512)), F.regexp_extract(host, r"\.[a-z]+$", 0))
     name = F.lit(None).cast("string")
     script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canonical.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     for (g, s), given in GIVEN.items():
