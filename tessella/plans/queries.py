@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine, dot, norm, normalize
-from ..operators import catalog, cluster, encode, explore, images, jobs, reduce, search
+from ..operators import blocks, catalog, cluster, encode, explore, images, jobs, reduce, search
 from ..sources import collection, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,10 +523,9 @@ def missing_embeddings(spark, sf_dir):
            row_number() OVER (ORDER BY vec_id) AS row_index, cluster FROM ({_POINTS})""")
 def projection_table(spark, sf_dir):
     name = F.concat(F.lit("v"), F.col("vec_id"), F.lit(".jpg"))
-    # vec_id counts the rows of the collection, so that the row index needs no sort of the whole table
-    return _points(spark, sf_dir).select(
+    return blocks.numbered(_points(spark, sf_dir), "vec_id").select(
         name.alias("filename"), F.concat(F.lit("img/"), name).alias("relative_path"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
-        F.lit("openclip_vit_b_32").alias("model_key"), F.lit("umap").alias("reducer"), (F.col("vec_id") + 1).alias("row_index"), "cluster",
+        F.lit("openclip_vit_b_32").alias("model_key"), F.lit("umap").alias("reducer"), "row_index", "cluster",
     )
 
 
