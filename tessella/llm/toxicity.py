@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, doc_bucket
+from .common import arrow_map, doc_bucket, mix, shingle_hashes, stage
 
 #: Labelled documents that a lexicon is learned from, at most, chosen by hash of the id.
 SAMPLE_DOCUMENTS = 20_000
 #: Entries of a learned lexicon, and of its exceptions, at most.
 LEXICON_ENTRIES = 300
+#: Probability that any entry of a lexicon is there by chance, at most.
+CHANCE = 0.05
+#: MinHash bands and rows by which near copies meet, and the Jaccard similarity of their five-word shingles in per cent.
+BANDS, BAND_ROWS, SIMILARITY = 8, 2, 75
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһ" "αεικνορτυχ", "aeopcyxijsdh" "aeiknoptux")
@@ -26,7 +30,6 @@ _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 _SIGN_WITHIN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
-_HASHES = WordHashes()
 
 
 def fold(text: str | None) -> str:
@@ -49,6 +52,8 @@ class Lexicon:
     weights: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, float, float] = (-4.0, 2.0, 0.5)
+    #: Documents it was learned from, once copies are merged: clean and toxic ones.
+    learned_from: tuple[int, int] = (0, 0)
 
     def matcher(self):
         import ahocorasick
@@ -124,12 +129,58 @@ def _surprise(toxic: int, clean: int, share: float) -> float:
     return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """(text, toxic) of the rows (doc_id, text, toxic) that are no near copies of a row with a smaller doc_id and the same label.
+
+    Rows with equal folded texts are merged first. Others meet where a band of the MinHash values of their folded words' shingles is
+    equal; each is compared with the smallest doc_id of its bands, not with all, and goes only if their exact
+    Jaccard similarity is at least 75 %.
+    """
+    seeds = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def measure(batches):
+        import xxhash
+
+        for b in batches:
+            out = {"k": [], "tokens": [], "bands": []}
+            for t in b["text"].to_pylist():
+                folded = fold(t)
+                x = shingle_hashes(folded)
+                least = np.array([mix(x ^ s).min() if len(x) else 0 for s in seeds], np.uint64).reshape(BANDS, BAND_ROWS)
+                out["k"].append(xxhash.xxh3_128_hexdigest(folded.encode("utf-8", "surrogatepass")))
+                out["tokens"].append(x.astype("<u8").tobytes())
+                out["bands"].append(mix(least[:, 0] * np.uint64(3) + mix(least[:, 1]) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            yield b | out
+
+    source = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    first = source.groupBy(F.xxhash64("text").alias("h"), "toxic", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
+    measured = arrow_map(first, measure, "doc_id long, text string, toxic int, k string, tokens binary, bands array<long>")
+    measured = stage(measured.groupBy("k", "toxic").agg(F.min(F.struct("doc_id", "text", "tokens", "bands")).alias("x")).select("x.*", "toxic"), "labelled")
+    met = measured.select("doc_id", "toxic", F.explode("bands").alias("band"))
+    heads = met.groupBy("band", "toxic").agg(F.min("doc_id").alias("head"))
+    pairs = met.join(heads, ["band", "toxic"]).filter("head < doc_id").select("doc_id", "head", "toxic").distinct()
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    own = measured.select("doc_id", "toxic", "tokens")
+    linked = pairs.join(own, ["doc_id", "toxic"]).join(own.select(F.col("doc_id").alias("head"), "toxic", F.col("tokens").alias("theirs")), ["head", "toxic"])
+    copies = stage(linked.filter(near("tokens", "theirs")).select("doc_id", "toxic").distinct(), "copies")
+    return measured.join(copies, ["doc_id", "toxic"], "left_anti").select("text", "toxic")
+
+
 def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: int = LEXICON_ENTRIES) -> Lexicon:
     """A lexicon from (doc_id, text, toxic); null labels are left out, null texts are empty.
 
-    Of more than `sample` documents those with the smallest hashes of doc_id are used, about `sample` of them; near copies,
-    told by the smallest word hash and the first words, count once. An entry's weight is its smoothed log odds; entries
-    must be in enough toxic documents for less than one of all tried to be there by chance, and of two where one only lengthens the
+    Of more than `sample` documents those with the smallest hashes of doc_id are used, about `sample` of them; of
+    near copies with one label that with the smallest doc_id counts; see `_distinct`. An entry's weight is its smoothed log odds; entries
+    must be in so many toxic documents that chance explains any of all tried with a probability of at most 5 %, and of two where one only lengthens the
     other and is in as many documents the longer one is taken. Exceptions are two-word phrases around an entry that only documents that aren't toxic have. The curve is fitted by
     logistic regression on the sample's features.
     """
@@ -138,13 +189,7 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: in
     if n > sample:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * sample / n)))
 
-    @F.pandas_udf("long")
-    def likeness(texts: pd.Series) -> pd.Series:
-        smallest = [min((_HASHES[w.encode("utf-8", "surrogatepass")] for w in set(fold(t).split())), default=0) >> 1 for t in texts]
-        return pd.Series(smallest, dtype="int64")
-
-    keyed = rows.select("text", F.col("toxic").cast("int").alias("toxic"), likeness(F.coalesce("text", F.lit(""))).alias("k"))
-    kept = keyed.dropDuplicates(["k", "toxic"]).select("text", "toxic").persist()
+    kept = _distinct(rows).persist()
     totals = {r[0]: r[1] for r in kept.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
@@ -154,7 +199,7 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: in
     with1 = _counts(kept.filter("toxic = 1"), None, least)
     with0 = _counts(kept.filter("toxic = 0"), set(with1), 1)
     odds = {e: math.log((c + 0.5) / (n1 + 1) * (n0 + 1) / (with0.get(e, 0) + 0.5)) for e, c in with1.items()}
-    sure = math.log(max(len(with1), 2))
+    sure = math.log(max(len(with1), 2) / CHANCE)
     sound = (e for e, w in odds.items() if w >= 2.5 and _surprise(with1[e], with0.get(e, 0), n1 / (n1 + n0)) >= sure)
     ranked = sorted(sound, key=lambda e: (-with1[e] * odds[e], -len(e), e))
     weights: dict[str, float] = {}
@@ -163,7 +208,7 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: in
             break
         if not any(e.startswith(x) or x.startswith(e) and (with1[x], with0.get(x)) == (with1[e], with0.get(e)) for x in weights):
             weights[e] = round(odds[e], 4)
-    lexicon = Lexicon(weights)
+    lexicon = Lexicon(weights, learned_from=(n0, n1))
     lexicon.exceptions = _exceptions(kept, lexicon, entries)
     lexicon.curve = _curve(kept, lexicon)
     kept.unpersist()
