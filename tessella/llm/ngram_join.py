@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ class Scheme:
         """The least overlap of a set of n tokens with any set that it links to."""
         return -(-self.num * n // self.den)
 
+    def links(self, sizes: int, both: int) -> bool:
+        """Whether two sets link that have `both` tokens in common and `sizes` together."""
+        return self.den * both >= self.num * (sizes - both)
+
     def budget(self, a: int, b: int) -> int:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
@@ -74,69 +79,85 @@ class Scheme:
 
     @staticmethod
     def deletable(place: np.ndarray, m: int) -> np.ndarray:
-        """Segments that can be looked up with one token more or less: all of a small scheme, an eighth of a large one.
+        """Segments that can be looked up with one token more or less: all of a small scheme, a quarter of a large one.
 
         Only one with two tokens or more is, so that what is left after a deletion is never empty, a signature of most sets;
         hence one-deletion neighbourhoods are indexed from three tokens on.
         """
-        return np.ones(len(place), bool) if m <= 16 else place % 8 == 0
+        return np.ones(len(place), bool) if m <= 16 else place % 4 == 0
 
     @staticmethod
     def signature(place, total, kind: int, s: int) -> np.ndarray:
         return mix(total + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(kind) + (np.uint64(s + 1) << np.uint64(40))))
 
-    def need(self, n: int, s: int) -> int:
-        """Units that a set of n tokens needs to find any larger set within the band of scheme s; 0 if none can link."""
-        low, high = (n if s == self.band(n) else self.edge(s)), min(self.edge(s + 1) - 1, n * self.den // self.num)
-        return self.budget(n, high) + 1 if high >= low else 0
+    def need(self, n: int, shared: int, s: int) -> int:
+        """Units that a set of n tokens, `shared` of them in other sets, needs to find any larger set within the band of scheme s; 0 if none can link.
+
+        Tokens that no other set has take up their part of the budget; and the overlap is of shared tokens, which limits the larger set's size.
+        """
+        low = n if s == self.band(n) else self.edge(s)
+        high = min(self.edge(s + 1) - 1, n * self.den // self.num, shared * (self.num + self.den) // self.num - n)
+        return self.budget(n, high) - (n - shared) + 1 if high >= low else 0
 
-    def lookups(self, tokens: np.ndarray):
-        """For the own scheme and the next: (units needed, its place, equal signatures, segments that can be looser, whose they are, looser signatures).
+    def lookups(self, tokens: np.ndarray, n: int):
+        """For the own scheme and the next, of a set of n tokens given by those that others share: the units needed and what can be looked up.
 
-        A segment looked up as equal is a unit and one signature, one looked up with one token more or less is two
-        units and a signature more for each of its tokens and for itself. Empty segments, which many sets share, are never looked up.
+        A segment looked up as equal is a unit and one signature. Where these are too few, segments are also looked up with one token more or
+        less, those with the fewest tokens first: a unit more each, for a signature for each of its tokens and for itself. Empty segments,
+        which many sets share, are never looked up. Yields (scheme, units needed, places, sums, counts, token values, segment of each token, equal
+        signatures, loosened segments, segment of each looser signature, looser signatures, segments that are indexed without a token).
         """
-        for s in (self.band(len(tokens)), self.band(len(tokens)) + 1):
+        for s in (self.band(n), self.band(n) + 1):
             m, place, total, count, value, starts = self.segments(tokens, s)
             of = np.repeat(np.arange(len(place)), count)  # the segment of each token
-            loose = self.deletable(place, m) & (count >= 2)
-            those = loose[of]
+            able = self.deletable(place, m)
+            need = self.need(n, len(tokens), s)
+            can = np.flatnonzero(able & (count >= 2))
+            loose = can[np.argsort(count[can], kind="stable")][: max(need - len(place), 0)]
+            those = np.isin(of, loose)
             looser = np.concatenate([self.signature(place[loose], total[loose], 1, s), self.signature(place[of[those]], total[of[those]] - value[those], 0, s)])
-            yield s, self.need(len(tokens), s), place, total, count, value, of, m, self.signature(place, total, 0, s), loose, np.concatenate([np.flatnonzero(loose), of[those]]), looser
-
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, bool]:
-        """(signatures under which a set is found and may look for others, whether they are enough for its budgets)."""
-        out, met = [], True
-        for s, need, place, total, count, value, of, m, equal, loose, _, looser in self.lookups(tokens):
-            if s == self.band(len(tokens)):
-                able = (self.deletable(place, m) & (count >= 3))[of]
-                out.append(self.signature(place[of[able]], total[of[able]] - value[able], 1, s))
-            elif not need:
-                continue
-            out += [equal, looser]
-            met &= len(place) + int(loose.sum()) >= need
+            yield s, need, place, total, count, value, of, self.signature(place, total, 0, s), loose, np.concatenate([loose, of[those]]), looser, able & (count >= 3)
+
+    def signatures(self, tokens: np.ndarray, n: int | None = None) -> tuple[np.ndarray, bool]:
+        """(signatures under which a set is found and may look for others, whether they are enough for its budgets); without n, others share all its tokens."""
+        out, met, n = [], True, len(tokens) if n is None else n
+        if not len(tokens):
+            return np.empty(0, np.uint64), True
+        for s, need, place, total, count, value, of, equal, loose, _, looser, indexed in self.lookups(tokens, n):
+            if s == self.band(n):
+                those = indexed[of]
+                out += [equal, self.signature(place[of[those]], total[of[those]] - value[those], 1, s)]
+            elif need:
+                out.append(equal)
+            if need:
+                out.append(looser)
+                met &= len(place) + len(loose) >= need
         return np.unique(np.concatenate(out)), met
 
-    def unavoidable(self, tokens: np.ndarray, costly: np.ndarray) -> np.ndarray:
-        """Of the costly signatures those that a set must look up, as the others aren't enough for its budgets.
+    def unavoidable(self, tokens: np.ndarray, n: int, costly: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, most): of the costly signatures those that a set must look up, each only for sets with at most so many tokens of their own.
 
-        Cost-based allocation: segments that cost nothing first, then loosening that costs nothing, then costly segments, then
-        costly loosening.
+        Cost-based allocation: what costs nothing first, then the costly segments by falling rarity. A set with u tokens that no other has needs u units
+        fewer, so that each further costly segment is asked for a smaller u only.
         """
-        out = []
-        for _, need, place, _, _, _, _, _, equal, loose, owner, looser in self.lookups(tokens):
-            dear = np.isin(equal, costly)
+        out, most = [], []
+        for _, need, place, _, _, _, _, equal, loose, owner, looser, _ in self.lookups(tokens, n):
+            if not need:
+                continue
+            at = np.clip(np.searchsorted(costly, equal), 0, len(costly) - 1)
+            dear = np.flatnonzero(costly[at] == equal)
+            dear = dear[np.argsort(cost[at[dear]], kind="stable")]
             dear_looser = np.isin(looser, costly)
-            dear_loose = np.zeros(len(place), bool)
-            dear_loose[owner[dear_looser]] = True
-            missing = need - int((~dear).sum()) - int((loose & ~dear & ~dear_loose).sum())
-            if missing <= 0:
+            dear_loose = np.unique(owner[dear_looser])
+            left = need - (len(place) - len(dear)) - (len(loose) - len(dear_loose))
+            if left <= 0:
                 continue
-            taken = np.flatnonzero(dear)[:missing]
-            out.append(equal[taken])
-            if missing > len(taken):
-                out.append(looser[dear_looser])
-        return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            taken = dear[:left]
+            out.append(equal[taken]), most.append(left - 1 - np.arange(len(taken)))
+            for k, segment in enumerate(dear_loose[: max(left - len(taken), 0)].tolist(), len(taken)):
+                those = looser[dear_looser & (owner == segment)]
+                out.append(those), most.append(np.full(len(those), left - 1 - k))
+        return (np.concatenate(out), np.concatenate(most)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -225,148 +246,220 @@ def _shared_leading(sets: DataFrame, bits: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "h1 long, shared long").groupBy("h1").agg(F.sum("shared").alias("shared"))
 
 
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(id, tokens): of each set, given as (id, tokens), the tokens that another set has too, in order; sets without any are absent.
+
+    Each task sends its tokens in blocks by their upper bits, but a token that several of its sets have is known to be shared and is sent for two
+    of them only, so that even a token of all sets has two entries from each block.
+    """
+    entries = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(entries / BUCKET_ENTRIES + 1)))
+
+    def by_set(token, owner):
+        order = np.argsort(owner, kind="stable")  # tokens stay in order
+        token, owner = token[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+        return owner[starts], [x.tobytes() for x in np.split(token.astype("<u8"), starts[1:])] if len(owner) else []
+
+    def send(batches):
+        held, size = [], 0
+        for b in batches:
+            for i, data in zip(b["id"].to_pylist(), b["tokens"].to_pylist()):
+                held.append((i, np.frombuffer(data, "<u8")))
+                size += len(held[-1][1])
+            if size > 1_000_000:
+                yield from blocks(held)
+                held, size = [], 0
+        if held:
+            yield from blocks(held)
+
+    def blocks(held):
+        token = np.concatenate([x for _, x in held])
+        owner = np.repeat(np.array([i for i, _ in held], np.int64), [len(x) for _, x in held])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        count = np.diff(np.r_[starts, len(token)])
+        many = np.repeat(count > 1, count)
+        ids, known = by_set(token[many], owner[many])
+        if len(ids):
+            yield {"bucket": ids & (2**bits - 1), "known": [True] * len(ids), "token": known, "owner": [None] * len(ids), "ids": [np.array([i], "<i8").tobytes() for i in ids]}
+        pairs = starts[count > 1]
+        for known, which in ((False, np.flatnonzero(~many)), (True, np.sort(np.r_[pairs, pairs + 1]))):
+            bucket = (token[which] >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(2**bits + 1))
+            for k in np.unique(bucket):
+                part = which[cuts[k] : cuts[k + 1]]
+                ids, place = np.unique(owner[part], return_inverse=True)
+                # what is known here already is sent without a say in the answer: no ids
+                yield {"bucket": [int(k)], "known": [None if known else False], "token": [token[part].astype("<u8").tobytes()], "owner": [place.astype("<u4").tobytes()], "ids": [ids.astype("<i8").tobytes()]}
+
+    def meet(pdf):
+        found = pdf["known"].eq(True)
+        ids, tokens = [np.frombuffer(x, "<i8") for x in pdf["ids"][found]], list(pdf["token"][found])
+        rest = pdf[~found]
+        if len(rest):
+            token = np.concatenate([np.frombuffer(x, "<u8") for x in rest["token"]])
+            owner = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(x, "<u4")] for x, i in zip(rest["owner"], rest["ids"])])
+            answer = np.repeat(rest["known"].notna().to_numpy(), [len(x) // 8 for x in rest["token"]])
+            order = np.argsort(token, kind="stable")
+            token, owner, answer = token[order], owner[order], answer[order]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+            use = np.repeat(several, np.diff(np.r_[starts, len(token)])) & answer
+            own, kept = by_set(token[use], owner[use])
+            ids.append(own), tokens.extend(kept)
+        return pd.DataFrame({"id": np.concatenate(ids), "tokens": tokens})
+
+    def joined(batches):
+        for b in batches:
+            yield {"id": b["id"], "tokens": [np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in parts])).astype("<u8").tobytes() for parts in b["parts"].to_pylist()]}
+
+    sent = arrow_map(sets.select("id", "tokens"), send, "bucket long, known boolean, token binary, owner binary, ids binary")
+    parts = sent.groupBy("bucket").applyInPandas(meet, "id long, tokens binary").groupBy("id").agg(F.collect_list("tokens").alias("parts"))  # of one set
+    return arrow_map(parts, joined, "id long, tokens binary")
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole token sets."""
+    """The pairs (a, b) whose sets link, by all the tokens that they share with any set and their whole sizes."""
 
     def check(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(scheme.den * both >= scheme.num * (len(x) + len(y) - both))
+            for x, y, n in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), b["n"].to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                keep.append(scheme.links(n, both))
             keep = np.array(keep, bool)
             yield {"a": b["a"].to_numpy()[keep], "b": b["b"].to_numpy()[keep]}
 
-    left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return arrow_map(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), check, "a long, b long")
+    left = tokens.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("ta"))
+    right = tokens.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tb"))
+    return arrow_map(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb", (F.col("n_a") + F.col("n_b")).alias("n")), check, "a long, b long")
+
 
+def _possible(scheme: Scheme, a: str, b: str):
+    """Whether sets of n tokens, u of them in no other set, can link at all: by their sizes, and by the tokens that they share with any set."""
+    n_a, u_a, n_b, u_b = (F.col(f"{k}{x}") for x in (a, b) for k in "nu")
+    return (n_a * scheme.den >= n_b * scheme.num) & (n_b * scheme.den >= n_a * scheme.num) & (F.least(n_a - u_a, n_b - u_b) * (scheme.num + scheme.den) >= (n_a + n_b) * scheme.num)
 
-def _compatible(scheme: Scheme, a: str, b: str):
-    return (F.col(a) * scheme.den >= F.col(b) * scheme.num) & (F.col(b) * scheme.den >= F.col(a) * scheme.num)
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """128 bits of a set in two numbers, each the parity of the tokens that fall on it: two sets differ in as many tokens as bits, or more."""
+    return np.packbits(np.bincount((mix(tokens) >> np.uint64(57)).astype(np.int64), minlength=128) % 2 == 1).view("<i8")
+
+
+def _near_enough(scheme: Scheme, a: str, b: str):
+    """Whether the budget of a pair allows for the tokens that neither shares with any set and for those in which the parities show that they differ."""
+    (n_a, u_a, x_a, y_a), (n_b, u_b, x_b, y_b) = ([F.col(f"{k}{x}") for k in "nuxy"] for x in (a, b))
+    differ = F.bit_count(x_a.bitwiseXOR(x_b)) + F.bit_count(y_a.bitwiseXOR(y_b)) + u_a + u_b
+    return differ * (scheme.den + scheme.num) <= (n_a + n_b) * (scheme.den - scheme.num)
 
 
 def _hard_links(tokens: DataFrame, scheme: Scheme) -> DataFrame | None:
     """Links of the few sets whose budgets aren't met, each held against all sets, block by block."""
-    hard = tokens.filter("hard").select("id", "tokens")
+    hard = tokens.filter("hard").select("id", "n", "tokens")
     n = hard.count()
     out = []
     blocks = math.ceil(n / BLOCK_SETS)
     for k in range(blocks):
-        own = [(r[0], np.frombuffer(r[1], "<u8")) for r in hard.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()]
+        own = [(r[0], r[1], np.frombuffer(r[2], "<u8")) for r in hard.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()]
         shared = tokens.sparkSession.sparkContext.broadcast(own)
 
         def against(batches, shared=shared):
             for b in batches:
                 found = []
-                for i, data in zip(b["id"].to_pylist(), b["tokens"].to_pylist()):
+                for i, n, data in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["tokens"].to_pylist()):
                     y = np.frombuffer(data, "<u8")
-                    for j, x in shared.value:
-                        if i != j and scheme.least(max(len(x), len(y))) <= min(len(x), len(y)):
-                            both = len(np.intersect1d(x, y, assume_unique=True))
-                            if scheme.den * both >= scheme.num * (len(x) + len(y) - both):
-                                found.append((j, i))
+                    for j, k, x in shared.value:
+                        if i != j and scheme.links(n + k, min(len(x), len(y))) and scheme.links(n + k, len(np.intersect1d(x, y, assume_unique=True))):
+                            found.append((j, i))
                 yield {"a": [x[0] for x in found], "b": [x[1] for x in found]}
 
-        out.append(arrow_map(tokens.select("id", "tokens"), against, "a long, b long"))
+        out.append(arrow_map(tokens.select("id", "n", "tokens"), against, "a long, b long"))
     return reduce(DataFrame.unionByName, out) if out else None
 
 
-def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, allocate: bool = True) -> list[DataFrame]:
-    """Verified links among the ids that share a signature, enough to connect every linked pair that collides.
+def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
+    """Verified links among the ids that share a signature of `scheme`, enough to connect every linked pair.
 
-    `signed` has (sig, id, n), `tokens` (id, tokens). No group is gathered: pivots are minima by key, members join them. With
-    `allocate` the signatures are those of `scheme`, and of one that several components and many ids share only the ids that
-    can't do without it look for others there.
+    `signed` has (sig, id, n, u), `tokens` (id, n, tokens, x, y), x and y being the parities of the tokens and u counting the tokens of a set that no other has. No group is gathered: each signature
+    has a pivot, the set with the fewest tokens of its own, which its members join. Of a signature that several components and
+    many ids share, only the ids that can't do without it look for others there.
     """
-    pivots = signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("many")).filter("pivot < last").select("sig", "pivot", "many")
-    multi = stage(signed.join(pivots, "sig"), "multi")
+    pivots = signed.groupBy("sig").agg(F.min(F.struct("u", "id", "n")).alias("p"), F.count("*").alias("many")).filter("many > 1")
+    multi = signed.join(pivots, "sig").select("sig", "id", "n", "u", "many", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.u").alias("u_p"))
+    multi = stage(multi, "multi")
 
     # First each set against the one pivot that shares most signatures with it.
-    stars = multi.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"))
+    stars = multi.filter("id <> pivot").filter(_possible(scheme, "", "_p")).groupBy("id", "pivot").agg(F.count("*").alias("c"))
     tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("a")).select("a", F.col("id").alias("b")), "tried")
     links = stage(_verified(tried, tokens, scheme), "links")
     label = stage(components(links), "label")
 
     # Then, in signatures that still hold several components, pairs across components.
-    named = multi.join(maybe_broadcast(label.withColumnRenamed("node", "id"), label.count()), "id", "left").select("sig", "id", "n", "many", F.coalesce("component", "id").alias("c"))
+    marks = stage(tokens.select("id", "x", "y").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", F.coalesce("component", "id").alias("c")), "marks")
+    named = multi.select("sig", "id", "n", "u", "many").join(maybe_broadcast(marks, marks.count()), "id")
     mixed = named.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("sig")
     open_ = stage(named.join(mixed, "sig"), "open")
-    costly = (F.col("many") > COSTLY) if allocate else F.lit(False)
-    a, b = (open_.filter(~costly).select("sig", F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-    pairs = a.join(b, "sig").filter("a < b AND c_a <> c_b").filter(_compatible(scheme, "n_a", "n_b")).select("a", "b")
-    staged = [multi, tried, label, open_]
-    if allocate:
-
-        def choose(batches):
-            for batch in batches:
-                sig, ids, n = [], [], []
-                for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
-                    still = scheme.unavoidable(np.frombuffer(data, "<u8"), np.array(dear, np.int64).view(np.uint64))
-                    sig.append(still.view(np.int64)), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k))
-                yield {"sig": np.concatenate(sig), "id": np.concatenate(ids), "n": np.concatenate(n)} if sig else {"sig": [], "id": [], "n": []}
-
-        dear = open_.filter(costly).groupBy("id").agg(F.collect_list("sig").alias("dear"))  # of one set
-        asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, id long, n long"), "asks")
-        askers = asks.join(label.withColumnRenamed("node", "id"), "id", "left").select("sig", F.col("id").alias("p"), F.col("n").alias("n_p"), F.coalesce("component", "id").alias("c_p"))
-        asked = open_.filter(costly).select("sig", "id", "n", "c").join(askers, "sig").filter("c <> c_p AND (n > n_p OR n = n_p AND id > p)").filter(_compatible(scheme, "n", "n_p"))
-        pairs = pairs.unionByName(asked.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")))
-        staged.append(asks)
-    across = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    costly = F.col("many") > COSTLY
+    a, b = (open_.filter(~costly).select("sig", *(F.col(x).alias(f"{x}_{k}") for x in ("id", "n", "u", "x", "y", "c"))) for k in "ab")
+    pairs = a.join(b, "sig").filter("id_a < id_b AND c_a <> c_b").filter(_possible(scheme, "_a", "_b") & _near_enough(scheme, "_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    def choose(batches):
+        for batch in batches:
+            sig, most, ids, n, u = ([np.empty(0, np.int64)] for _ in range(5))
+            for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
+                t = np.frombuffer(data, "<u8")
+                given = np.array([x["sig"] for x in dear], np.int64).view(np.uint64)
+                order = np.argsort(given)
+                still, limit = scheme.unavoidable(t, k, given[order], np.array([x["many"] for x in dear], np.int64)[order])
+                sig.append(still.view(np.int64)), most.append(limit), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k)), u.append(np.full(len(still), k - len(t)))
+            yield {"sig": np.concatenate(sig), "most": np.concatenate(most), "id": np.concatenate(ids), "n": np.concatenate(n), "u": np.concatenate(u)}
+
+    dear = open_.filter(costly).groupBy("id").agg(F.collect_list(F.struct("sig", "many")).alias("dear"))  # of one set
+    asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, most long, id long, n long, u long"), "asks")
+    askers = asks.join(marks, "id").select("sig", "most", *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))
+    asked = open_.filter(costly).join(askers, "sig").filter("c <> c_p AND u <= most AND (n > n_p OR n = n_p AND id > id_p)").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p"))
+    pairs = pairs.unionByName(asked.select(F.least("id_p", "id").alias("a"), F.greatest("id_p", "id").alias("b")))
+    across = pairs.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stage(_verified(across, tokens, scheme), "links")
-    unstage(*staged)
+    unstage(multi, tried, label, marks, open_, asks)
     return [links, more]
 
 
-def jaccard_links(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(sets, links) of the exact Jaccard self-join of the word-shingle sets of `docs`.
+def linked_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Verified links (a, b) among sets (id, n, tokens), enough to connect every linked pair.
 
-    sets has a row for each row of `docs`: doc_id, n, h1, h2, rep, where rows with equal sets share rep, the smallest doc_id among
-    them. links has verified pairs (a, b) of such representatives: enough of them that every linked pair is
-    connected, as a set that already reached another through verified links isn't compared again.
+    Of each set only the tokens that another has too are signed and compared, and only sets with enough of them to link at all.
     """
-    scheme = Scheme(num, den)
-    led = stage(_sets(docs, scheme, width), "sets")
-    measured = stage(led.drop("lead"), "sizes")
-    groups = measured.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    lead_entries = led.agg(F.sum(F.length("lead") / 6)).first()[0] or 0
-    bits = max(4, math.ceil(math.log2(lead_entries / BUCKET_ENTRIES + 1)))
-    shared = _shared_leading(led.filter("n > 0"), bits)
-    enough = 1 + F.floor(F.ceil(F.col("n") * num / den) / 8)
-    alive = stage(groups.join(shared, "h1").filter(F.col("rep").isNotNull() & (F.col("shared") >= enough)), "alive")
-    n_alive = alive.count()
-    unstage(led)
+    shared = shared_tokens(sets)
 
-    def tokenise(batches):
+    def ready(batches):
         for b in batches:
-            rows = {"id": [], "n": [], "tokens": [], "hard": []}
-            for i, t, h1, h2 in zip(b["rep"].to_pylist(), b["text"].to_pylist(), b["h1"].to_pylist(), b["h2"].to_pylist()):
-                tokens = shingle_hashes(t, width)
-                if _set_hash(tokens) == (h1, h2):
-                    rows["id"].append(i), rows["n"].append(len(tokens)), rows["tokens"].append(tokens.astype("<u8").tobytes())
-                    rows["hard"].append(not scheme.signatures(tokens)[1])
-            yield rows
+            keep = [scheme.links(n, len(t) // 8) for n, t in zip(b["n"].to_pylist(), b["tokens"].to_pylist())]
+            b = {k: v.filter(pa.array(keep, pa.bool_())) for k, v in b.items()}
+            own = [np.frombuffer(t, "<u8") for t in b["tokens"].to_pylist()]
+            bits = np.array([_parities(t) for t in own], np.int64).reshape(-1, 2)
+            yield b | {"hard": [not scheme.signatures(t, n)[1] for n, t in zip(b["n"].to_pylist(), own)], "x": bits[:, 0], "y": bits[:, 1]}
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive.select("rep", "h1", "h2"), n_alive, BROADCAST_ROWS), "rep")
-    tokens = stage(arrow_map(whole, tokenise, "id long, n long, tokens binary, hard boolean"), "tokens")
+    tokens = stage(arrow_map(shared.join(sets.select("id", "n").distinct(), "id").select("id", "n", "tokens"), ready, "id long, n long, tokens binary, hard boolean, x long, y long"), "shared")
 
     def sign(batches):
         for b in batches:
             for at in range(0, len(b["id"]), SIGNED_SETS):
                 part = {k: v.slice(at, SIGNED_SETS) for k, v in b.items()}
-                own = [scheme.signatures(np.frombuffer(x, "<u8"))[0].view(np.int64) for x in part["tokens"].to_pylist()]
+                n, held = part["n"].to_numpy(), [np.frombuffer(x, "<u8") for x in part["tokens"].to_pylist()]
+                own = [scheme.signatures(x, k)[0].view(np.int64) for x, k in zip(held, n.tolist())]
                 times = [len(x) for x in own]
-                yield {"sig": np.concatenate(own), "id": np.repeat(part["id"].to_numpy(), times), "n": np.repeat(part["n"].to_numpy(), times)}
+                yield {"sig": np.concatenate(own), "id": np.repeat(part["id"].to_numpy(), times), "n": np.repeat(n, times), "u": np.repeat(n - np.array([len(x) for x in held]), times)}
 
-    signed = arrow_map(tokens.select("id", "n", "tokens"), sign, "sig long, id long, n long")
+    signed = arrow_map(tokens.select("id", "n", "tokens"), sign, "sig long, id long, n long, u long")
     found = colliding_links(signed, tokens, scheme)
     hard = _hard_links(tokens, scheme)
     if hard is not None:
         found.append(stage(hard, "links"))
-    unstage(tokens, alive)
-    reps = measured.join(groups.select("h1", "h2", "rep"), ["h1", "h2"], "left")
-    return reps.select("doc_id", "n", "h1", "h2", "rep"), reduce(DataFrame.unionByName, found)
+    unstage(tokens)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -375,11 +468,42 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, de
     Two documents link when den * |A and B| >= num * |A or B| for their shingle sets; component_id is the smallest doc_id reachable by
     links. Null texts and those without words have no shingles and stand alone, as do all of an empty table's none. A
     row with a null doc_id has its set counted but can't be named: it joins the component of an equal set that
-    has an id, else component_id is null. Repeated rows are equal sets. Other columns are ignored.
+    has an id, else component_id is null. Repeated rows are equal sets, and rows of one doc_id with different texts are documents of their own. Other columns are ignored.
+
+    Equal sets are joined first. A prefix filter then leaves the sets that can link by how many of their leading tokens others lead with;
+    these are read again and joined by `linked_sets`.
     """
-    sets, links = jaccard_links(docs, width, num, den)
+    scheme = Scheme(num, den)
+    led = stage(_sets(docs, scheme, width), "sets")
+    measured = stage(led.drop("lead"), "sizes")
+    groups = measured.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    lead_entries = led.agg(F.sum(F.length("lead") / 6)).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(lead_entries / BUCKET_ENTRIES + 1)))
+    shared = _shared_leading(led.filter("n > 0"), bits)
+    enough = 1 + F.floor(F.ceil(F.col("n") * num / den) / 8)
+    able = groups.join(shared, "h1").filter(F.col("rep").isNotNull() & (F.col("shared") >= enough))
+    alive = stage(able.select("h1", "h2", "rep", F.monotonically_increasing_id().alias("id")), "alive")
+    n_alive = alive.count()
+    unstage(led)
+
+    def tokenise(batches):
+        for b in batches:
+            rows = {"id": [], "n": [], "tokens": []}
+            for i, t, h1, h2 in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["h1"].to_pylist(), b["h2"].to_pylist()):
+                tokens = shingle_hashes(t, width)
+                if _set_hash(tokens) == (h1, h2):
+                    rows["id"].append(i), rows["n"].append(len(tokens)), rows["tokens"].append(tokens.astype("<u8").tobytes())
+            yield rows
+
+    wanted = alive.select("id", "rep", "h1", "h2")
+    whole = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(wanted, n_alive), "rep").select("id", "text", "h1", "h2")
+    tokens = stage(arrow_map(whole, tokenise, "id long, n long, tokens binary"), "tokens")
+    links = linked_sets(tokens, scheme)
+    unstage(tokens)
     label = stage(components(links), "label")
-    unstage(links)
-    label = maybe_broadcast(label, label.count())
-    out = sets.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    named = alive.join(maybe_broadcast(label.withColumnRenamed("node", "id"), label.count()), "id")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = stage(named.join(least, "component").select("h1", "h2", "component_id"), "found")
+    reps = groups.join(maybe_broadcast(found, found.count()), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
+    out = measured.join(reps, ["h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
