@@ -10,47 +10,68 @@ from tessella.llm.common import doc_bucket, maybe_broadcast, stage
 from tessella.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """`docs` without the rows whose key is in `dropped`; rows with a null key stay."""
-    dropped = stage(dropped.select(key).distinct(), "dropped")
-    return docs.join(maybe_broadcast(dropped, dropped.count()), key, "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs`, staged, with a column that tells rows apart whatever their doc_ids, and its name, which no other column has."""
+    row = "row_of_stage"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """`docs` without the rows whose number is in `dropped`, and without that number."""
+    dropped = stage(dropped.select(row).distinct(), "dropped")
+    return docs.join(maybe_broadcast(dropped, dropped.count()), row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which no learned language is recognised: no letters, or no likeness to any profile."""
+    """Drops the documents in which no learned language is recognised: null and empty texts, those without letters or without any likeness to a profile.
+
+    Rows are judged one by one: repeated rows share their fate, other columns stay as they are, and an empty table stays empty.
+    """
     profiles = language_id.fit_language_profiles(docs.filter(doc_bucket(F.col("doc_id"), 4) != 2))
     known = language_id.language_column(profiles)("text")
     return docs.filter((known["lang_pred"] != "und") & (known["score"] > 0))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    row = "exact_dedup_row"
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    """Of equal texts the row with the largest doc_id stays; of rows with that doc_id one. A null text equals the empty one, a null doc_id is the smallest."""
+    numbered, row = _numbered(docs)
     decided = exact_dedup.exact_dedup(numbered, row)
-    return _without(numbered, decided.filter("NOT kept").select(F.col("row").alias(row)), row).drop(row)
+    return _without(numbered, decided.filter("NOT kept").select(F.col("row").alias(row)), row)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = ngram_join.near_duplicate_components(docs)
-    return _without(docs, found.filter("component_id <> doc_id"), "doc_id")
+    """Of each group of near-duplicates the row with the smallest doc_id stays; a null doc_id counts as the largest.
+
+    Rows are told apart by number, so that rows of one doc_id with different texts are judged each on its own; a
+    text without words is linked with nothing and stays.
+    """
+    numbered, row = _numbered(docs)
+    found = ngram_join.near_duplicate_components(numbered.select(F.col(row).alias("doc_id"), "text"))
+    found = stage(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group_of_row")), "groups")
+    several = found.groupBy("group_of_row").agg(F.count("*").alias("n")).filter("n > 1").select("group_of_row")
+    members = stage(found.join(several, "group_of_row"), "members")
+    named = numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(maybe_broadcast(members, members.count()), row)
+    least = named.groupBy("group_of_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", row))[row].alias("kept_row"))
+    return _without(numbered, members.join(least, "group_of_row").filter(F.col(row) != F.col("kept_row")), row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item."""
-    found = decontaminate.find_benchmark_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found, "doc_id")
+    """Drops the rows whose text contains a benchmark item; of rows with one doc_id only those that do. Null and empty texts contain none."""
+    numbered, row = _numbered(docs)
+    found = decontaminate.find_benchmark_items(numbered.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(numbered, found.select(F.col("doc_id").alias(row)), row)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left, packed into sequences."""
+    """The token pieces of what is left, packed into sequences; every row has pieces, null and empty texts one of one id."""
     return packing.best_fit_packing(docs, tokenizer_path())
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("packing", packed)]
 
-#: SQL can express neither the language stage nor the packing; tests/llm holds the stages against brute force.
+#: SQL can express neither the language stage nor the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -27,8 +27,8 @@ class Coder:
     """Ids of whole texts from a byte-level BPE file; ids of chunks are kept, as no token crosses a chunk.
 
     The pre-tokeniser of such files ends a piece before every single space, around every single newline and where letters
-    end, so a text without other white space falls into chunks that encode alone as they do in place; any other text
-    is encoded whole. Once `limit` chunks are known, ids of new ones are not kept beyond their text.
+    end, so a text without other white space falls into chunks that encode alone as they do in place; any other text,
+    and one that spells out an added token, is encoded whole. Once `limit` chunks are known, ids of new ones are not kept beyond their text.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -36,17 +36,16 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """Whether single spaces and single newlines between other characters are all the white space there is."""
-        return not (text[-1:].isspace() or any(x in text for x in _PAIRS) or not text.isascii() and _ODD_SPACE.search(text))
+    def _plain(self, text: str) -> bool:
+        """Whether single spaces and single newlines between other characters are all the white space there is, and no added token is spelled out."""
+        return not (text[-1:].isspace() or any(x in text for x in _PAIRS) or any(x in text for x in self.added) or not text.isascii() and _ODD_SPACE.search(text))
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers, an end-of-document id last."""
@@ -120,13 +119,13 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual-feasible functions on the number of bins.
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """The best bound of two families of dual-feasible functions on the number of bins for items of these sizes, each so many times.
 
     Rounding functions with k = 1..100: x (k+1)/C stays when whole, else is floored, over k. Threshold
     functions: sizes over C - e count as C, sizes under e as nothing. k = 0 is the plain volume bound.
     """
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.bincount(sizes, times, capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     for k in range(1, 101):
@@ -142,7 +141,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 
 def _fitter(turn: int, last: bool, capacity: int):
-    """The packing of one group in one round."""
+    """The packing of one group in one round: a group whose bound certifies its bins opens its emptiest one alone, another more of them."""
 
     def fit(key, pdf):
         pdf = pdf.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -152,7 +151,7 @@ def _fitter(turn: int, last: bool, capacity: int):
         gap = len(used) - lower_bound(sizes, capacity)
         opened = np.zeros(len(used), bool)
         if not last:
-            opened[np.argsort(used, kind="stable")[: gap + 1 + len(used) // 8]] = True
+            opened[np.argsort(used, kind="stable")[: gap + 1 + (len(used) // 8 if gap else 0)]] = True
             opened &= used < capacity
         order = np.argsort(bins, kind="stable")
         running = np.cumsum(sizes[order]) - sizes[order]
@@ -164,24 +163,24 @@ def _fitter(turn: int, last: bool, capacity: int):
     return fit
 
 
-def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, rounds: int = 12, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(row, piece, sequence_id, offset): bins for (row, piece, length), with as few bins as the rounds reach.
 
     Full pieces are bins of their own. The others are dealt to groups of about `group_items`, those of one batch in turn
     by size, so that all groups get like mixtures of sizes; each is packed
-    by best-fit decreasing and holds its bins against its dual-feasible bound. The emptiest eighth of its bins is opened, and as many
-    more as its bins exceed the bound by. Opened pieces are dealt anew to fewer groups, so that groups exchange
-    documents, and packed again; the last round closes all. Every group is of bounded size.
+    by best-fit decreasing and holds its bins against its dual-feasible bound. A group that has as many bins as its bound is certified and closes
+    all but its emptiest one, the rest that rounding leaves. Any other opens its emptiest eighth too, and as many more as its bins exceed the bound by; opened
+    pieces are dealt anew to fewer groups, so that groups exchange documents, and packed again. That ends when one group is left, or when a round saves no
+    bin. Every group is of bounded size.
     """
     full = items.filter(F.col("length") >= capacity).select("row", "piece", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pool = items.filter(F.col("length") < capacity).select("row", "piece", "length")
-    done = [full]
+    done, before = [full], None
     for turn in range(rounds):
         n = pool.count()
         if not n:
             break
         groups = max(1, math.ceil(n / group_items))
-        last = turn == rounds - 1 or groups == 1
 
         def deal(batches, groups=groups, salt=np.uint64(turn)):
             for b in batches:
@@ -191,18 +190,27 @@ def pack(items: DataFrame, capacity: int = 1024, rounds: int = 4, group_items: i
                 first = int(mix(row[:1].view(np.uint64) + salt)[0] % np.uint64(groups)) if len(row) else 0
                 yield {"row": row, "piece": b["piece"], "length": length, "g": (place + first) % groups}
 
+        last = turn == rounds - 1 or groups == 1
         dealt = arrow_map(pool, deal, "row long, piece int, length long, g long")
         packed = stage(dealt.groupBy("g").applyInPandas(_fitter(turn, last, capacity), "row long, piece int, length long, sequence_id long, offset long, opened boolean"), "packed")
-        done.append(packed.filter("NOT opened").select("row", "piece", "sequence_id", "offset"))
-        if last:
+        now, opened = packed.agg(F.sum((F.col("offset") == 0).cast("long")), F.sum((F.col("opened") & (F.col("offset") == 0)).cast("long"))).first()
+        if last or not opened or before is not None and now >= before:
+            done.append(packed.select("row", "piece", "sequence_id", "offset"))
             break
-        pool = packed.filter("opened").select("row", "piece", "length")
+        done.append(packed.filter("NOT opened").select("row", "piece", "sequence_id", "offset"))
+        pool, before = packed.filter("opened").select("row", "piece", "length"), opened
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """(sequences, the dual-feasible bound on any packing of the same pieces) of a result (length, offset); the driver gets a count for each length."""
+    many = packed.groupBy(F.col("length").cast("long").alias("length")).agg(F.count("*").alias("n"), F.sum((F.col("offset") == 0).cast("long")).alias("first")).collect()
+    return sum(r["first"] for r in many), lower_bound(np.array([r["length"] for r in many], np.int64), capacity, np.array([r["n"] for r in many]))
+
+
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of every document.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import maybe_broadcast, stage
 
 # Forms of address by gender, and names to draw from by gender and script.
-TITLES = {"m": "Mr|Sir|Herr|Herrn|M|Monsieur|Señor|Sr|Don|Signor|г-н|господин|κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Madame|Señora|Señorita|Sra|Srta|Doña|Signora|г-жа|госпожа|κυρία"}
+TITLES = {"m": r"Mr|Sir|Herr|Herrn|M(?=\.)|Monsieur|Señor|Sr|Don|Signor|г-н|господин|κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Madame|Señora|Señorita|Sra|Srta|Doña|Signora|г-жа|госпожа|κυρία"}
 GIVEN = {
     ("m", "latin"): "Adam Alan Albert Anton Bruno Carl Daniel David Edgar Felix Frank Georg Hugo Ivan Jonas Julian Karl Leo Louis Lukas Marco Martin Max Nils Oscar Otto Paul Peter Ralf Robert Simon Victor".split(),
     ("f", "latin"): "Ada Alice Anna Berta Carla Clara Diana Edith Ella Emma Eva Flora Greta Hanna Helen Ida Irene Julia Karen Laura Lena Linda Lucia Maria Nina Nora Olga Paula Rosa Sara Sonia Vera".split(),
@@ -31,9 +31,10 @@ _NAME = rf"{_PART}(?:(?: |(?<=\.))(?:{_PARTICLE}){{0,3}}{_PART}){{0,7}}+"
 # Country calling codes of one and two digits; all others have three.
 _CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
-#: Java regular expressions by type, in order of precedence; each can only begin where its run of characters begins.
+#: Java regular expressions by type, in order of precedence; each can only begin where its run of characters begins. What repeats without a bound is
+#: one class of characters or possessive, which Java matches without recursion, however long a run is.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -167,29 +168,40 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
     return out.select("kind", "canonical", "surrogate")
 
 
-def replace_pii(docs: DataFrame, key: str = "tessella") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, kinds, text), one row per row of `docs`, each mention of an entity replaced by its surrogate.
 
     Found are e-mail addresses, secrets, IBANs, IPv4 addresses, telephone and social security numbers, long numbers such as those of cards, and
-    names after a form of address. A surrogate keeps the type, script, gender, length and separators of what it replaces
+    names after a form of address. A name of one word that ends a longer one in the same text, as in "Mr. John Smith ... Mr. Smith", is the same entity and gets the
+    last word of its surrogate; in the text of another document it is an entity of its own. A surrogate keeps the type, script, gender, length and separators of what it replaces
     (a number also its Luhn sum, a telephone number its country code, an address its top-level domain); mentions of one
     entity, whatever their format, get the same one everywhere, different entities different ones. It follows from the key, so that
-    it can't be undone without it. kinds holds the distinct types found, in order. Null texts stay null with no entity; repeated
+    it can't be undone without it; keep the key secret. kinds holds the distinct types found, in order. Null texts stay null with no entity; repeated
     rows are replaced alike; other columns are ignored; an empty table gives an empty result.
     """
     hints = F.col("text").rlike("[0-9@]")
-    for word in sorted({w for t in TITLES.values() for w in t.split("|")}):
-        if not any(word != w and word.startswith(w) and len(w) > 1 for t in TITLES.values() for w in t.split("|")):
-            hints = hints | (F.col("text").contains(f"{word} ") | F.col("text").contains(f"{word}. ") if len(word) == 1 else F.col("text").contains(word))
+    words = sorted({w for t in TITLES.values() for w in t.split("|")})
+    for word in words:
+        if word.endswith(r"(?=\.)"):
+            hints = hints | F.col("text").contains(f"{word.removesuffix(r'(?=\.)')}. ")
+        elif not any(word != w and word.startswith(w) for w in words):
+            hints = hints | F.col("text").contains(word)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("mentions", F.when(hints, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
     some = F.coalesce(F.size("mentions") > 0, F.lit(False))
     found = stage(rows.filter(some).withColumn("parts", F.split("text", ANY, -1)).drop("text"), "mentions")
 
-    each = found.select("row", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", _kind(F.col("mention")))
-    each = stage(each.withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))), "each")
+    # of one document each: its mentions, and the whole names among them that a name of one word may stand for
+    each = F.transform("mentions", lambda m: F.struct(m.alias("mention"), _kind(m).alias("kind")))
+    known = found.select("row", F.transform(each, lambda x: F.struct(x["mention"].alias("mention"), x["kind"].alias("kind"), _canonical(x["kind"], x["mention"]).alias("canonical"))).alias("known"))
+    known = known.withColumn("names", F.filter(F.transform(F.filter("known", lambda x: x["kind"] == "name"), lambda x: x["canonical"]), lambda x: F.instr(x, " ") > 0))
+    each = known.select("row", "names", F.posexplode("known").alias("pos", "k")).select("row", "names", "pos", "k.*")
+    owner = F.when((F.col("kind") == "name") & (F.instr("canonical", " ") == 0), F.get(F.filter("names", lambda x: F.endswith(x, F.concat(F.lit(" "), F.col("canonical")))), F.lit(0)))
+    each = stage(each.select("row", "pos", "mention", "kind", owner.isNotNull().alias("short"), F.coalesce(owner, "canonical").alias("canonical")), "each")
     entities = stage(each.groupBy("kind", "canonical").agg(F.min(F.when(F.col("kind") == "name", _gender(F.col("mention"))).otherwise("m")).alias("gender")), "entities")
-    given = each.join(surrogates(entities, key), ["kind", "canonical"]).select("row", "pos", "kind", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
+    drawn = stage(surrogates(entities, key), "surrogates")
+    surrogate = F.when(F.col("short"), F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
+    given = each.join(maybe_broadcast(drawn, drawn.count()), ["kind", "canonical"]).select("row", "pos", "kind", _rendered(F.col("kind"), F.col("mention"), surrogate).alias("new"))
     by_row = given.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"))  # of one document
     joined = found.join(by_row, "row")
     text = F.concat(F.array_join(F.transform("new", lambda x, i: F.concat(F.get("parts", i), x["new"])), ""), F.element_at("parts", -1))

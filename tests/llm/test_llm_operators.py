@@ -205,7 +205,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.best_fit_packing(docs, tokenizer_path()).toPandas()
     assert got["length"].between(1, 1024).all()
     for _, s in got.sort_values("offset").groupby("sequence_id"):
@@ -246,11 +245,32 @@ def test_packed_groups_exchange(spark):
 
 def test_coder_equals_whole_texts():
     code = packing.Coder(tokenizer_path(), limit=20)
-    for t in ["a b", "it's 3rd", "x  y", "a\nb c\n\nd", "tab\there", "end ", "é²3 _x", "<|endoftext|>", " q", "日本 語。", "", "don't\nstop 12ab"] * 2:
+    for t in ["a b", "it's 3rd", "x  y", "a\nb c\n\nd", "tab\there", "end ", "é²3 _x", "<|endoftext|>", " q", "日本 語。", "see <|endoftext|> here", "", "don't\nstop 12ab"] * 2:
         want = np.array([*code.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert code.ids(t) == want
 
 
+def test_packing_keeps_added_tokens_and_certifies(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(i, "word " * (i % 700) + "<|endoftext|> end") for i in range(400)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path())
+    ids = np.array([*Tokenizer.from_file(tokenizer_path()).encode(rows[9][1], add_special_tokens=False).ids, 2], "<u4")
+    own = got.filter("doc_id = 9").collect()
+    assert len(own) == 1 and own[0]["ids_crc32"] == zlib.crc32(ids.tobytes())
+    bins, bound = packing.certificate(got)
+    assert bins == got.select("sequence_id").distinct().count() and bound <= bins <= bound * 1.01
+    assert packing.certificate(got.limit(0)) == (0, 0)
+
+
+def test_certified_groups_stay_closed(spark):
+    items = spark.createDataFrame([(i, 0, 512) for i in range(2000)], "row long, piece int, length long")
+    assert packing.pack(items, group_items=100).select("sequence_id").distinct().count() == 1000
+    sizes = np.full(4, 600)
+    pdf = packing.pd.DataFrame({"row": range(4), "piece": 0, "length": sizes})
+    assert packing._fitter(0, False, 1024)((0,), pdf)["opened"].sum() == 1
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_by_bytes(docs).toPandas()
     texts = {}
@@ -338,7 +358,21 @@ def test_pii(spark, docs, empty):
     digits = [int(c) for c in plain]
     assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     assert re.search(r"Frau [A-Z][a-z]+ [A-Z]", got[2]["text"]) and re.search(r"г-н [А-Я][а-яё]+ [А-Я]", got[6]["text"])
-    assert pii.replace_pii(empty).count() == 0 and pii.replace_pii(docs).count() == len(corpus())
+    assert pii.replace_pii(empty, "k").count() == 0 and pii.replace_pii(docs, "k").count() == len(corpus())
+
+
+@pytest.mark.parametrize("run", ["a.", "a@", "Aa", " 22", "22", "Mr A", "J.", "a-", " DE89", "+1 22 ", "é", "0.0."])
+def test_pii_survives_long_runs(spark, run):
+    text = "mail x@" + run * (1_000_000 // len(run)) + "com Mr John Smith"
+    got = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert got["text"] is not None and not got["text"].endswith("John Smith")
+
+
+def test_pii_short_name_is_the_long_one(spark):
+    rows = [(1, "Mr. John Smith met Ms Jones. Mr Smith left; Mr. Brown came."), (2, "Mr. Smith is another one. M Street in town")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    whole, short = re.match(r"Mr\. (.+?) met Ms .+? Mr (.+?) left", got[1]).groups()
+    assert whole.split(" ")[-1] == short and " " in whole and got[2].endswith("M Street in town")
 
 
 def test_pii_surrogates_are_distinct(spark):
