@@ -29,15 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` as Parquet, with the writer's options, to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _STAGING}
     for k, v in _STAGING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
