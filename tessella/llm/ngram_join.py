@@ -379,12 +379,13 @@ def _hard_links(tokens: DataFrame, scheme: Scheme) -> DataFrame | None:
     return reduce(DataFrame.unionByName, out) if out else None
 
 
-def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
+def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, allocate: bool = True) -> list[DataFrame]:
     """Verified links among the ids that share a signature of `scheme`, enough to connect every linked pair.
 
     `signed` has (sig, id, n, u), `tokens` (id, n, tokens, x, y), x and y being the parities of the tokens and u counting the tokens of a set that no other has. No group is gathered: each signature
     has a pivot, the set with the fewest tokens of its own, which its members join. Of a signature that several components and
-    many ids share, only the ids that can't do without it look for others there.
+    many ids share, only the ids that can't do without it look for others there; without `allocate` the signatures may be
+    any, and all ids look for others in all of them.
     """
     pivots = signed.groupBy("sig").agg(F.min(F.struct("u", "id", "n")).alias("p"), F.count("*").alias("many")).filter("many > 1")
     multi = signed.join(pivots, "sig").select("sig", "id", "n", "u", "many", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.u").alias("u_p"))
@@ -401,65 +402,70 @@ def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme) -> lis
     named = multi.select("sig", "id", "n", "u", "many").join(maybe_broadcast(marks, marks.count()), "id")
     mixed = named.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("sig")
     open_ = stage(named.join(mixed, "sig"), "open")
-    costly = F.col("many") > COSTLY
+    costly = F.col("many") > COSTLY if allocate else F.lit(False)
     a, b = (open_.filter(~costly).select("sig", *(F.col(x).alias(f"{x}_{k}") for x in ("id", "n", "u", "x", "y", "c"))) for k in "ab")
     pairs = a.join(b, "sig").filter("id_a < id_b AND c_a <> c_b").filter(_possible(scheme, "_a", "_b") & _near_enough(scheme, "_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
-    def choose(batches):
-        for batch in batches:
-            sig, most, ids, n, u = ([np.empty(0, np.int64)] for _ in range(5))
-            for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
-                t = np.frombuffer(data, "<u8")
-                given = np.array([x["sig"] for x in dear], np.int64).view(np.uint64)
-                order = np.argsort(given)
-                still, limit = scheme.unavoidable(t, k, given[order], np.array([x["many"] for x in dear], np.int64)[order])
-                sig.append(still.view(np.int64)), most.append(limit), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k)), u.append(np.full(len(still), k - len(t)))
-            yield {"sig": np.concatenate(sig), "most": np.concatenate(most), "id": np.concatenate(ids), "n": np.concatenate(n), "u": np.concatenate(u)}
-
-    dear = open_.filter(costly).groupBy("id").agg(F.collect_list(F.struct("sig", "many")).alias("dear"))  # of one set
-    asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, most long, id long, n long, u long"), "asks")
-    askers = asks.join(marks, "id").select("sig", "most", *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))
-    asked = open_.filter(costly).join(askers, "sig").filter("c <> c_p AND u <= most AND (n > n_p OR n = n_p AND id > id_p)").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p"))
-    pairs = pairs.unionByName(asked.select(F.least("id_p", "id").alias("a"), F.greatest("id_p", "id").alias("b")))
+    staged = [multi, tried, label, marks, open_]
+    if allocate:
+
+        def choose(batches):
+            for batch in batches:
+                sig, most, ids, n, u = ([np.empty(0, np.int64)] for _ in range(5))
+                for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
+                    t = np.frombuffer(data, "<u8")
+                    given = np.array([x["sig"] for x in dear], np.int64).view(np.uint64)
+                    order = np.argsort(given)
+                    still, limit = scheme.unavoidable(t, k, given[order], np.array([x["many"] for x in dear], np.int64)[order])
+                    sig.append(still.view(np.int64)), most.append(limit), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k)), u.append(np.full(len(still), k - len(t)))
+                yield {"sig": np.concatenate(sig), "most": np.concatenate(most), "id": np.concatenate(ids), "n": np.concatenate(n), "u": np.concatenate(u)}
+
+        dear = open_.filter(costly).groupBy("id").agg(F.collect_list(F.struct("sig", "many")).alias("dear"))  # of one set
+        asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, most long, id long, n long, u long"), "asks")
+        askers = asks.join(marks, "id").select("sig", "most", *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))
+        asked = open_.filter(costly).join(askers, "sig").filter("c <> c_p AND u <= most AND (n > n_p OR n = n_p AND id > id_p)").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p"))
+        pairs = pairs.unionByName(asked.select(F.least("id_p", "id").alias("a"), F.greatest("id_p", "id").alias("b")))
+        staged.append(asks)
     across = pairs.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stage(_verified(across, tokens, scheme), "links")
-    unstage(multi, tried, label, marks, open_, asks)
+    unstage(*staged)
     return [links, more]
 
 
-def linked_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Verified links (a, b) among sets (id, n, tokens), enough to connect every linked pair.
+def comparable_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, n, u, tokens, hard, x, y) of the sets (id, n, tokens) that can link at all, staged.
 
-    Of each set only the tokens that another has too are signed and compared, and only sets with enough of them to link at all.
+    Of each set only the tokens that another has too are kept, all that an overlap can hold; a set without enough of them is left out. u counts
+    the others, x and y are parities of the tokens, and hard tells that a set's signatures don't meet its budgets.
     """
-    shared = shared_tokens(sets)
 
     def ready(batches):
         for b in batches:
             keep = [scheme.links(n, len(t) // 8) for n, t in zip(b["n"].to_pylist(), b["tokens"].to_pylist())]
             b = {k: v.filter(pa.array(keep, pa.bool_())) for k, v in b.items()}
-            own = [np.frombuffer(t, "<u8") for t in b["tokens"].to_pylist()]
+            sizes, own = b["n"].to_pylist(), [np.frombuffer(t, "<u8") for t in b["tokens"].to_pylist()]
             bits = np.array([_parities(t) for t in own], np.int64).reshape(-1, 2)
-            yield b | {"hard": [not scheme.signatures(t, n)[1] for n, t in zip(b["n"].to_pylist(), own)], "x": bits[:, 0], "y": bits[:, 1]}
+            yield b | {"u": [n - len(t) for n, t in zip(sizes, own)], "hard": [not scheme.signatures(t, n)[1] for n, t in zip(sizes, own)], "x": bits[:, 0], "y": bits[:, 1]}
 
-    tokens = stage(arrow_map(shared.join(sets.select("id", "n").distinct(), "id").select("id", "n", "tokens"), ready, "id long, n long, tokens binary, hard boolean, x long, y long"), "shared")
+    known = shared_tokens(sets).join(sets.select("id", "n").distinct(), "id").select("id", "n", "tokens")
+    return stage(arrow_map(known, ready, "id long, n long, u long, tokens binary, hard boolean, x long, y long"), "comparable")
+
+
+def signature_links(tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
+    """Verified links (a, b) among comparable sets, enough to connect every linked pair: by signatures, and block by block for sets whose signatures aren't enough."""
 
     def sign(batches):
         for b in batches:
             for at in range(0, len(b["id"]), SIGNED_SETS):
                 part = {k: v.slice(at, SIGNED_SETS) for k, v in b.items()}
-                n, held = part["n"].to_numpy(), [np.frombuffer(x, "<u8") for x in part["tokens"].to_pylist()]
-                own = [scheme.signatures(x, k)[0].view(np.int64) for x, k in zip(held, n.tolist())]
+                own = [scheme.signatures(np.frombuffer(x, "<u8"), n)[0].view(np.int64) for x, n in zip(part["tokens"].to_pylist(), part["n"].to_pylist())]
                 times = [len(x) for x in own]
-                yield {"sig": np.concatenate(own), "id": np.repeat(part["id"].to_numpy(), times), "n": np.repeat(n, times), "u": np.repeat(n - np.array([len(x) for x in held]), times)}
+                yield {"sig": np.concatenate(own)} | {k: np.repeat(part[k].to_numpy(), times) for k in ("id", "n", "u")}
 
-    signed = arrow_map(tokens.select("id", "n", "tokens"), sign, "sig long, id long, n long, u long")
+    signed = arrow_map(tokens.select("id", "n", "u", "tokens"), sign, "sig long, id long, n long, u long")
     found = colliding_links(signed, tokens, scheme)
     hard = _hard_links(tokens, scheme)
-    if hard is not None:
-        found.append(stage(hard, "links"))
-    unstage(tokens)
-    return reduce(DataFrame.unionByName, found)
+    return found + ([stage(hard, "links")] if hard is not None else [])
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -471,7 +477,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, de
     has an id, else component_id is null. Repeated rows are equal sets, and rows of one doc_id with different texts are documents of their own. Other columns are ignored.
 
     Equal sets are joined first. A prefix filter then leaves the sets that can link by how many of their leading tokens others lead with;
-    these are read again and joined by `linked_sets`.
+    these are read again and joined by `signature_links`.
     """
     scheme = Scheme(num, den)
     led = stage(_sets(docs, scheme, width), "sets")
@@ -498,8 +504,10 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, de
     wanted = alive.select("id", "rep", "h1", "h2")
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(wanted, n_alive), "rep").select("id", "text", "h1", "h2")
     tokens = stage(arrow_map(whole, tokenise, "id long, n long, tokens binary"), "tokens")
-    links = linked_sets(tokens, scheme)
+    comparable = comparable_sets(tokens, scheme)
     unstage(tokens)
+    links = reduce(DataFrame.unionByName, signature_links(comparable, scheme))
+    unstage(comparable)
     label = stage(components(links), "label")
     named = alive.join(maybe_broadcast(label.withColumnRenamed("node", "id"), label.count()), "id")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

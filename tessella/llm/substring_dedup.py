@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, stage, unstage
-from .ngram_join import COSTLY, Scheme, _hard_links, colliding_links
+from .ngram_join import COSTLY, Scheme, colliding_links, comparable_sets, signature_links
 
 #: Words on either side that decide whether a piece ends at a word, and of the longest piece.
 REACH = 4
@@ -20,7 +20,7 @@ MAX_UNIT_WORDS = 40
 MIN_PASSAGE_WORDS = 16
 
 
-def tune_bands(similarity: float, recall: float, values: int = 16) -> tuple[int, int]:
+def tune_bands(similarity: float, recall: float, values: int = 64) -> tuple[int, int]:
     """(bands, rows) with the most rows, for the fewest false collisions, that find a pair of that similarity with that probability within so many hash values."""
     for rows in range(values, 0, -1):
         for bands in range(1, values // rows + 1):
@@ -131,12 +131,12 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """(id, tokens) of the wanted paragraphs, given as (doc_id, content): their shingles, read again where they stand."""
+    """(id, n, tokens) of the wanted paragraphs, given as (doc_id, content): their shingles, read again where they stand."""
     own = wanted.groupBy("doc_id").agg(F.collect_set("content").alias("contents"))  # of one document
 
     def cut(batches):
         for b in batches:
-            ids, tokens = [], []
+            ids, tokens = [], []  # a paragraph that stands twice in its document counts once
             for t, contents in zip(b["text"].to_pylist(), b["contents"].to_pylist()):
                 left, w = set(contents), Words(t or "")
                 shingles = w.shingles()
@@ -144,25 +144,10 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
                     if c in left:
                         left.discard(c)
                         ids.append(c), tokens.append(np.unique(shingles[x : y - 4]).astype("<u8").tobytes())
-            yield {"id": ids, "tokens": tokens}
+            yield {"id": ids, "n": [len(x) // 8 for x in tokens], "tokens": tokens}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(own, n_wanted), "doc_id").select("text", "contents")
-    return arrow_map(rows, cut, "id long, tokens binary")
-
-
-def _crowded_links(ids: DataFrame, tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
-    """Verified links among paragraphs that share a band with many others, by the exact signatures of the n-gram join in place of all pairs of a band."""
-
-    def measure(batches):
-        for b in batches:
-            own = [np.frombuffer(x, "<u8") for x in b["tokens"].to_pylist()]
-            signed = [scheme.signatures(x) for x in own]
-            yield {"id": b["id"], "n": [len(x) for x in own], "tokens": b["tokens"], "hard": [not met for _, met in signed], "sigs": [x.view(np.int64) for x, _ in signed]}
-
-    crowded = stage(arrow_map(tokens.join(ids, "id", "left_semi"), measure, "id long, n long, tokens binary, hard boolean, sigs array<long>"), "crowded")
-    found = colliding_links(crowded.select(F.explode("sigs").alias("sig"), "id", "n"), crowded, scheme)
-    hard = _hard_links(crowded, scheme)
-    return found + ([stage(hard, "links")] if hard is not None else [])
+    return arrow_map(rows, cut, "id long, n long, tokens binary")
 
 
 def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100), recall: float = 0.995, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
@@ -185,18 +170,27 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     lines = units.filter("kind = 'paragraph'")
 
     spread = pieces.groupBy("content").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("content", "keep")
-    same = pieces.join(spread, "content").select("doc_id", "start", "end", "words", "keep", F.col("content").alias("component"), F.lit(0).alias("level"))
+    spread = stage(spread, "spread")
+    same = pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "words", "keep", F.col("content").alias("component"), F.lit(0).alias("level"))
 
-    firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
+    # Paragraphs that collide in a band; of these, those that have enough shingles in common with others to link at all.
+    firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
     firsts = stage(firsts, "firsts")
-    signed = firsts.select(F.explode(F.array(*(f"k{i}" for i in range(bands)))).alias("sig"), F.col("content").alias("id"), F.col("n").cast("long").alias("n"))
-    scheme = Scheme(*similarity)
-    shared = signed.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("many")).filter("x < y").select("sig", "many")
+    signed = firsts.select(F.explode(F.array(*(f"k{i}" for i in range(bands)))).alias("sig"), F.col("content").alias("id"))
+    shared = signed.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("sig")
     colliding = stage(signed.join(shared, "sig"), "colliding")
     wanted = stage(colliding.select(F.col("id").alias("content")).distinct().join(firsts, "content").select("doc_id", "content"), "wanted")
-    tokens = stage(_paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["id"]), "tokens")
-    links = colliding_links(colliding.filter(F.col("many") <= COSTLY).select("sig", "id", "n"), tokens, scheme, allocate=False)
-    links += _crowded_links(colliding.filter(F.col("many") > COSTLY).select("id").distinct(), tokens, scheme)
+    scheme = Scheme(*similarity)
+    sets = stage(_paragraph_sets(docs, wanted, wanted.count()), "tokens")
+    tokens = comparable_sets(sets, scheme)
+
+    # Bands that few paragraphs share are joined pair by pair; paragraphs in others find each other by exact signatures.
+    banded = stage(colliding.join(maybe_broadcast(tokens.select("id", "n", "u"), tokens.count()), "id"), "left")
+    many = banded.groupBy("sig").agg(F.count("*").alias("many")).filter("many > 1")
+    left = stage(banded.join(many, "sig"), "bands")
+    links = colliding_links(left.filter(F.col("many") <= COSTLY).drop("many"), tokens, scheme, allocate=False)
+    crowded = stage(tokens.join(left.filter(F.col("many") > COSTLY).select("id").distinct(), "id", "left_semi"), "crowded")
+    links += signature_links(crowded, scheme)
     label = stage(components(reduce(DataFrame.unionByName, links)), "label")
     labelled = lines.select("doc_id", "start", "end", "words", "content").join(maybe_broadcast(label.withColumnRenamed("node", "content"), label.count()), "content", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "content"))
@@ -215,7 +209,7 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
         F.min("keep").alias("keep_doc_id"),
     )
     passages = stage(passages.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "component", "keep_doc_id", "removed"), "passages")
-    unstage(units, firsts, colliding, wanted, tokens, label, *links)
+    unstage(units, spread, firsts, colliding, wanted, sets, tokens, banded, left, crowded, label, *links)
     return passages
 
 
