@@ -63,6 +63,19 @@ def doc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
+#: What a Python worker keeps between its tasks: objects of one operator at a time, as workers outlive the stages that they serve.
+_KEPT: dict = {"owner": None}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that lives in this Python worker until another operator asks for one."""
+    if _KEPT["owner"] != owner:
+        _KEPT.clear()
+        _KEPT.update(owner=owner, cache={})
+        _WORDS.clear()
+    return _KEPT["cache"]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over plain column dicts: `fn` gets {name: pyarrow array} and yields {name: values} per batch."""
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -71,7 +84,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
 
     arrow = to_arrow_schema(out)
 
+    owner = fn.__module__
+
     def run(batches):
+        worker_cache(owner)
         columns = ({n: c for n, c in zip(b.schema.names, b.columns)} for b in batches)
         for x in fn(columns):
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n).type) for n, v in ((n, x[n]) for n in names)]

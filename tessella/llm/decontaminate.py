@@ -10,14 +10,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, worker_cache
 
 #: Edits allowed, as a share of an item's normalised length.
 ERROR_RATE = 0.08
 #: Characters of items that one automaton holds; a larger benchmark is searched for in several blocks.
 BLOCK_CHARS = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
-_AUTOMATA: dict = {}
 
 
 def normalise(text: str | None) -> str:
@@ -126,10 +125,11 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, error_rate: floa
         shared = docs.sparkSession.sparkContext.broadcast(sorted(((r[0], normalise(r[1])) for r in own), key=lambda x: (x[0] is None, x)))
 
         def search(batches, shared=shared, key=uuid.uuid4().hex):
-            if key not in _AUTOMATA:  # once for each worker, not for each task
-                _AUTOMATA.clear()
-                _AUTOMATA[key] = ItemIndex(shared.value, error_rate)
-            index = _AUTOMATA[key]
+            automata = worker_cache(__name__)
+            if key not in automata:  # once for each worker, not for each task
+                automata.clear()
+                automata[key] = ItemIndex(shared.value, error_rate)
+            index = automata[key]
             for b in batches:
                 rows = [(d, *x) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for x in index.search(normalise(t))]
                 yield {n: [r[i] for r in rows] for i, n in enumerate(("doc_id", "item_id", "distance", "start", "end"))}

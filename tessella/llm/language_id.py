@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_bucket, mix
+from .common import arrow_map, doc_bucket, mix, worker_cache
 
 DIMENSIONS = 1024
 #: Letter symbols: 0 stands between words, 1-26 are a-z, other letters fall by hash onto the rest.
@@ -109,6 +109,7 @@ def language_column(profiles: dict[str, np.ndarray], dimensions: int = DIMENSION
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        worker_cache(__name__)  # lets what other operators kept go
         langs, scores = [], []
         for t in texts:
             codes, counts = trigram_counts(t)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, stage
+from .common import arrow_map, mix, stage, worker_cache
 
 #: Items that one packing task gets, about.
 GROUP_ITEMS = 16_384
@@ -20,7 +20,6 @@ EOD = 2
 _CHUNK = re.compile(r"\n| ?[^\W\d_]+| ?[^ \n]+")
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_CODERS: dict = {}
 
 
 class Coder:
@@ -69,9 +68,10 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    cache = worker_cache(__name__)
+    if path not in cache:
+        cache[path] = Coder(path)
+    return cache[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
