@@ -58,6 +58,11 @@ def optional_number(text: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def without_ending(text: Column, ending: str) -> Column:
+    """`text` without that ending where it has it."""
+    return F.when(text.endswith(ending), F.left(text, F.length(text) - len(ending))).otherwise(text)
+
+
 def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

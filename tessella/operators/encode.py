@@ -5,11 +5,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Providers that have an encoder, words in an error after which a batch is tried again row by row, and outputs of a model in order of choice.
+PROVIDERS = ("openclip", "openclip_hf_hub", "transformers_clip", "transformers_image_features", "transformers_metaclip2", "transformers_vision_pool", "nomic_transformers", "imagebind", "sentence_transformers")
+RETRIED = ("out of memory", "cannot convert", "shape")
+OUTPUTS = ("image_embeds", "pooler_output", "last_hidden_state", "hidden_states", "embeds", "logits")
+
+
+def runnable(provider: Column) -> Column:
+    return provider.isin(*PROVIDERS)
+
+
+def device(cuda: Column, mps: Column) -> Column:
+    """The device to encode on: cuda before mps before cpu."""
+    return F.when(cuda, "cuda").when(mps, "mps").otherwise("cpu")
+
+
+def as_matrix(output) -> np.ndarray:
+    """The vectors in a model's output: an array, or the first present field of a mapping or object; of one with a place for each token, the first token.
+
+    Of a list of layers the last one counts.
+    """
+    given = output.get if isinstance(output, dict) else lambda n: getattr(output, n, None)
+    if not isinstance(output, (np.ndarray, list, tuple)):
+        found = next((given(n) for n in OUTPUTS if given(n) is not None), None)
+        if found is None:
+            raise RuntimeError(f"{type(output).__name__} has no field that holds vectors")
+        output = found[-1] if isinstance(found, (list, tuple)) and np.ndim(found[-1]) >= 2 else found
+    matrix = np.asarray(output, np.float64)
+    return matrix[:, 0] if matrix.ndim == 3 else matrix
+
+
 class Encoder(Protocol):
     """What a model plug-in provides; it is built once for each Python worker."""
 
@@ -21,7 +52,8 @@ class Encoder(Protocol):
 def encode_column(rows: DataFrame, key: str, column: str, build, batch_size: int = 16) -> DataFrame:
     """(key, embedding, error): unit vectors of `column` by the encoder that `build()` makes.
 
-    A batch that fails is tried again row by row; a row that fails has a null vector and its error. Null inputs are null.
+    A batch that fails for want of memory or for the form of a row is tried again row by row, and a row that fails so has a null vector and its error;
+    any other error ends the job. Null inputs are null.
     """
 
     def run(batches: Iterator[pd.DataFrame]):
@@ -32,16 +64,18 @@ def encode_column(rows: DataFrame, key: str, column: str, build, batch_size: int
                 vectors, errors = [], []
                 given = part[column].notna()
                 try:
-                    found = iter(encoder.encode(part.loc[given, column]))
+                    found = iter(as_matrix(encoder.encode(part.loc[given, column])) if given.any() else ())
                     vectors = [next(found) if g else None for g in given]
                     errors = [None] * len(part)
-                except Exception:  # noqa: BLE001  whatever a plug-in raises
+                except RuntimeError as error:
+                    if not any(w in str(error).lower() for w in RETRIED):
+                        raise
                     vectors, errors = [], []
                     for g, x in zip(given, part[column]):
                         try:
-                            vectors.append(encoder.encode(pd.Series([x]))[0] if g else None)
+                            vectors.append(as_matrix(encoder.encode(pd.Series([x])))[0] if g else None)
                             errors.append(None)
-                        except Exception as error:  # noqa: BLE001
+                        except RuntimeError as error:
                             vectors.append(None)
                             errors.append(str(error))
                 unit = [None if v is None else [float(x) / max(sum(float(y) ** 2 for y in v) ** 0.5, 1e-12) for x in v] for v in vectors]
@@ -55,17 +89,15 @@ def hashed_text_entries(rows: DataFrame, key: str, text: str = "text", dim: int
     """(key, d, w): a hashed bag of words, its entries unit-normed; a deterministic stand-in, not a semantic model."""
     words = F.explode(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != ""))
     d = (F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counts = rows.select(key, words.alias("word")).select(key, d.alias("d")).groupBy(key, "d").agg(F.count("*").alias("c"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("norm"))
-    return counts.join(norms, key).select(key, "d", (F.col("c") / F.col("norm")).alias("w"))
+    each = rows.select(key, words.alias("word")).select(key, d.alias("d"))
+    # a column for each entry, so that tasks send one row for each text and nothing is joined
+    counts = each.groupBy(key).agg(*(F.count_if(F.col("d") == i).alias(f"c{i}") for i in range(dim)))
+    counts = counts.select(key, F.array(*(f"c{i}" for i in range(dim))).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0).cast("long"), lambda s, c: s + c * c).cast("double"))
+    return counts.select(key, norm.alias("norm"), F.posexplode("c").alias("d", "n")).filter("n > 0").select(key, "d", (F.col("n") / F.col("norm")).alias("w"))
 
 
 def hashed_text_score(entries: DataFrame, query: DataFrame, key: str) -> DataFrame:
     """(key, score_raw) of hashed texts against one hashed query (d, w)."""
     return entries.join(F.broadcast(query.select("d", F.col("w").alias("qw"))), "d").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("score_raw"))
 
-
-def unit(v: Column) -> Column:
-    from ..functions.vectors import normalize
-
-    return normalize(v).cast("array<float>")

@@ -75,6 +75,21 @@ def gallery(rows: DataFrame, cluster: int, key: str) -> DataFrame:
     return rows.filter(F.col("cluster") == cluster).orderBy(F.desc(F.coalesce("cluster_score", F.lit(0.0))), key)
 
 
+def point(rows: DataFrame, key: str, value) -> DataFrame:
+    return rows.filter(F.col(key) == value).limit(1)
+
+
+def view(rows: DataFrame, key: str, hits: DataFrame | None = None, cluster: str | None = None) -> DataFrame:
+    """The rows that are shown: those of a search, if one is given, and of them those of a cluster, compared as text."""
+    out = rows if hits is None else rows.join(hits.select(key), key, "left_semi")
+    return out if cluster is None else out.filter(F.col("cluster").cast("string") == cluster)
+
+
+def labelled_counts(rows: DataFrame) -> DataFrame:
+    """(rows, labelled, groups): all rows, those with a cluster, and the number of clusters."""
+    return rows.agg(F.count("*").alias("rows"), F.count("cluster").alias("labelled"), F.countDistinct("cluster").alias("groups"))
+
+
 def color(cluster: Column) -> Column:
     return F.when(cluster.isNotNull(), F.element_at(F.array(*map(F.lit, PALETTE)), (F.greatest(F.lit(0), cluster - 1) % len(PALETTE) + 1).cast("int")))
 

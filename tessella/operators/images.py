@@ -15,6 +15,13 @@ def new_size(width: Column, height: Column, max_side: int, allow_upscale: bool =
     return F.struct(one(width).alias("width"), one(height).alias("height"))
 
 
+def resize_outcome(width: Column, height: Column, max_side: int, animated: Column, before: Column, after: Column, allow_larger: bool = False) -> Column:
+    """What becomes of an image: animated ones, and those that keep their size and wouldn't get smaller, are skipped; one without a size is an error."""
+    size = new_size(width, height, max_side)
+    same = (size["width"] == width) & (size["height"] == height)
+    return F.when(animated, "skipped").when((width <= 0) | (height <= 0), "error").when(same & (after >= before) & F.lit(not allow_larger), "skipped").otherwise("processed")
+
+
 def image_format(suffix: Column) -> Column:
     return F.when(suffix.isin(".jpg", ".jpeg"), "JPEG").when(suffix == ".webp", "WEBP").when(suffix == ".png", "PNG").when(suffix.isin(".tif", ".tiff"), "TIFF")
 

@@ -31,6 +31,34 @@ def friendly_error(message: Column) -> Column:
     )
 
 
+def run_state(polling: Column, rows: Column, scanned: Column, model_ready: Column) -> Column:
+    """What the screen of a job shows: running, done once there are rows, ready or scanned once images are counted, else idle."""
+    counted = F.coalesce(~F.isnan(scanned) & (scanned > 0), F.lit(False))
+    return F.when(polling, "running").when(rows > 0, "done").when(counted & model_ready, "ready").when(counted, "scanned").otherwise("idle")
+
+
+def states(log: DataFrame) -> DataFrame:
+    """(job_id, status, done) of a log (job_id, seq, kind) of progress, cancel, failed and completed events.
+
+    The first end of a job decides. A request to cancel that comes before it makes it cancelled, or cancelling as long as it hasn't ended; one that comes
+    after it changes nothing. done counts the progress before the end. Two sums by job that tasks combine.
+    """
+    ends = log.groupBy("job_id").agg(
+        F.min(F.when(F.col("kind").isin("failed", "completed"), F.struct("seq", "kind"))).alias("end"),
+        F.min(F.when(F.col("kind") == "cancel", F.col("seq"))).alias("asked"),
+    )
+    ended, first = F.col("end.seq"), F.col("asked").isNull() | (F.col("end.seq") < F.col("asked"))
+    status = F.when(ended.isNotNull() & first, F.col("end.kind")).when(ended.isNotNull(), "cancelled").when(F.col("asked").isNotNull(), "cancelling").otherwise("running")
+    done = log.filter("kind = 'progress'").join(ends.select("job_id", ended.alias("ended")), "job_id").filter("ended IS NULL OR seq < ended").groupBy("job_id").agg(F.count("*").alias("done"))
+    return ends.join(done, "job_id", "left").select("job_id", status.alias("status"), F.coalesce("done", F.lit(0)).cast("long").alias("done"))
+
+
+def failures(failed: DataFrame, job: str, error: str, stage: str) -> DataFrame:
+    """(job, status, hint, report) for jobs that failed: the class of their error, and a JSON report with error and stage."""
+    report = F.to_json(F.struct(F.col(job), F.lit("job_failed").alias("phase"), F.col(stage).alias("stage"), F.col(error).alias("error")))
+    return failed.select(job, F.lit("failed").alias("status"), friendly_error(F.col(error)).alias("hint"), report.alias("report"))
+
+
 class JobGroup:
     """Runs Spark work under a job group that can be cancelled."""
 

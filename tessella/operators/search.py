@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_cell
+from ..functions.text import clean_cell, in_scope, norm_dir
 from ..functions.vectors import cosine, dot
 
 
@@ -57,9 +57,28 @@ def last_per_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_rn = 1").drop("_rn")
 
 
+def find_index(indexes: DataFrame, model_key: str, image_dir: str, embedding_id: str | None = None) -> DataFrame:
+    """The newest index (embedding_id, model_key, image_dir, embedding_path, ts): by its id alone if one is given, else of a model and folder, with vectors."""
+    if embedding_id:
+        found = indexes.filter(F.col("embedding_id") == embedding_id)
+    else:
+        found = indexes.filter((F.col("model_key") == model_key) & (norm_dir(F.col("image_dir")) == norm_dir(F.lit(image_dir))) & F.col("embedding_path").isNotNull())
+    return found.orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
+
+
+def with_projection(hits: DataFrame, rows: DataFrame, path: str, image_dir: str = "img") -> DataFrame:
+    """`hits` with the stored row (relative_path, row_index, ...) of their path below a folder, the last one of a path that has several; nulls without any."""
+    stored = rows.filter(in_scope(F.col("relative_path"), F.lit(image_dir)))
+    others = [c for c in stored.columns if c != "relative_path"]
+    last = stored.groupBy("relative_path").agg(F.max_by(F.struct(*others), "row_index").alias("last"))
+    return hits.join(last, hits[path] == last["relative_path"], "left").select(*(hits[c] for c in hits.columns), *(F.col(f"last.{c}").alias(c) for c in others))
+
+
 def search_with_metadata(vectors: DataFrame, query: DataFrame, metadata: DataFrame, key: str, metadata_key: str, k: int, threshold: float | None, normalized: bool = True) -> DataFrame:
-    """The k best rows, cut before the left join with their metadata."""
+    """The k best rows, cut before the left join with their metadata, of which a key that has several rows gives one, the greatest."""
     hits = top_k(score(vectors, query, normalized=normalized), k, key, threshold)
+    others = [c for c in metadata.columns if c != metadata_key]
+    metadata = metadata.join(F.broadcast(hits.select(F.col(key).alias(metadata_key))), metadata_key, "left_semi").groupBy(metadata_key).agg(F.max(F.struct(*others)).alias("m")).select(metadata_key, "m.*")
     return ranked(hits.join(metadata, hits[key] == metadata[metadata_key], "left"), key)
 
 

@@ -179,12 +179,12 @@ def silhouette_exact(spark, sf_dir):
 
 
 @query(
-    f"WITH {_Z}, {_lloyd_sql(2, 6, '2_')}, {_lloyd_sql(3, 6, '3_')}, {_lloyd_sql(4, 6, '4_')}, s AS ("
-    + " UNION ALL ".join(f"SELECT {k} AS k, {_silhouette_sql(f'a{k}_5')} AS score" for k in (2, 3, 4))
+    f"WITH {_Z}, {', '.join(_lloyd_sql(k, 10, f'{k}_') for k in range(2, 9))}, s AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, {_silhouette_sql(f'a{k}_9')} AS score" for k in range(2, 9))
     + ") SELECT k::INTEGER AS k, round(score, 6) AS score FROM s ORDER BY s.score DESC, k LIMIT 1"
 )
 def kmeans_auto_k(spark, sf_dir):
-    k, value, _ = cluster.auto_k(_points(spark, sf_dir), "vec_id", 2, 4, 6)
+    k, value, _ = cluster.auto_k(_points(spark, sf_dir), "vec_id")
     return spark.range(1).select(F.lit(k).alias("k"), F.round(F.lit(value), 6).alias("score"))
 
 
@@ -236,7 +236,7 @@ def suffix_histogram(spark, sf_dir):
 def image_scan_filter(spark, sf_dir):
     ending = F.when(F.col("page_id") % 4 == 0, ".JPG").when(F.col("page_id") % 4 == 1, ".png").when(F.col("page_id") % 4 == 2, ".txt").otherwise("")
     paths = collection.images(_read(spark, sf_dir, "pages").select(F.concat("url", ending).alias("path")))
-    return paths.withColumn("row_index", F.row_number().over(Window.orderBy(T.components(F.col("path")), "path")).cast("bigint"))
+    return blocks.numbered(paths, T.components(F.col("path")), "path")
 
 
 @query("""

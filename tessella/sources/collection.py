@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import IMAGE_SUFFIXES, basename, components, suffix
 
+# Suffixes of the images that are resized in place.
+RESIZE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff")
 PROJECTION_SCHEMA = (
     "filename string, relative_path string, x double, y double, model_key string, model_family string, embedding_model string, model_id string, pretrained string, "
     "provider string, reducer string, row_index int, cluster int, cluster_k int, cluster_score double, cluster_method string"
@@ -14,12 +16,16 @@ PROJECTION_SCHEMA = (
 MANIFEST_SCHEMA = "dataset_hash string, model_key string, model_family string, model_label string, model string, pretrained string, provider string, image_dir string, count int, embedding_path string, created_at double, _corrupt_record string"
 
 
-def files(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, size, mtime) of every file below a folder; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+def files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
+    """(path, size, mtime) of every file below a folder that `glob` names; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(directory)
     return found.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
+def newest_first(found: DataFrame) -> DataFrame:
+    return found.orderBy(F.desc("mtime"), "path")
+
+
 def images(paths: DataFrame, path: str = "path", suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """Rows whose suffix is one of an image, ordered by path components."""
     return paths.filter(suffix(F.col(path)).isin(*suffixes)).orderBy(components(F.col(path)))
@@ -75,7 +81,9 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(paths: DataFrame, path: str = "path") -> DataFrame:
-    return paths.select(basename(F.col(path)).alias("filename"), F.col(path).alias("relative_path"))
+    """(filename, relative_path, total) of each path, total being the number of all."""
+    total = paths.agg(F.count("*").alias("total"))  # one row
+    return paths.select(basename(F.col(path)).alias("filename"), F.col(path).alias("relative_path")).join(F.broadcast(total))
 
 
 def within(root: str, path: str) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell
@@ -20,8 +23,33 @@ def tsv_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *cells).alias("line"))
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below that of spark.checkpoint.dir, which all executors share; one of its own is set only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/export-{uuid.uuid4().hex}"
+
+
+def projection_metadata(model_key: str, image_dir: str, count: Column, method: str | None = None, k: int | None = None, score: float | None = None, warning: str | None = None) -> Column:
+    """The JSON that goes with a stored projection: what it was made from, and how it was clustered or why not."""
+    clustering = F.struct(
+        F.lit(method is not None).alias("enabled"), F.lit(method).cast("string").alias("method"), F.lit(k).cast("int").alias("k"), F.lit(score).cast("double").alias("score"),
+        F.lit(method is not None and warning is None).alias("applied"), F.lit(warning).cast("string").alias("warning"),
+    )
+    return F.to_json(F.struct(F.lit(model_key).alias("model_key"), F.lit(image_dir).alias("image_dir"), count.alias("count"), clustering.alias("clustering")))
+
+
+def search_log(query: str, model_key: Column, hits: Column, error: Column | None = None) -> Column:
+    """The JSON row of a search in the log: its query, model, number of hits and error, if any."""
+    error = F.lit(None).cast("string") if error is None else error
+    return F.to_json(F.struct(F.lit(query).alias("query"), model_key.alias("model_key"), hits.alias("hits"), F.when(error.isNull(), "ok").otherwise("failed").alias("status"), error.alias("error")))
+
+
+def write_manifests(rows: DataFrame, path: str) -> None:
+    """A JSON file for each row."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_embeddings(rows: DataFrame, path: str) -> None:

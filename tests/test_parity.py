@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from parity import differences, duck
-from tessella.plans.queries import ORACLE_SQL, QUERIES
+from tessella.plans import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
