@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,10 +73,18 @@ def worker_cache(owner: str) -> dict:
     if _KEPT["owner"] != owner:
         _KEPT.clear()
         _KEPT.update(owner=owner, cache={})
-        _WORDS.clear()
     return _KEPT["cache"]
 
 
+def _rest() -> None:
+    """What a task has freed, and its word hashes, go back to the system, as a worker may idle while others need the memory."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over plain column dicts: `fn` gets {name: pyarrow array} and yields {name: values} per batch."""
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -92,6 +101,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
         for x in fn(columns):
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n).type) for n, v in ((n, x[n]) for n in names)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        _rest()
 
     return df.mapInArrow(run, schema)
 

@@ -19,6 +19,8 @@ BUCKET_ENTRIES = 1_000_000
 COSTLY = 16
 #: Sets whose signatures a task holds at once.
 SIGNED_SETS = 256
+#: Rounds in which sets are held against pivots before pairs are, at most, and pivots that a signature offers in each but the first.
+PIVOT_ROUNDS, PIVOTS = 4, 4
 #: Sets that are compared with all others at once when their signatures can't meet the error budget.
 BLOCK_SETS = 512
 
@@ -247,7 +249,7 @@ def _shared_leading(sets: DataFrame, bits: int) -> DataFrame:
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
-    """(id, tokens): of each set, given as (id, tokens), the tokens that another set has too, in order; sets without any are absent.
+    """(id, parts): of each set, given as (id, tokens), the tokens that another set has too, in several parts; sets without any are absent.
 
     Each task sends its tokens in blocks by their upper bits, but a token that several of its sets have is known to be shared and is sent for two
     of them only, so that even a token of all sets has two entries from each block.
@@ -311,13 +313,8 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             ids.append(own), tokens.extend(kept)
         return pd.DataFrame({"id": np.concatenate(ids), "tokens": tokens})
 
-    def joined(batches):
-        for b in batches:
-            yield {"id": b["id"], "tokens": [np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in parts])).astype("<u8").tobytes() for parts in b["parts"].to_pylist()]}
-
     sent = arrow_map(sets.select("id", "tokens"), send, "bucket long, known boolean, token binary, owner binary, ids binary")
-    parts = sent.groupBy("bucket").applyInPandas(meet, "id long, tokens binary").groupBy("id").agg(F.collect_list("tokens").alias("parts"))  # of one set
-    return arrow_map(parts, joined, "id long, tokens binary")
+    return sent.groupBy("bucket").applyInPandas(meet, "id long, tokens binary").groupBy("id").agg(F.collect_list("tokens").alias("parts"))  # of one set
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, scheme: Scheme) -> DataFrame:
@@ -382,8 +379,9 @@ def _hard_links(tokens: DataFrame, scheme: Scheme) -> DataFrame | None:
 def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, allocate: bool = True) -> list[DataFrame]:
     """Verified links among the ids that share a signature of `scheme`, enough to connect every linked pair.
 
-    `signed` has (sig, id, n, u), `tokens` (id, n, tokens, x, y), x and y being the parities of the tokens and u counting the tokens of a set that no other has. No group is gathered: each signature
-    has a pivot, the set with the fewest tokens of its own, which its members join. Of a signature that several components and
+    `signed` has (sig, id, n, u), `tokens` (id, n, tokens, x, y), x and y being the parities of the tokens and u
+    counting the tokens of a set that no other has. No group is gathered: each signature has a pivot, the set with the fewest tokens of its own, which its
+    members join, and then a few others drawn by hash. Of a signature that several components and
     many ids share, only the ids that can't do without it look for others there; without `allocate` the signatures may be
     any, and all ids look for others in all of them.
     """
@@ -395,18 +393,33 @@ def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, alloca
     stars = multi.filter("id <> pivot").filter(_possible(scheme, "", "_p")).groupBy("id", "pivot").agg(F.count("*").alias("c"))
     tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("a")).select("a", F.col("id").alias("b")), "tried")
     links = stage(_verified(tried, tokens, scheme), "links")
-    label = stage(components(links), "label")
 
-    # Then, in signatures that still hold several components, pairs across components.
-    marks = stage(tokens.select("id", "x", "y").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", F.coalesce("component", "id").alias("c")), "marks")
-    named = multi.select("sig", "id", "n", "u", "many").join(maybe_broadcast(marks, marks.count()), "id")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("sig")
-    open_ = stage(named.join(mixed, "sig"), "open")
+    # Then, in signatures that still hold several components, each set against one of a few other pivots, as long as such rounds connect many of the sets.
+    links, staged = [links], [multi, tried]
+    for turn in range(PIVOT_ROUNDS):
+        label = stage(components(reduce(DataFrame.unionByName, links)), "label")
+        marks = stage(tokens.select("id", "x", "y").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", F.coalesce("component", "id").alias("c")), "marks")
+        named = multi.select("sig", "id", "n", "u", "many").join(maybe_broadcast(marks, marks.count()), "id")
+        mixed = named.groupBy("sig").agg(F.min("c").alias("lowest"), F.max("c").alias("highest")).filter("lowest < highest").select("sig")
+        open_ = stage(named.join(mixed, "sig"), "open")
+        staged += [label, marks, open_]
+        if turn == PIVOT_ROUNDS - 1:
+            break
+        drawn = [F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS * turn + k)).alias("h"), *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))) for k in range(PIVOTS)]
+        heads = open_.groupBy("sig").agg(F.array(*drawn).alias("p")).select("sig", F.explode("p").alias("p")).select("sig", "p.*")
+        able = open_.join(heads, "sig").filter("c <> c_p").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p")).groupBy("id", "id_p").agg(F.count("*").alias("times"))
+        again = stage(able.groupBy("id").agg(F.max_by("id_p", F.struct("times", "id_p")).alias("a")).select("a", F.col("id").alias("b")), "tried")
+        more = stage(_verified(again, tokens, scheme), "links")
+        tried = tried.unionByName(again)
+        links.append(more)
+        staged.append(again)
+        if more.count() * 20 < open_.select("id").distinct().count():
+            break
+
+    # Last, pairs across components.
     costly = F.col("many") > COSTLY if allocate else F.lit(False)
     a, b = (open_.filter(~costly).select("sig", *(F.col(x).alias(f"{x}_{k}") for x in ("id", "n", "u", "x", "y", "c"))) for k in "ab")
     pairs = a.join(b, "sig").filter("id_a < id_b AND c_a <> c_b").filter(_possible(scheme, "_a", "_b") & _near_enough(scheme, "_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-
-    staged = [multi, tried, label, marks, open_]
     if allocate:
 
         def choose(batches):
@@ -429,26 +442,25 @@ def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, alloca
     across = pairs.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stage(_verified(across, tokens, scheme), "links")
     unstage(*staged)
-    return [links, more]
+    return [*links, more]
 
 
 def comparable_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, u, tokens, hard, x, y) of the sets (id, n, tokens) that can link at all, staged.
+    """(id, n, u, tokens, x, y) of the sets (id, n, tokens) that can link at all, staged.
 
     Of each set only the tokens that another has too are kept, all that an overlap can hold; a set without enough of them is left out. u counts
-    the others, x and y are parities of the tokens, and hard tells that a set's signatures don't meet its budgets.
+    the others, x and y are parities of the tokens.
     """
 
     def ready(batches):
         for b in batches:
-            keep = [scheme.links(n, len(t) // 8) for n, t in zip(b["n"].to_pylist(), b["tokens"].to_pylist())]
-            b = {k: v.filter(pa.array(keep, pa.bool_())) for k, v in b.items()}
-            sizes, own = b["n"].to_pylist(), [np.frombuffer(t, "<u8") for t in b["tokens"].to_pylist()]
-            bits = np.array([_parities(t) for t in own], np.int64).reshape(-1, 2)
-            yield b | {"u": [n - len(t) for n, t in zip(sizes, own)], "hard": [not scheme.signatures(t, n)[1] for n, t in zip(sizes, own)], "x": bits[:, 0], "y": bits[:, 1]}
+            sets = ((i, n, np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in parts]))) for i, n, parts in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["parts"].to_pylist()))
+            sets = [(i, n, t) for i, n, t in sets if scheme.links(n, len(t))]
+            bits = np.array([_parities(t) for _, _, t in sets], np.int64).reshape(-1, 2)
+            yield {"id": [i for i, _, _ in sets], "n": [n for _, n, _ in sets], "u": [n - len(t) for _, n, t in sets], "tokens": [t.astype("<u8").tobytes() for _, _, t in sets], "x": bits[:, 0], "y": bits[:, 1]}
 
-    known = shared_tokens(sets).join(sets.select("id", "n").distinct(), "id").select("id", "n", "tokens")
-    return stage(arrow_map(known, ready, "id long, n long, u long, tokens binary, hard boolean, x long, y long"), "comparable")
+    known = shared_tokens(sets).join(sets.select("id", "n").distinct(), "id").select("id", "n", "parts")
+    return stage(arrow_map(known, ready, "id long, n long, u long, tokens binary, x long, y long"), "comparable")
 
 
 def signature_links(tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
@@ -458,14 +470,17 @@ def signature_links(tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
         for b in batches:
             for at in range(0, len(b["id"]), SIGNED_SETS):
                 part = {k: v.slice(at, SIGNED_SETS) for k, v in b.items()}
-                own = [scheme.signatures(np.frombuffer(x, "<u8"), n)[0].view(np.int64) for x, n in zip(part["tokens"].to_pylist(), part["n"].to_pylist())]
-                times = [len(x) for x in own]
-                yield {"sig": np.concatenate(own)} | {k: np.repeat(part[k].to_numpy(), times) for k in ("id", "n", "u")}
-
-    signed = arrow_map(tokens.select("id", "n", "u", "tokens"), sign, "sig long, id long, n long, u long")
-    found = colliding_links(signed, tokens, scheme)
-    hard = _hard_links(tokens, scheme)
-    return found + ([stage(hard, "links")] if hard is not None else [])
+                own = [scheme.signatures(np.frombuffer(x, "<u8"), n) for x, n in zip(part["tokens"].to_pylist(), part["n"].to_pylist())]
+                starts = np.cumsum([0, *(len(x) for x, _ in own)]).astype(np.int32)
+                sigs = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([x.view(np.int64) for x, _ in own])))
+                yield part | {"hard": [not met for _, met in own], "sigs": sigs}
+
+    sets = stage(arrow_map(tokens, sign, "id long, n long, u long, tokens binary, x long, y long, hard boolean, sigs array<long>"), "signed")
+    found = colliding_links(sets.select(F.explode("sigs").alias("sig"), "id", "n", "u"), sets.drop("sigs"), scheme)
+    hard = _hard_links(sets, scheme)
+    found += [stage(hard, "links")] if hard is not None else []
+    unstage(sets)
+    return found
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -87,47 +87,53 @@ class Words:
 
 
 def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """The pieces and paragraphs of every text: (doc_id, kind, start, end, words, content, n, keys).
+    """The pieces and paragraphs of every text: (doc_id, kind, start, end, at, words, content, keys).
 
-    start and end are byte places in the UTF-8 text; keys, of paragraphs only, are the band keys of its MinHash values.
+    start and end are byte places in the UTF-8 text, at is the place of the first word among the words; keys, of paragraphs only, are the band keys of its
+    MinHash values.
     """
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     keyed = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def batch(kind, ids, starts, ends, words, contents, n, keys):
+    def band_keys(shingles, cuts):
+        """Keys of the paragraphs of a whole batch: its shingles one after the other, and where those of each paragraph begin and end."""
+        s, cuts = np.concatenate([*shingles, np.zeros(1, np.uint64)]), np.concatenate(cuts)
+        least = np.stack([np.minimum.reduceat((s ^ (seed >> np.uint64(7))) * seed, cuts)[::2] for seed in seeds], axis=1).reshape(len(cuts) // 2, bands, rows)
+        return mix(least.sum(axis=2, dtype=np.uint64) + keyed).view(np.int64).ravel()
+
+    def batch(kind, ids, starts, ends, at, words, contents, keys):
         sizes = [len(x) for x in starts]
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         count = sum(sizes)
-        lists = pa.nulls(count, pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(join(keys, np.int64)))
+        lists = pa.nulls(count, pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(keys))
         return {
             "doc_id": np.repeat(np.array(ids, np.int64), sizes), "kind": [kind] * count, "start": join(starts, np.int32), "end": join(ends, np.int32),
-            "words": join(words, np.int32), "content": join(contents, np.int64), "n": join(n, np.int32) if n else np.zeros(count, np.int32), "keys": lists,
+            "at": join(at, np.int32), "words": join(words, np.int32), "content": join(contents, np.int64), "keys": lists,
         }
 
     def cut(batches):
         for b in batches:
-            pieces, lines = [[] for _ in range(5)], [[] for _ in range(7)]
+            pieces, lines = [[] for _ in range(6)], [[] for _ in range(6)]
+            shingles, cuts, done = [], [], 0
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 w = Words(t)
                 if not len(w.hashes):
                     continue
                 first = _pieces(w.hashes)
-                for to, x in zip(pieces, (d, w.starts[first], np.r_[w.starts[first[1:]], w.ends[-1]], np.diff(np.r_[first, len(w.hashes)]), _contents(w.hashes, first))):
+                for to, x in zip(pieces, (d, w.starts[first], np.r_[w.starts[first[1:]], w.ends[-1]], first, np.diff(np.r_[first, len(w.hashes)]), _contents(w.hashes, first))):
                     to.append(x)
                 x, y, content = w.long_lines()
                 if len(x):
-                    s = w.shingles()
-                    n = np.array([len(np.unique(s[i : j - 4])) for i, j in zip(x.tolist(), y.tolist())])
-                    cuts = np.stack([x, y - 4], axis=1).ravel()
-                    least = np.stack([np.minimum.reduceat(np.r_[(s ^ (seed >> np.uint64(7))) * seed, np.uint64(0)], cuts)[::2] for seed in seeds], axis=1).reshape(len(x), bands, rows)
-                    keys = mix(least.sum(axis=2, dtype=np.uint64) + keyed).view(np.int64).ravel()
-                    for to, v in zip(lines, (d, w.starts[x], w.ends[y - 1], y - x, content, n, keys)):
+                    shingles.append(w.shingles())
+                    cuts.append(np.stack([x, y - 4], axis=1).ravel() + done)
+                    done += len(shingles[-1])
+                    for to, v in zip(lines, (d, w.starts[x], w.ends[y - 1], x, y - x, content)):
                         to.append(v)
-            yield batch("piece", *pieces, None, None)
-            yield batch("paragraph", *lines)
+            yield batch("piece", *pieces, None)
+            yield batch("paragraph", *lines, band_keys(shingles, cuts) if cuts else np.empty(0, np.int64))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(source, cut, "doc_id long, kind string, start int, end int, words int, content long, n int, keys array<long>")
+    return arrow_map(source, cut, "doc_id long, kind string, start int, end int, at int, words int, content long, keys array<long>")
 
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -166,12 +172,12 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     """
     bands, rows = tune_bands(similarity[0] / similarity[1], recall)
     units = stage(_units(docs, bands, rows), "units")
-    pieces = units.filter("kind = 'piece'").select("doc_id", "start", "end", "words", "content")
+    pieces = units.filter("kind = 'piece'").select("doc_id", "start", "end", "at", "words", "content")
     lines = units.filter("kind = 'paragraph'")
 
     spread = pieces.groupBy("content").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("content", "keep")
     spread = stage(spread, "spread")
-    same = pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "words", "keep", F.col("content").alias("component"), F.lit(0).alias("level"))
+    same = pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "at", "words", "keep", F.col("content").alias("component"))
 
     # Paragraphs that collide in a band; of these, those that have enough shingles in common with others to link at all.
     firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
@@ -192,19 +198,19 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     crowded = stage(tokens.join(left.filter(F.col("many") > COSTLY).select("id").distinct(), "id", "left_semi"), "crowded")
     links += signature_links(crowded, scheme)
     label = stage(components(reduce(DataFrame.unionByName, links)), "label")
-    labelled = lines.select("doc_id", "start", "end", "words", "content").join(maybe_broadcast(label.withColumnRenamed("node", "content"), label.count()), "content", "left")
+    labelled = lines.select("doc_id", "start", "end", "at", "words", "content").join(maybe_broadcast(label.withColumnRenamed("node", "content"), label.count()), "content", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "content"))
     groups = labelled.groupBy("component").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("component", "keep")
-    near = labelled.join(groups, "component").select("doc_id", "start", "end", "words", "keep", "component", F.lit(1).alias("level"))
+    near = labelled.join(groups, "component").select("doc_id", "start", "end", "at", "words", "keep", "component")
 
     marks = same.unionByName(near).withColumn("removed", F.col("doc_id") != F.col("keep")).distinct()
-    order = Window.partitionBy("doc_id", "removed").orderBy("start", "end", "level")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= before + 2, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    order = Window.partitionBy("doc_id", "removed").orderBy("at", "words")
+    before = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("at") <= before, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     passages = marks.withColumn("island", island).groupBy("doc_id", "removed", "island").agg(
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
-        F.greatest(F.sum(F.when(F.col("level") == 0, F.col("words")).otherwise(0)), F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0))).cast("long").alias("n_words"),
+        (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("n_words"),
         F.min("component").alias("component"),
         F.min("keep").alias("keep_doc_id"),
     )
