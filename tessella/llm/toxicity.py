@@ -15,8 +15,6 @@ from .common import arrow_map, doc_bucket, mix, shingle_hashes, stage
 
 #: Labelled documents that a lexicon is learned from, at most, chosen by hash of the id.
 SAMPLE_DOCUMENTS = 20_000
-#: Entries of a learned lexicon, and of its exceptions, at most.
-LEXICON_ENTRIES = 300
 #: Probability that any entry of a lexicon is there by chance, at most.
 CHANCE = 0.05
 #: MinHash bands and rows by which near copies meet, and the Jaccard similarity of their five-word shingles in per cent.
@@ -75,14 +73,22 @@ class Lexicon:
         if not len(automaton):
             return []
         best: dict[int, float] = {}
-        exempt: list[tuple[int, int]] = []
+        exempt: list[list[int]] = []  # disjoint spans
         for end, (size, weight) in automaton.iter(folded):
             start = end - size + 1
             if weight is None:
-                exempt.append((start, end - 1))
+                while exempt and exempt[-1][1] >= start:  # phrases come in the order of their ends
+                    start = min(start, exempt.pop()[0])
+                exempt.append([start, end - 1])
             elif weight > best.get(start, 0):
                 best[start] = weight
-        return [(at, w) for at, w in sorted(best.items()) if not any(x <= at < y for x, y in exempt)]
+        out, k = [], 0
+        for at, w in sorted(best.items()):
+            while k < len(exempt) and exempt[k][1] <= at:
+                k += 1
+            if k == len(exempt) or at < exempt[k][0]:
+                out.append((at, w))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """(log of 1 + the summed weights, summed weights for each 100 words)."""
@@ -175,7 +181,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return measured.join(copies, ["doc_id", "toxic"], "left_anti").select("text", "toxic")
 
 
-def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: int = LEXICON_ENTRIES) -> Lexicon:
+def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Lexicon:
     """A lexicon from (doc_id, text, toxic); null labels are left out, null texts are empty.
 
     Of more than `sample` documents those with the smallest hashes of doc_id are used, about `sample` of them; of
@@ -204,18 +210,16 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: in
     ranked = sorted(sound, key=lambda e: (-with1[e] * odds[e], -len(e), e))
     weights: dict[str, float] = {}
     for e in ranked:
-        if len(weights) == entries:
-            break
         if not any(e.startswith(x) or x.startswith(e) and (with1[x], with0.get(x)) == (with1[e], with0.get(e)) for x in weights):
             weights[e] = round(odds[e], 4)
     lexicon = Lexicon(weights, learned_from=(n0, n1))
-    lexicon.exceptions = _exceptions(kept, lexicon, entries)
+    lexicon.exceptions = _exceptions(kept, lexicon)
     lexicon.curve = _curve(kept, lexicon)
     kept.unpersist()
     return lexicon
 
 
-def _exceptions(kept: DataFrame, lexicon: Lexicon, most: int) -> list[str]:
+def _exceptions(kept: DataFrame, lexicon: Lexicon) -> list[str]:
     """Two-word phrases with an entry in them that at least three documents have and of these nine in ten aren't toxic."""
 
     def phrases(batches):
@@ -233,8 +237,7 @@ def _exceptions(kept: DataFrame, lexicon: Lexicon, most: int) -> list[str]:
             yield {"phrase": found, "toxic": toxic}
 
     rows = arrow_map(kept, phrases, "phrase string, toxic int").groupBy("phrase").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    rows = rows.filter("n >= 3 AND bad <= 0.1 * n").orderBy(F.desc("n"), "phrase").limit(most)
-    return [r[0] for r in rows.collect()]
+    return sorted(r[0] for r in rows.filter("n >= 3 AND bad <= 0.1 * n").collect())  # of the bounded sample
 
 
 def _curve(kept: DataFrame, lexicon: Lexicon, steps: int = 60) -> tuple[float, float, float]:
@@ -263,7 +266,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_ou
 
     The lexicon is learned from `labels` (doc_id, toxic) of the documents whose crc32(doc_id as text) modulo `modulus` isn't
     `held_out`; of repeated labels of one document the highest counts. Only the text reaches a score; null and empty
-    texts get the score of a text without a hit. Without toxic examples every score is low. Other columns are
+    texts get the score of a text without a hit, and one of any length is scored whole, in time in proportion to it. Without toxic examples every score is low. Other columns are
     ignored, repeated rows are scored alike, and an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
