@@ -286,6 +286,36 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_sharding_cuts_are_those_of_the_prefix_sums(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice([None, *range(200)]), rng.choice([None, "", "é" * rng.randrange(40), sentence(rng, rng.randrange(1, 30))])) for _ in range(700)] + [(50, "x" * 60_000), (7, "same"), (7, "same")]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted(((-1 if i is None else i), zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows)
+    total, at, want, slots = sum(x[2] for x in order), 0, [], {}
+    for i, crc, size in order:
+        shard = at * 16 // total
+        want.append((i, crc, size, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        at += size
+    assert sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in got) == sorted(want)
+
+
+def test_language_profiles_equal_explicit_vectors(spark):
+    texts = [("en", "The cat, the hat"), ("de", "Der Hut und die Katze"), ("en", "a"), ("de", "über")]
+    profiles = language_id.fit_language_profiles(spark.createDataFrame(texts, "lang string, text string"))
+    first, second, third = language_id._letters(language_id.DIMENSIONS)
+    symbols = language_id._symbols()
+    for lang in ("en", "de"):
+        total = np.zeros(language_id.DIMENSIONS)
+        for _, t in (x for x in texts if x[0] == lang):
+            s = [0, *(int(symbols[ord(c)]) for c in re.sub(r"[^\w]|[\d_]", " ", t.lower())), 0, 0]
+            s = [x for k, x in enumerate(s) if x or k == 0 or s[k - 1]] + [0]
+            for a, b, c in zip(s, s[1:], s[2:]):
+                if b:
+                    total += first[a].astype(float) * second[b] * third[c]
+        assert np.allclose(profiles[lang], total / np.linalg.norm(total))
+
+
 def test_substring_dedup(spark, docs, empty):
     rng = random.Random(21)
     passage = sentence(rng, 70)
