@@ -253,7 +253,11 @@ def file_digests(spark, sf_dir):
     return collection.file_digests(docs, F.lit("openclip"), "path", "n_chars", "mtime")
 
 
-@query()
+@query("""
+    WITH e AS (SELECT source, source || '/' || doc_id AS path, n_chars FROM documents),
+         d AS (SELECT source, substr(md5(path), 1, 3) AS bucket, sha256(concat_ws('|', 'openclip', path, n_chars::VARCHAR, '0')) AS digest FROM e),
+         b AS (SELECT source, bucket, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM d GROUP BY 1, 2)
+    SELECT source, substr(sha256(string_agg(digest, '' ORDER BY bucket)), 1, 16) AS dataset_hash FROM b GROUP BY 1""")
 def dataset_fingerprint(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("source", F.concat_ws("/", "source", "doc_id").alias("path"), "n_chars", F.lit(0).alias("mtime"))
     return collection.fingerprint(docs, "source", F.lit("openclip"), "path", "n_chars", "mtime")

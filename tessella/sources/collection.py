@@ -53,13 +53,13 @@ def file_digests(rows: DataFrame, model: Column, path: str, size: str, mtime: st
     return rows.select(path, F.sha2(F.concat_ws("|", model, F.col(path), F.col(size).cast("string"), F.col(mtime).cast("string")), 256).alias("digest"))
 
 
-def fingerprint(rows: DataFrame, group: str, model: Column, path: str, size: str, mtime: str, buckets: int = 4096) -> DataFrame:
+def fingerprint(rows: DataFrame, group: str, model: Column, path: str, size: str, mtime: str) -> DataFrame:
     """(group, dataset_hash): 16 hex digits that change with the model or any file's path, size or time.
 
-    Files are digested where they are, digests of a bucket of paths in order, then the buckets: two levels, so that no task
-    gathers a collection.
+    Files are digested where they are, then the sorted digests of each of 4096 buckets of paths, then the buckets in order: two levels instead of one
+    fold over all files in order, so that no task gathers a collection.
     """
-    each = rows.select(group, F.pmod(F.crc32(F.col(path).cast("binary")), F.lit(buckets)).alias("bucket"), F.sha2(F.concat_ws("|", model, F.col(path), F.col(size).cast("string"), F.col(mtime).cast("string")), 256).alias("digest"))
+    each = rows.select(group, F.substring(F.md5(F.col(path).cast("binary")), 1, 3).alias("bucket"), F.sha2(F.concat_ws("|", model, F.col(path), F.col(size).cast("string"), F.col(mtime).cast("string")), 256).alias("digest"))
     part = each.groupBy(group, "bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("digest"))
     whole = part.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "").alias("all"))
     return whole.select(group, F.substring(F.sha2("all", 256), 1, 16).alias("dataset_hash"))
