@@ -535,9 +535,9 @@ def projection_table(spark, sf_dir):
 
 @query()
 def umap_2d(spark, sf_dir):
-    return reduce.neighbour_layout(_vectors(spark, sf_dir), epochs=5)
+    return reduce.neighbour_layout(_vectors(spark, sf_dir))
 
 
 @query()
 def tsne_2d(spark, sf_dir):
-    return reduce.tsne_layout(_vectors(spark, sf_dir), iterations=4)
+    return reduce.tsne_layout(_vectors(spark, sf_dir))
