@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,16 @@ from ..functions.text import clean_cell, in_scope, norm_dir
 from ..functions.vectors import cosine, dot
 
 
+#: Queries that a task holds at once.
+QUERY_BLOCK = 4096
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows of a matrix, each of length 1; one of length 0 stays so."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass(frozen=True)
 class SearchRequest:
     """What a search asks for, checked before anything is planned."""
@@ -83,10 +97,34 @@ def search_with_metadata(vectors: DataFrame, query: DataFrame, metadata: DataFra
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
-    """For a stated, small set of queries the k best rows each: (query_key, rank, key, score)."""
-    pairs = vectors.select(key, "embedding").join(F.broadcast(queries.select(query_key, "q"))).withColumn("score_raw", cosine(F.col("embedding"), F.col("q")))
+    """For a stated set of queries the k best rows each: (query_key, rank, key, score); null vectors are left out.
+
+    Queries are broadcast in blocks of bounded size, each a pass over the vectors; a batch of rows is multiplied with a block at once and
+    sends only its own k best rows of each query.
+    """
+    rows, asked = vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding"), queries.filter(F.col("q").isNotNull()).select(query_key, "q")
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    kinds = dict(rows.dtypes)[key], dict(asked.dtypes)[query_key]
+    parts = []
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).toPandas()
+        if not len(own):
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((own[query_key].to_numpy(), unit_rows(own["q"])))
+
+        def best_of(batches, shared=shared):
+            ids, q = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    pdf = pdf.sort_values(key)
+                    s = q @ unit_rows(pdf["embedding"]).T
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({query_key: np.repeat(ids, best.shape[1]), key: pdf[key].to_numpy()[best].ravel(), "score_raw": np.take_along_axis(s, best, 1).ravel()})
+
+        parts.append(rows.mapInPandas(best_of, f"{query_key} {kinds[1]}, {key} {kinds[0]}, score_raw double"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score_raw"), key)
-    best = pairs.select(query_key, key, "score_raw").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    pairs = reduce(DataFrame.unionByName, parts) if parts else rows.join(asked).select(query_key, key, F.lit(0.0).alias("score_raw")).limit(0)
+    best = pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
     return best.select(query_key, "rank", key, F.round("score_raw", 6).alias("score"))
 
 
