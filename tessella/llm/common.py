@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast after they have been counted; beyond it every operator shuffles instead.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a counted table that may be broadcast; beyond it every operator shuffles instead.
+BROADCAST_BYTES = 32 << 20
 
 #: Settings while a table is staged: what was shuffled for it goes once it is written, and Python gets texts in small batches.
 _STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
@@ -54,9 +54,10 @@ def unstage(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a counted table of at most `limit` narrow rows."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a counted table whose rows, taken by the types of their columns, have at most `limit` bytes."""
+    width = 16 + sum({"boolean": 1, "int": 4, "bigint": 8, "double": 8}.get(kind, 80) for _, kind in df.dtypes)
+    return F.broadcast(df) if rows * width <= limit else df
 
 
 def doc_bucket(doc_id: Column, buckets: int) -> Column:

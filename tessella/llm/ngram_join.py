@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
+from .common import arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
 
 #: Entries that one bucket of the frequency check holds, about.
 BUCKET_ENTRIES = 1_000_000
