@@ -27,16 +27,17 @@ class Coder:
 
     The pre-tokeniser of such files ends a piece before every single space, around every single newline and where letters
     end, so a text without other white space falls into chunks that encode alone as they do in place; any other text,
-    and one that spells out an added token, is encoded whole. Once `limit` chunks are known, ids of new ones are not kept beyond their text.
+    and one that spells out an added token, is encoded whole. Once `limit` chunks are known, those not met since as many came before go.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = limit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -54,14 +55,15 @@ class Coder:
         if not self._plain(text):
             return self._encode([text])[0] + end
         chunks = _CHUNK.findall(text)
-        known = self.known
-        found = list(map(known.get, chunks))
+        found = list(map(self.known.get, chunks))
         if None in found:
             places = [i for i, x in enumerate(found) if x is None]
-            new = list(dict.fromkeys(chunks[i] for i in places))
-            fresh = dict(zip(new, self._encode(new)))
-            if len(known) < self.limit:
-                known.update(fresh)
+            fresh = {c: self.older.get(c) for c in dict.fromkeys(chunks[i] for i in places)}
+            new = [c for c, x in fresh.items() if x is None]
+            fresh.update(zip(new, self._encode(new)))
+            if len(self.known) >= self.limit:
+                self.known, self.older = {}, self.known
+            self.known.update(fresh)
             for i in places:
                 found[i] = fresh[chunks[i]]
         return b"".join(found) + end
