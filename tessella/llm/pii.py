@@ -191,13 +191,13 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     some = F.coalesce(F.size("mentions") > 0, F.lit(False))
     found = stage(rows.filter(some).withColumn("parts", F.split("text", ANY, -1)).drop("text"), "mentions")
 
-    # of one document each: its mentions, and the whole names among them that a name of one word may stand for
-    each = F.transform("mentions", lambda m: F.struct(m.alias("mention"), _kind(m).alias("kind")))
-    known = found.select("row", F.transform(each, lambda x: F.struct(x["mention"].alias("mention"), x["kind"].alias("kind"), _canonical(x["kind"], x["mention"]).alias("canonical"))).alias("known"))
-    known = known.withColumn("names", F.filter(F.transform(F.filter("known", lambda x: x["kind"] == "name"), lambda x: x["canonical"]), lambda x: F.instr(x, " ") > 0))
-    each = known.select("row", "names", F.posexplode("known").alias("pos", "k")).select("row", "names", "pos", "k.*")
-    owner = F.when((F.col("kind") == "name") & (F.instr("canonical", " ") == 0), F.get(F.filter("names", lambda x: F.endswith(x, F.concat(F.lit(" "), F.col("canonical")))), F.lit(0)))
-    each = stage(each.select("row", "pos", "mention", "kind", owner.isNotNull().alias("short"), F.coalesce(owner, "canonical").alias("canonical")), "each")
+    each = found.select("row", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", _kind(F.col("mention")))
+    each = stage(each.withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))), "each")
+    whole = each.filter((F.col("kind") == "name") & (F.instr("canonical", " ") > 0)).select(F.col("row").alias("row_"), F.element_at(F.split("canonical", " "), -1).alias("last"), "pos", F.col("canonical").alias("owner"))
+    whole = whole.groupBy("row_", "last").agg(F.min_by("owner", "pos").alias("owner"))  # the first name of a text that ends so
+    short = (F.col("kind") == "name") & (F.col("row") == F.col("row_")) & (F.col("canonical") == F.col("last"))
+    each = each.join(whole, short, "left").select("row", "pos", "mention", "kind", F.col("owner").isNotNull().alias("short"), F.coalesce("owner", "canonical").alias("canonical"))
+    each = stage(each, "named")
     entities = stage(each.groupBy("kind", "canonical").agg(F.min(F.when(F.col("kind") == "name", _gender(F.col("mention"))).otherwise("m")).alias("gender")), "entities")
     drawn = stage(surrogates(entities, key), "surrogates")
     surrogate = F.when(F.col("short"), F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
