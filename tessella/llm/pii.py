@@ -76,20 +76,25 @@ def _stream(key: str, kind: Column, canonical: Column, attempt: int) -> Column:
 
 def _shaped(canonical: Column, stream: Column) -> Column:
     """The characters of `canonical` with digits and letters drawn anew, the rest kept; Cyrillic and Greek letters stay in their script."""
-    digits, letters = F.translate(stream, "abcdef", "274916"), F.translate(stream, "0123456789abcdef", "aeioubdfklmnprst")
-    cyrillic, greek = F.translate(letters, "aeioubdfklmnprst", "аеиоубдфклмнпрст"), F.translate(letters, "aeioubdfklmnprst", "αειουβδφκλμνπρστ")
 
-    def draw(c: Column, i: Column) -> Column:
+    def drawn(stream: Column) -> Column:
+        digits, letters = F.translate(stream, "abcdef", "274916"), F.translate(stream, "0123456789abcdef", "aeioubdfklmnprst")
+        cyrillic, greek = F.translate(letters, "aeioubdfklmnprst", "аеиоубдфклмнпрст"), F.translate(letters, "aeioubdfklmnprst", "αειουβδφκλμνπρστ")
+        return F.array(digits, letters, cyrillic, greek)
+
+    def draw(c: Column, i: Column, from_: Column) -> Column:
         at = F.pmod(i, F.lit(128)) + 1
+        one = lambda k: F.substr(F.get(from_, F.lit(k)), at, F.lit(1))
         return (
-            F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0") & (F.substr(digits, at, F.lit(1)) == "0"), "5").otherwise(F.substr(digits, at, F.lit(1))))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.substr(cyrillic, at, F.lit(1)))
-            .when(c.rlike(r"\p{IsGreek}"), F.substr(greek, at, F.lit(1)))
-            .when(c.rlike(r"\p{L}"), F.substr(letters, at, F.lit(1)))
+            F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0") & (one(0) == "0"), "5").otherwise(one(0)))
+            .when(c.rlike(r"\p{IsCyrillic}"), one(2))
+            .when(c.rlike(r"\p{IsGreek}"), one(3))
+            .when(c.rlike(r"\p{L}"), one(1))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(canonical, ""), draw), "")
+    # the array of one holds what all characters draw from, so that it is worked out once
+    return F.get(F.transform(F.array(drawn(stream)), lambda x: F.array_join(F.transform(F.split(canonical, ""), lambda c, i: draw(c, i, x)), "")), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,9 +124,10 @@ def _surrogate(kind: Column, canonical: Column, gender: Column, key: str, attemp
     name = F.lit(None).cast("string")
     script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canonical.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     for (g, s), given in GIVEN.items():
-        families = [_draw(FAMILY[s], stream, 8 * (2 + i)) for i in range(1 + attempt // 2)]
-        whole = F.concat_ws(" ", _draw(given, stream, 0), F.concat_ws("-", *families))
-        alone = F.concat_ws("-", *families)
+        families = lambda names: F.concat_ws("-", *(_draw(names, stream, 8 * (2 + i)) for i in range(1 + attempt // 2)))
+        # every second family name each, so that the last word of a whole name is never another entity's name alone
+        whole = F.concat_ws(" ", _draw(given, stream, 0), families(FAMILY[s][::2]))
+        alone = families(FAMILY[s][1::2])
         name = F.when((gender == g) & (script == s), F.when(F.instr(canonical, " ") > 0, whole).otherwise(alone)).otherwise(name)
     return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "number", number).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "name", name).otherwise(F.concat(F.regexp_extract(canonical, _CODE, 0), _shaped(F.regexp_replace(canonical, _CODE, ""), stream)))
 

@@ -403,6 +403,7 @@ def test_pii_short_name_is_the_long_one(spark):
     got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     whole, short = re.match(r"Mr\. (.+?) met Ms .+? Mr (.+?) left", got[1]).groups()
     assert whole.split(" ")[-1] == short and " " in whole and got[2].endswith("M Street in town")
+    assert re.match(r"Mr\. (.+?) is", got[2])[1] != short
 
 
 def test_pii_surrogates_are_distinct(spark):
