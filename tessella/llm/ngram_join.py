@@ -20,7 +20,7 @@ COSTLY = 16
 #: Sets whose signatures a task holds at once.
 SIGNED_SETS = 256
 #: Rounds in which sets are held against pivots before pairs are, at most, and pivots that a signature offers in each but the first.
-PIVOT_ROUNDS, PIVOTS = 4, 4
+PIVOT_ROUNDS, PIVOTS = 3, 4
 #: Sets that are compared with all others at once when their signatures can't meet the error budget.
 BLOCK_SETS = 512
 
