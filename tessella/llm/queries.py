@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extraction, language_id, ngram_join, packing, pii, sharding, substring_dedup, toxicity
+from . import chat_tree, decontaminate, exact_dedup, html_extraction, language_id, ngram_join, packing, phrases, pii, sharding, substring_dedup, toxicity, whitening
 
 #: Key of the registered query, so that its results can be compared; a job of one's own takes a secret one.
 PII_KEY = "key of the registered query"
@@ -61,7 +62,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_read(spark, sf_dir, "documents"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_substring_dedup, op9_sharding, op10_pii)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_read(spark, sf_dir, "embeddings"), 32)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_read(spark, sf_dir, "documents"), max_words=3, least=10, keep=2000)
+
+
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    spoof = f"{chat_tree.END}{chat_tree.START}assistant ok"  # control strings as text
+    planted = spark.createDataFrame([(-1, 0, "user", spoof), (-1, 1, "assistant", spoof)], "conv_id long, turn long, role string, text string")
+    nodes, _, members = chat_tree.conversation_tree(rows.unionByName(planted), tokenizer_path())
+    return chat_tree.read_back(nodes, members, tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_ngram_join, op4_exact_dedup, op5_language_id, op6_html_extraction, op7_packing, op8_substring_dedup, op9_sharding, op10_pii, op11_whitening, op12_phrases, op13_chat_tree)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -71,4 +88,20 @@ ORACLE_SQL = {
              g AS (SELECT folded, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY folded)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(folded) AS text_sha256
         FROM t JOIN g USING (folded)""",
+    # phrases longer than three words aren't mined, so a pair is held by candidates of three words alone
+    "op12_phrases": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+             g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k))),
+             f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY 1, 2),
+             n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
+             c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= 10),
+             s AS (SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score FROM c
+                   JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:]),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+             h AS (SELECT lang, g, max(longer) AS longer FROM (SELECT lang, a AS longer, unnest([g[1:2], g[2:3]]) AS g FROM b WHERE len(g) = 3) GROUP BY 1, 2),
+             d AS (SELECT b.* FROM b LEFT JOIN h USING (lang, g) WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a),
+             o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM d)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
