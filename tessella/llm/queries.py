@@ -93,15 +93,15 @@ ORACLE_SQL = {
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
              w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
              g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k))),
-             f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY 1, 2),
+             f AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS p, any_value(g) AS g, count(*) AS f FROM g GROUP BY 1, 2),
              n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
-             c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= 10),
-             s AS (SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score FROM c
-                   JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:]),
-             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-             h AS (SELECT lang, g, max(longer) AS longer FROM (SELECT lang, a AS longer, unnest([g[1:2], g[2:3]]) AS g FROM b WHERE len(g) = 3) GROUP BY 1, 2),
-             d AS (SELECT b.* FROM b LEFT JOIN h USING (lang, g) WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a),
-             o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM d)
+             q AS (SELECT lang, p, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= 10),
+             c AS MATERIALIZED (SELECT *, array_to_string(g[1:k], ' ') AS first, array_to_string(g[k + 1:], ' ') AS rest FROM q),
+             s AS (SELECT c.lang, c.p, c.g, c.a, c.k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score FROM c
+                   JOIN f l ON l.lang = c.lang AND l.p = c.first JOIN f r ON r.lang = c.lang AND r.p = c.rest),
+             b AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+             h AS (SELECT lang, p, max(longer) AS longer FROM (SELECT lang, a AS longer, unnest([array_to_string(g[1:2], ' '), array_to_string(g[2:3], ' ')]) AS p FROM b WHERE len(g) = 3) GROUP BY 1, 2),
+             o AS (SELECT b.lang, b.p AS phrase, a, l, r, score::BIGINT AS score FROM b LEFT JOIN h USING (lang, p) WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang)
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
