@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, cluster, encode, explore, images, jobs, reduce, search
+from ..operators import catalog, cluster, encode, explore, images, jobs, neighbours, search
 from ..sources import collection, sinks
-from .queries import _MODELS, _POINTS, _points, _read, _vectors, query
+from .queries import _MODELS, _POINTS, _Z, _lloyd_sql, _points, _read, _silhouette_sql, _vectors, query
 
 _PATH = "source || '/' || lang || '/d' || doc_id || '.jpg'"
 
@@ -254,10 +254,38 @@ def encode_with_retry(spark, sf_dir):
     return rows.select("vec_id", F.col("error").isNotNull().alias("failed"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
 
 
-@query(f"SELECT vec_id, NULL::INTEGER AS cluster_k FROM ({_POINTS}) WHERE vec_id < 0 UNION ALL SELECT vec_id, 1 FROM ({_POINTS})")
+@query(
+    f"WITH {_Z}, {', '.join(_lloyd_sql(k, 10, f'{k}_') for k in range(2, 9))}, s AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, {_silhouette_sql(f'a{k}_9')} AS score" for k in range(2, 9))
+    + "), b AS (SELECT k::INTEGER AS k, score FROM s ORDER BY s.score DESC, k LIMIT 1) SELECT vec_id, (cluster + 1)::INTEGER AS cluster, k AS cluster_k, round(score, 6) AS cluster_score, 'kmeans' AS cluster_method FROM ("
+    + " UNION ALL ".join(f"SELECT vec_id, cluster, {k} AS of FROM a{k}_9" for k in range(2, 9))
+    + ") JOIN b ON of = k"
+)
 def best_effort_clusters(spark, sf_dir):
-    """Every point gets a cluster of a best k between 2 and 8; the query gives 1 where that holds."""
     points = _points(spark, sf_dir).select("vec_id", "x", "y")
-    rows, warning = cluster.best_effort(points.select("vec_id"), points, "vec_id")
-    fine = F.col("cluster").between(1, F.col("cluster_k")) & F.col("cluster_k").between(2, 8) & F.lit(warning is None)
-    return rows.select("vec_id", F.when(fine, 1).alias("cluster_k"))
+    return cluster.best_effort(points.select("vec_id"), points, "vec_id", iterations=10)[0]
+
+
+@query(
+    f"WITH {_Z}, {', '.join(_lloyd_sql(k, 10, f'{k}_') for k in range(2, 9))}, s AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, {_silhouette_sql(f'a{k}_9')} AS score" for k in range(2, 9))
+    + ") SELECT k::INTEGER AS k, true AS within FROM s ORDER BY s.score DESC, k LIMIT 1"
+)
+def kmeans_certified_k(spark, sf_dir):
+    """The k of the best silhouette by certified bounds, and whether its exact score lies within them."""
+    z = cluster.standardize(_points(spark, sf_dir).select("vec_id", "x", "y"))
+    k, low, high, labelled = cluster.bounded_choice(z, "vec_id", list(range(2, 9)), 10)
+    exact = cluster.silhouette(labelled, "vec_id")
+    return exact.select(F.lit(k).alias("k"), F.col("score").between(low - 1e-9, high + 1e-9).alias("within"))
+
+
+@query()
+def kmeans_seeded(spark, sf_dir):
+    """Six clusters from k-means|| starts, run until the centres stand."""
+    return cluster.kmeans(cluster.standardize(_points(spark, sf_dir)), 6, "vec_id").select("vec_id", (F.col("cluster") + 1).alias("cluster"))
+
+
+@query()
+def knn_descent_15(spark, sf_dir):
+    """The neighbour graph by descent; recall is measured in the tests."""
+    return neighbours.descent_graph(_vectors(spark, sf_dir), 15).select("i", "j", "rank", F.round("score_raw", 6).alias("score"))

@@ -184,7 +184,7 @@ def silhouette_exact(spark, sf_dir):
     + ") SELECT k::INTEGER AS k, round(score, 6) AS score FROM s ORDER BY s.score DESC, k LIMIT 1"
 )
 def kmeans_auto_k(spark, sf_dir):
-    k, value, _ = cluster.auto_k(_points(spark, sf_dir), "vec_id")
+    k, value, _ = cluster.auto_k(_points(spark, sf_dir), "vec_id", iterations=10)
     return spark.range(1).select(F.lit(k).alias("k"), F.round(F.lit(value), 6).alias("score"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell
+from ..operators.shared import shared_root
 
 
 def write_tsv(rows: DataFrame, path: str, files: int | None = None) -> None:
@@ -24,12 +24,8 @@ def tsv_lines(rows: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below that of spark.checkpoint.dir, which all executors share; one of its own is set only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/export-{uuid.uuid4().hex}"
+    """A new folder below that of spark.checkpoint.dir, which all executors share."""
+    return f"{shared_root(spark)}/export-{uuid.uuid4().hex}"
 
 
 def projection_metadata(model_key: str, image_dir: str, count: Column, method: str | None = None, k: int | None = None, score: float | None = None, warning: str | None = None) -> Column:
