@@ -69,3 +69,10 @@ def clamp(x: Column, low, high) -> Column:
 
 def masked(token: Column) -> Column:
     return F.when(F.length(token) > 0, F.concat(F.lit("…"), F.right(token, F.lit(4))))
+
+
+def artifact_name(stamp: Column, dataset: Column, model: Column, reducer: Column, clustered: Column, auto: Column, k: Column, min_k: Column, max_k: Column) -> Column:
+    """The name of a stored projection; it tells how its clusters were chosen: not at all, by a fixed k, or as the best of a range."""
+    between = F.concat(F.lit("_clusters-auto-"), min_k.cast("string"), F.lit("-"), max_k.cast("string"))
+    tag = F.when(~clustered, "").when(auto, between).otherwise(F.concat(F.lit("_clusters-k"), k.cast("string")))
+    return F.concat(F.concat_ws("_", stamp, dataset, safe_name(model), reducer), tag, F.lit("_projection.tsv"))

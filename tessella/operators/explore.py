@@ -36,18 +36,27 @@ def bounds(rows: DataFrame) -> DataFrame:
     return rows.agg(pick(F.min, x, -1.0).alias("min_x"), pick(F.max, x, 1.0).alias("max_x"), pick(F.min, y, -1.0).alias("min_y"), pick(F.max, y, 1.0).alias("max_y"))
 
 
-def project(rows: DataFrame, view: Viewport) -> DataFrame:
-    """`rows` with screen positions px, py: padded bounds fitted to the plot, then zoomed about its centre and moved."""
-    out = rows.join(F.broadcast(bounds(rows)))
-    span = lambda c: F.when(F.col(f"max_{c}") == F.col(f"min_{c}"), 1.0).otherwise(F.col(f"max_{c}") - F.col(f"min_{c}"))
-    share = lambda c: (F.col(c) - F.col(f"min_{c}") + span(c) * PAD) / (span(c) * (1 + 2 * PAD))
+def _screen(out: DataFrame, view: Viewport, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
+    span = lambda c: F.when(high[c] == low[c], 1.0).otherwise(high[c] - low[c])
+    share = lambda c: (F.col(c) - low[c] + span(c) * PAD) / (span(c) * (1 + 2 * PAD))
     x = LEFT + share("x") * (view.width - 2 * LEFT)
     y = view.height - BOTTOM - share("y") * (view.height - 2 * BOTTOM + 2)
     cx, cy = view.width / 2, view.height / 2
-    out = out.withColumn("px", cx + (x - cx) * view.zoom + view.pan_x).withColumn("py", cy + (y - cy) * view.zoom + view.pan_y)
+    return out.withColumn("px", cx + (x - cx) * view.zoom + view.pan_x).withColumn("py", cy + (y - cy) * view.zoom + view.pan_y)
+
+
+def project(rows: DataFrame, view: Viewport) -> DataFrame:
+    """`rows` with screen positions px, py: padded bounds fitted to the plot, then zoomed about its centre and moved."""
+    out = rows.join(F.broadcast(bounds(rows)))
+    out = _screen(out, view, {c: F.col(f"min_{c}") for c in "xy"}, {c: F.col(f"max_{c}") for c in "xy"})
     return out.drop("min_x", "max_x", "min_y", "max_y")
 
 
+def project_within(rows: DataFrame, view: Viewport, min_x: float, max_x: float, min_y: float, max_y: float) -> DataFrame:
+    """`project` of some rows of a layout whose bounds are known."""
+    return _screen(rows, view, {"x": F.lit(min_x), "y": F.lit(min_y)}, {"x": F.lit(max_x), "y": F.lit(max_y)})
+
+
 def shows_thumbnails(rows: int | Column, zoom: float, images: bool = True):
     """Whether thumbnails are drawn: always for up to 500 rows, beyond it only from zoom 2 on."""
     return images and (rows <= 500 or zoom >= 2.0) if isinstance(rows, int) else F.lit(images) & ((rows <= 500) | F.lit(zoom >= 2.0))

@@ -1,7 +1,9 @@
-"""Image preparation: sizes, formats and keys are relational; pixel work is a plug-in."""
+"""Image preparation: sizes, formats, keys and the resampling of pixels as columns; decoding files is a plug-in."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,62 @@ def resize_totals(outcomes: DataFrame) -> DataFrame:
     """(status, n, before, after, saved_mb) of (status, before, after)."""
     out = outcomes.groupBy("status").agg(F.count("*").alias("n"), F.sum("before").alias("before"), F.sum("after").alias("after"))
     return out.withColumn("saved_mb", F.round((F.col("before") - F.col("after")) / 1048576.0, 6))
+
+
+def kernel_weights(size: int, to: int, kernel: str = "lanczos") -> list[list[float]]:
+    """For each pixel of a side of `to`, the weights of the `size` pixels it is made from: a box, or Lanczos of three lobes, widened when the side shrinks."""
+    reach = 0.5 if kernel == "box" else 3.0
+    scale = size / to
+    wide = max(scale, 1.0)
+
+    def value(d: float) -> float:
+        if kernel == "box":
+            return 1.0 if -0.5 < d <= 0.5 else 0.0
+        if abs(d) >= reach:
+            return 0.0
+        return 1.0 if d == 0 else reach * math.sin(math.pi * d) * math.sin(math.pi * d / reach) / (math.pi * d) ** 2
+
+    out = []
+    for i in range(to):
+        centre = (i + 0.5) * scale
+        row = [value((j + 0.5 - centre) / wide) for j in range(size)]
+        total = sum(row)
+        out.append([w / total for w in row])
+    return out
+
+
+def resampled(pixels: Column, width: int, height: int, to_width: int, to_height: int, kernel: str = "lanczos") -> Column:
+    """One channel of a picture, rows one after another, brought to another size: along rows, then along columns, as array expressions without Python."""
+    across, down = (F.array(*(F.array(*map(F.lit, w)) for w in kernel_weights(a, b, kernel))) for a, b in ((width, to_width), (height, to_height)))
+    weigh = lambda values, weights: F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    doubles = pixels.cast("array<double>")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda j: F.transform(across, lambda w: weigh(F.slice(doubles, j * width + 1, F.lit(width)), w)))
+    columns = F.transform(F.sequence(F.lit(0), F.lit(to_width - 1)), lambda i: F.transform(rows, lambda r: F.get(r, i)))
+    narrow = F.transform(columns, lambda c: F.transform(down, lambda w: weigh(c, w)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(to_height - 1)), lambda j: F.transform(narrow, lambda c: F.get(c, j))))
+
+
+def flattened(channel: Column, alpha: Column, background: float = 255.0) -> Column:
+    """A channel laid over a plain background by its alpha, 0 to 1."""
+    return F.zip_with(channel, alpha, lambda c, a: c * a + background * (1 - a))
+
+
+# The options that a picture of each format is saved with; QUALITY stands for the quality asked for.
+SAVE_OPTIONS = {
+    "JPEG": {"quality": "QUALITY", "optimize": "true", "progressive": "true"},
+    "WEBP": {"quality": "QUALITY", "method": "6"},
+    "PNG": {"optimize": "true", "compress_level": "9"},
+    "TIFF": {"compression": "tiff_lzw"},
+}
+
+
+def save_options(format: Column, quality: Column) -> Column:
+    """A map of the options that a picture of a format is saved with; null for a format that isn't written."""
+    known = F.create_map(*(x for name, options in SAVE_OPTIONS.items() for x in (F.lit(name), F.create_map(*(F.lit(v) for kv in options.items() for v in kv)))))
+    return F.transform_values(known[format], lambda k, v: F.when(v == "QUALITY", quality.cast("string")).otherwise(v))
+
+
+def thumbnails(rows: DataFrame, cache: DataFrame, path: str, width: int, mtime: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): rows whose thumbnail the cache (thumb_key, pixels) holds, with its pixels, and rows still to be made, both with their key."""
+    keyed = rows.withColumn("thumb_key", thumb_key(F.col(path), width, F.col(mtime), F.col(size)))
+    return keyed.join(cache, "thumb_key"), keyed.join(cache.select("thumb_key"), "thumb_key", "left_anti")

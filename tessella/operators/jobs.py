@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "cancelled")
@@ -74,3 +76,33 @@ class JobGroup:
 
     def cancel(self) -> None:
         self.spark.sparkContext.cancelJobGroup(self.job_id)
+
+
+class Measured:
+    """Counts what a job does while it runs: `of(rows, error)` passes rows on, `events()` after an action gives them as rows of the job log.
+
+    Rows and errors are observed metrics of the action itself, so nothing is read twice and a failed action gives a failed event.
+    """
+
+    def __init__(self, spark: SparkSession, job_id: int):
+        self.spark, self.job_id = spark, job_id
+        self.seen = Observation(f"job-{job_id}-{uuid.uuid4().hex}")
+        self.failure: str | None = None
+
+    def of(self, rows: DataFrame, error: str) -> DataFrame:
+        return rows.observe(self.seen, F.count(F.lit(1)).alias("rows"), F.count(F.col(error)).alias("errors"))
+
+    def run(self, action) -> None:
+        """`action()`, which must run the observed rows to their end; its error becomes the job's."""
+        try:
+            action()
+        except Exception as error:  # noqa: BLE001  whatever ends a job is its failure
+            self.failure = str(error).splitlines()[0] if str(error) else type(error).__name__
+
+    def events(self) -> DataFrame:
+        """(job_id, seq, kind, done, errors, error): the progress that was measured, then the end."""
+        schema = "job_id long, seq int, kind string, done long, errors long, error string"
+        if self.failure is not None:
+            return self.spark.createDataFrame([(self.job_id, 1, "failed", None, None, self.failure)], schema)
+        got = self.seen.get
+        return self.spark.createDataFrame([(self.job_id, 1, "progress", got["rows"], got["errors"], None), (self.job_id, 2, "completed", got["rows"], got["errors"], None)], schema)

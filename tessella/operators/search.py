@@ -134,3 +134,10 @@ def export_rows(hits: DataFrame, query: str, model_key: str, embedding_id: str)
         "rank", clean_cell(F.col("filename")).alias("filename"), clean_cell(F.col("relative_path")).alias("relative_path"), "score",
         F.lit(query).alias("query"), F.lit(model_key).alias("model_key"), F.lit(embedding_id).alias("embedding_id"), "x", "y", "cluster",
     )
+
+
+def export_json(rows: DataFrame, created: str) -> DataFrame:
+    """(json): the export of a search as one document, its results in order of rank; `rows` are the bounded rows of `export_rows`."""
+    hit = F.struct("rank", "filename", "relative_path", "score", "x", "y", "cluster")
+    whole = rows.groupBy("query", "model_key", "embedding_id").agg(F.sort_array(F.collect_list(hit)).alias("results"))
+    return whole.select(F.to_json(F.struct(F.lit(created).alias("timestamp"), "query", "model_key", "embedding_id", F.size("results").alias("count"), "results")).alias("json"))
