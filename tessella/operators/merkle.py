@@ -24,7 +24,7 @@ def depth_for(n: int) -> int:
 def snapshot(rows: DataFrame, path: str, facts: list[str], levels: int) -> DataFrame:
     """(path, leaf, digest): the leaf of a file by the hash of its path, and a digest of the path and its facts; a null fact differs from an empty one."""
     cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in facts]
-    return rows.select(F.col(path).alias("path"), F.substring(F.md5(F.col(path).cast("binary")), 1, levels).alias("leaf"), F.sha2(F.concat_ws("\\x00", F.col(path), *cells), 256).alias("digest"))
+    return rows.select(F.col(path).alias("path"), F.substring(F.md5(F.col(path).cast("binary")), 1, levels).alias("leaf"), F.sha2(F.concat_ws("\x1f", F.col(path), *cells), 256).alias("digest"))
 
 
 def tree(files: DataFrame, levels: int) -> DataFrame:
