@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import encode, explore, images, jobs, merkle, search, spatial, text_index
 from ..sources import npy, sinks
+from ..streaming import jobs as streams
+from . import collection_queries  # noqa: F401  its SQL is used here
 from .queries import _PROJECTED, ORACLE_SQL, _points, _read, _vectors, query, search_export_rows
 
 _CLOSE = explore.Viewport(zoom=6.0, pan_x=20.0, pan_y=-10.0)
@@ -192,3 +194,14 @@ def search_export_json(spark, sf_dir):
     kind = "timestamp string, query string, model_key string, embedding_id string, count int, results array<struct<rank: int, filename: string, relative_path: string, score: double, x: double, y: double, cluster: int>>"
     parsed: DataFrame = document.select(F.from_json("json", kind).alias("d")).select("d.*")
     return parsed.select("count", "embedding_id", F.explode("results").alias("r")).select("r.rank", "r.filename", "r.score", "r.cluster", "count", "embedding_id")
+
+
+@query(ORACLE_SQL["job_log_states"])
+def live_job_states(spark, sf_dir):
+    """The states of `job_log_states`, from a stream of the same events in several batches."""
+    kind = F.col("event_type")
+    log = _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(kind.isin("click", "view"), "progress").when(kind == "signup", "cancel").when(kind == "error", "failed").otherwise("completed").alias("kind"), "ts")
+    folder = sinks.shared_folder(spark)
+    log.repartition(3, "seq").write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema("job_id long, seq long, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    return streams.replayed(stream, folder)
