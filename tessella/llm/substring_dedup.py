@@ -156,13 +156,83 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
     return arrow_map(rows, cut, "id long, n long, tokens binary")
 
 
+def _surroundings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(doc_id, at, left, left_places, right, right_places) of pieces given as (doc_id, at, words): the hashes of the words on either side, outwards, and where
+    these begin (left) or end (right) in the bytes.
+
+    A side has at most `MAX_UNIT_WORDS` words, the most that a piece has: were more of a side repeated, it would hold a whole repeated piece.
+    """
+    own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("asked"))  # of one document
+
+    def read(batches):
+        for b in batches:
+            out = {n: [] for n in ("doc_id", "at", "left", "left_places", "right", "right_places")}
+            for d, t, asked in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["asked"].to_pylist()):
+                w = Words(t or "")
+                for x in asked:
+                    at, to = x["at"], x["at"] + x["words"]
+                    if to > len(w.hashes):  # another row of this doc_id
+                        continue
+                    before, after = slice(max(0, at - MAX_UNIT_WORDS), at), slice(to, to + MAX_UNIT_WORDS)
+                    row = (d, at, w.hashes[before][::-1].tobytes(), w.starts[before][::-1].astype("<i4").tobytes(), w.hashes[after].tobytes(), w.ends[after].astype("<i4").tobytes())
+                    for column, v in zip(out.values(), row):
+                        column.append(v)
+            yield out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(own, n_wanted), "doc_id").select("doc_id", "text", "asked")
+    return arrow_map(rows, read, "doc_id long, at int, left binary, left_places binary, right binary, right_places binary")
+
+
+def _extensions(docs: DataFrame, same: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(marks, staged tables): the words on both sides of repeated pieces that are repeated too, up to the first that differs from those in the document that stays.
+
+    `same` has the repeated pieces (doc_id, start, end, at, words, keep, component). Only the ends of runs of pieces are looked at.
+    """
+    order = Window.partitionBy("doc_id").orderBy("at", "words")
+    ends = same.filter("doc_id <> keep").withColumns({"on_left": F.lag(F.col("at") + F.col("words")).over(order), "on_right": F.lead("at").over(order)})
+    ends = ends.withColumns({"on_left": F.coalesce(F.col("on_left") < F.col("at"), F.lit(True)), "on_right": F.coalesce(F.col("on_right") > F.col("at") + F.col("words"), F.lit(True))})
+    ends = ends.filter("on_left OR on_right").select("doc_id", "start", "end", "at", "words", "keep", "component", "on_left", "on_right").distinct()
+    kept = same.filter("doc_id = keep").select("component", F.col("start").alias("kept_start"), F.col("end").alias("kept_end"), F.col("at").alias("kept_at"), F.col("words").alias("kept_words")).distinct()
+    pairs = stage(ends.join(kept, "component"), "ends")
+    wanted = stage(pairs.select("doc_id", "at", "words").unionByName(pairs.select(F.col("keep").alias("doc_id"), F.col("kept_at").alias("at"), F.col("kept_words").alias("words"))).distinct(), "asked")
+    around = stage(_surroundings(docs, wanted, wanted.count()), "around", compression="zstd")
+    sides = ("left", "left_places", "right", "right_places")
+    whole = pairs.join(around, ["doc_id", "at"]).join(around.select(F.col("doc_id").alias("keep"), F.col("at").alias("kept_at"), *(F.col(c).alias(f"kept_{c}") for c in sides)), ["keep", "kept_at"])
+
+    def compare(batches):
+        names = ("doc_id", "start", "end", "at", "words", "keep", "component")
+        for b in batches:
+            out = {n: [] for n in names}
+            rows = [dict(zip(b, values)) for values in zip(*(c.to_pylist() for c in b.values()))]
+            for r in rows:
+                for side in ("left", "right"):
+                    if not r[f"on_{side}"]:
+                        continue
+                    x, y = (np.frombuffer(r[n], np.uint64) for n in (side, f"kept_{side}"))
+                    n = min(len(x), len(y))
+                    differ = np.flatnonzero(x[:n] != y[:n])
+                    n = int(differ[0]) if len(differ) else n
+                    if not n:
+                        continue
+                    for doc, prefix, start, end, at, words in ((r["doc_id"], "", r["start"], r["end"], r["at"], r["words"]), (r["keep"], "kept_", r["kept_start"], r["kept_end"], r["kept_at"], r["kept_words"])):
+                        place = int(np.frombuffer(r[f"{prefix}{side}_places"], "<i4")[n - 1])
+                        row = (doc, place, start, at - n, n, r["keep"], r["component"]) if side == "left" else (doc, end, place, at + words, n, r["keep"], r["component"])
+                        for column, v in zip(out.values(), row):
+                            column.append(v)
+            yield out
+
+    marks = arrow_map(whole.select("doc_id", "start", "end", "at", "words", "keep", "component", "on_left", "on_right", "kept_start", "kept_end", "kept_at", "kept_words", *sides, *(f"kept_{c}" for c in sides)), compare, "doc_id long, start int, end int, at int, words int, keep long, component long")
+    return stage(marks, "extensions"), [pairs, wanted, around]
+
+
 def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100), recall: float = 0.995, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, component, keep_doc_id, removed): passages that stand in several documents.
 
     Paragraphs (lines) of at least 16 words collide when a band of their MinHash values is equal, the bands being tuned to find a
     pair of the given Jaccard similarity of five-word shingles with probability `recall`. Collisions are verified exactly
     and connected paragraphs form components; those in bands that many share find each other by exact signatures instead of pair by pair. Content-defined pieces of about nine words are compared
-    as wholes, so that a passage inside longer lines or across lines is found too, but for a few words at its ends. What stands in two or more documents is kept
+    as wholes, so that a passage inside longer lines or across lines is found too, and runs of them are extended word by word, to the left and right,
+    as far as the text that stays says the same. What stands in two or more documents is kept
     in that with the smallest doc_id and removed in the others. Repeated units that touch form a passage; those of
     fewer than `min_words` words, such as licence lines, are left alone.
 
@@ -177,7 +247,8 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
 
     spread = pieces.groupBy("content").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("content", "keep")
     spread = stage(spread, "spread")
-    same = pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "at", "words", "keep", F.col("content").alias("component"))
+    same = stage(pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "at", "words", "keep", F.col("content").alias("component")), "same")
+    longer, read = _extensions(docs, same)
 
     # Paragraphs that collide in a band; of these, those that have enough shingles in common with others to link at all.
     firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
@@ -203,7 +274,7 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     groups = labelled.groupBy("component").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("component", "keep")
     near = labelled.join(groups, "component").select("doc_id", "start", "end", "at", "words", "keep", "component")
 
-    marks = same.unionByName(near).withColumn("removed", F.col("doc_id") != F.col("keep")).distinct()
+    marks = same.unionByName(longer).unionByName(near).withColumn("removed", F.col("doc_id") != F.col("keep")).distinct()
     order = Window.partitionBy("doc_id", "removed").orderBy("at", "words")
     before = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("at") <= before, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -215,7 +286,7 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
         F.min("keep").alias("keep_doc_id"),
     )
     passages = stage(passages.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "component", "keep_doc_id", "removed"), "passages")
-    unstage(units, spread, firsts, colliding, wanted, sets, tokens, banded, left, crowded, label, *links)
+    unstage(units, spread, firsts, colliding, wanted, sets, tokens, banded, left, crowded, label, same, longer, *read, *links)
     return passages
 
 
