@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stage
 
-# Forms of address by gender, and names to draw from by gender and script.
+# Forms of address by gender and without one, and names to draw from by gender and script.
 TITLES = {"m": r"Mr|Sir|Herr|Herrn|M(?=\.)|Monsieur|Señor|Sr|Don|Signor|г-н|господин|κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Madame|Señora|Señorita|Sra|Srta|Doña|Signora|г-жа|госпожа|κυρία"}
+#: Forms of address that don't tell a gender; they may also follow one that does.
+NEUTRAL = "Dr|Prof|Professor|Professeur|Profesor|Profesora|Doctor|Doctora|Docteur|Doktor"
 GIVEN = {
     ("m", "latin"): "Adam Alan Albert Anton Bruno Carl Daniel David Edgar Felix Frank Georg Hugo Ivan Jonas Julian Karl Leo Louis Lukas Marco Martin Max Nils Oscar Otto Paul Peter Ralf Robert Simon Victor".split(),
     ("f", "latin"): "Ada Alice Anna Berta Carla Clara Diana Edith Ella Emma Eva Flora Greta Hanna Helen Ida Irene Julia Karen Laura Lena Linda Lucia Maria Nina Nora Olga Paula Rosa Sara Sonia Vera".split(),
@@ -24,10 +26,11 @@ FAMILY = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-# A word of a name (O'Brien, McDonald, Jean-Luc, SMITH) or initials (J. or J.R.); a name has up to eight, with particles between them.
-_PART = r"(?:[dDlL]['’])?\p{Lu}(?:\.(?:-?\p{Lu}\.)*+|[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+){0,4}+)"
+# A word of a name (O'Brien, McDonald, Jean-Luc, SMITH) or initials (J. or J.R.), without a possessive 's; a name has up to eight, with particles between them.
+_PART = r"(?:[dDlL]['’])?\p{Lu}(?:\.(?:-?\p{Lu}\.)*+|[\p{L}\p{M}]*+(?:(?:-|['’](?![sS](?![\p{L}\p{M}])))\p{L}[\p{L}\p{M}]*+){0,4}+)"
 _PARTICLE = r"(?:de|del|la|las|los|von|van|zu|der|den|da|di|du|bin|ibn|y) "
 _NAME = rf"{_PART}(?:(?: |(?<=\.))(?:{_PARTICLE}){{0,3}}{_PART}){{0,7}}+"
+_TITLE = rf"(?:(?:{TITLES['m']}|{TITLES['f']})\.? (?:(?:{NEUTRAL})\.? )?|(?:{NEUTRAL})\.? )"
 # Country calling codes of one and two digits; all others have three.
 _CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
@@ -41,7 +44,7 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9A-Za-z])(?:(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{9,19})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{TITLES['m']}|{TITLES['f']})\.? {_NAME}",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DIGIT_TYPES = ("phone", "ssn", "number")
@@ -58,19 +61,20 @@ def _canonical(kind: Column, mention: Column) -> Column:
     """What all mentions of one entity have in common: digits of a number, else the lower-cased text without title or spaces."""
     return (
         F.when(kind.isin(*_DIGIT_TYPES), F.concat(F.regexp_extract(mention, r"^\+", 0), F.regexp_replace(mention, "[^0-9]", "")))
-        .when(kind == "name", F.lower(F.regexp_replace(mention, rf"^(?:{TITLES['m']}|{TITLES['f']})\.? ", "")))
+        .when(kind == "name", F.lower(F.regexp_replace(mention, f"^{_TITLE}", "")))
         .when(kind == "iban", F.lower(F.replace(mention, F.lit(" "), F.lit(""))))
         .otherwise(F.lower(mention))
     )
 
 
 def _gender(mention: Column) -> Column:
-    return F.when(mention.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("m")
+    """f, m, or n where the form of address doesn't tell."""
+    return F.when(mention.rlike(rf"^(?:{TITLES['f']})\.? "), "f").when(mention.rlike(rf"^(?:{TITLES['m']})\.? "), "m").otherwise("n")
 
 
-def _stream(key: str, kind: Column, canonical: Column, attempt: int) -> Column:
+def _stream(key: str, kind: Column, canonical: Column, gender: Column, attempt: int) -> Column:
     """128 keyed hexadecimal digits for an entity."""
-    seed = F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt)))
+    seed = F.concat_ws("|", F.lit(key), kind, canonical, F.when(kind == "name", gender), F.lit(str(attempt)))
     return F.concat(F.sha2(F.concat(seed, F.lit("|a")), 256), F.sha2(F.concat(seed, F.lit("|b")), 256))
 
 
@@ -103,6 +107,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and lower-case letters (a is 10) spell, modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 87)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.pmod(F.when(value(c) < 10, a * 10).otherwise(a * 100) + value(c), F.lit(97)))
+
+
 def _draw(names: list[str], stream: Column, at: int) -> Column:
     number = F.conv(F.substr(stream, F.lit(at + 1), F.lit(8)), 16, 10).cast("long")
     return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
@@ -110,19 +120,25 @@ def _draw(names: list[str], stream: Column, at: int) -> Column:
 
 def _surrogate(kind: Column, canonical: Column, gender: Column, key: str, attempt: int) -> Column:
     """A replacement in canonical form. Each attempt draws anew; names get one more family name every second attempt, and local parts of addresses two more letters each attempt from the fifth on."""
-    stream = _stream(key, kind, canonical, attempt)
+    stream = _stream(key, kind, canonical, gender, attempt)
     shaped = _shaped(canonical, stream)
     # a changed last digit keeps the Luhn sum of a number, valid or not
     moved = (F.right(shaped, F.lit(1)).cast("int") + _luhn(canonical) - _luhn(shaped) + 10) % 10
     number = F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), moved.cast("string"))
     octets = F.concat_ws(".", *(((F.conv(F.substr(stream, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % 254) + 1).cast("string") for i in range(4)))
     secret = F.when(canonical.rlike("^[0-9a-f]+$"), F.substr(stream, F.lit(1), F.length(canonical))).otherwise(F.concat(F.regexp_extract(canonical, "^(?:akia|gh[a-z]_|sk-)", 0), _shaped(F.regexp_replace(canonical, "^(?:akia|gh[a-z]_|sk-)", ""), stream)))
-    iban = F.concat(F.left(canonical, F.lit(2)), F.substr(shaped, F.lit(3), F.length(shaped)))
+    # an account number of valid check digits gets others that are valid
+    country, rest = F.left(canonical, F.lit(2)), F.substr(shaped, F.lit(5), F.length(shaped))
+    valid = _mod97(F.concat(F.substr(canonical, F.lit(5), F.length(canonical)), F.left(canonical, F.lit(4)))) == 1
+    check = F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(valid, check).otherwise(F.substr(shaped, F.lit(3), F.lit(2))), rest)
     host = F.element_at(F.split(canonical, "@"), 2)
     longer = F.translate(F.right(stream, F.lit(2 * max(attempt - 3, 0))), "0123456789abcdef", "aeioubdfklmnprst")
     email = F.concat(_shaped(F.element_at(F.split(canonical, "@"), 1), stream), longer, F.lit("@"), _shaped(F.regexp_replace(host, r"\.[a-z]+$", ""), F.sha2(F.concat(F.lit(key), host), 512)), F.regexp_extract(host, r"\.[a-z]+$", 0))
     name = F.lit(None).cast("string")
     script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canonical.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    # where the form of address doesn't tell a gender, the key decides
+    gender = F.when(gender == "n", F.when(F.substr(stream, F.lit(121), F.lit(1)) < "8", "f").otherwise("m")).otherwise(gender)
     for (g, s), given in GIVEN.items():
         families = lambda names: F.concat_ws("-", *(_draw(names, stream, 8 * (2 + i)) for i in range(1 + attempt // 2)))
         # every second family name each, so that the last word of a whole name is never another entity's name alone
@@ -139,18 +155,19 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
         F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), "[^0-9]", "")) + 1, F.lit(1))).otherwise(c)), ""
     )
     grouped = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(F.upper(surrogate), F.length(F.replace(F.substr(mention, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
-    title = F.regexp_extract(mention, rf"^(?:{TITLES['m']}|{TITLES['f']})\.? ", 0)
+    title, own = F.regexp_extract(mention, f"^{_TITLE}", 0), F.regexp_replace(mention, f"^{_TITLE}", "")
+    named = F.when((own == F.upper(own)) & own.rlike(r"\p{Lu}{2}"), F.upper(surrogate)).otherwise(surrogate)
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
     mixed = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.substr(mention, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     return (
-        F.when(kind.isin(*_DIGIT_TYPES), spread).when(kind == "iban", grouped).when(kind == "name", F.concat(title, surrogate)).when(kind == "secret", mixed).otherwise(cased)
+        F.when(kind.isin(*_DIGIT_TYPES), spread).when(kind == "iban", grouped).when(kind == "name", F.concat(title, named)).when(kind == "secret", mixed).otherwise(cased)
     )
 
 
-def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct (kind, canonical, gender): no two of one kind share a surrogate, and none is itself an entity.
+def surrogates(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
+    """(kind, canonical, gender, surrogate) for distinct (kind, canonical, gender): no two of one kind share a surrogate, and none is itself an entity.
 
-    Of entities that draw one surrogate the first keeps it and the others draw again; so do those that drew an entity.
+    Of entities that draw one surrogate the first keeps it and the others draw again; so do those that drew an entity, and names that drew their own family name.
     """
     todo, accepted, n = entities, [], entities.count()
     for attempt in range(attempts):
@@ -161,32 +178,34 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
         known = entities.select("kind", F.col("canonical").alias("low"))
         for x in accepted:
             known = known.unionByName(x.select("kind", "low"))
-        first = drawn.groupBy("kind", "low").agg(F.min("canonical").alias("canonical")).join(known, ["kind", "low"], "left_anti")
-        won = stage(drawn.join(first, ["kind", "low", "canonical"], "left_semi"), "won")
+        last = lambda c: F.element_at(F.split(c, "[ -]"), -1)
+        changed = drawn.filter((F.col("kind") != "name") | (last("low") != last("canonical")))
+        first = changed.groupBy("kind", "low").agg(F.min(F.struct("canonical", "gender")).alias("e")).select("kind", "low", "e.canonical", "e.gender").join(known, ["kind", "low"], "left_anti")
+        won = stage(drawn.join(first, ["kind", "low", "canonical", "gender"], "left_semi"), "won")
         accepted.append(won)
-        todo = drawn.drop("surrogate", "low").join(won, ["kind", "canonical"], "left_anti")
+        todo = drawn.drop("surrogate", "low").join(won, ["kind", "canonical", "gender"], "left_anti")
         n -= won.count()
     if n:
         raise RuntimeError(f"{n} entities found no surrogate of their own in {attempts} attempts")
-    out = entities.select("kind", "canonical", F.lit("").alias("surrogate")).limit(0) if not accepted else accepted[0]
+    out = entities.select("kind", "canonical", "gender", F.lit("").alias("surrogate")).limit(0) if not accepted else accepted[0]
     for x in accepted[1:]:
         out = out.unionByName(x)
-    return out.select("kind", "canonical", "surrogate")
+    return out.select("kind", "canonical", "gender", "surrogate")
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, kinds, text), one row per row of `docs`, each mention of an entity replaced by its surrogate.
 
     Found are e-mail addresses, secrets, IBANs, IPv4 addresses, telephone and social security numbers, long numbers such as those of cards, and
-    names after a form of address. A name of one word that ends a longer one in the same text, as in "Mr. John Smith ... Mr. Smith", is the same entity and gets the
-    last word of its surrogate; in the text of another document it is an entity of its own. A surrogate keeps the type, script, gender, length and separators of what it replaces
-    (a number also its Luhn sum, a telephone number its country code, an address its top-level domain); mentions of one
+    names after a form of address. The gender that a form of address tells is part of a name's identity: Mr. and Mrs. Robin Smith are two people. A name of one word that ends a longer one
+    of that gender in the same text, as in "Mr. John Smith ... Mr. Smith", is the same entity and gets the last word of its surrogate; in the text of another document it is an entity of its own. A surrogate keeps the type, script, gender, length and separators of what it replaces
+    (a number also its Luhn sum, an IBAN valid check digits, a name in capitals its capitals, a telephone number its country code, an address its top-level domain); mentions of one
     entity, whatever their format, get the same one everywhere, different entities different ones. It follows from the key, so that
     it can't be undone without it; keep the key secret. kinds holds the distinct types found, in order. Null texts stay null with no entity; repeated
     rows are replaced alike; other columns are ignored; an empty table gives an empty result.
     """
     hints = F.col("text").rlike("[0-9@]")
-    words = sorted({w for t in TITLES.values() for w in t.split("|")})
+    words = sorted({w for t in (*TITLES.values(), NEUTRAL) for w in t.split("|")})
     for word in words:
         if word.endswith(r"(?=\.)"):
             hints = hints | F.col("text").contains(f"{word.removesuffix(r'(?=\.)')}. ")
@@ -198,16 +217,16 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     found = stage(rows.filter(some).withColumn("parts", F.split("text", ANY, -1)).drop("text"), "mentions")
 
     each = found.select("row", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", _kind(F.col("mention")))
-    each = stage(each.withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))), "each")
-    whole = each.filter((F.col("kind") == "name") & (F.instr("canonical", " ") > 0)).select(F.col("row").alias("row_"), F.element_at(F.split("canonical", " "), -1).alias("last"), "pos", F.col("canonical").alias("owner"))
-    whole = whole.groupBy("row_", "last").agg(F.min_by("owner", "pos").alias("owner"))  # the first name of a text that ends so
-    short = (F.col("kind") == "name") & (F.col("row") == F.col("row_")) & (F.col("canonical") == F.col("last"))
-    each = each.join(whole, short, "left").select("row", "pos", "mention", "kind", F.col("owner").isNotNull().alias("short"), F.coalesce("owner", "canonical").alias("canonical"))
+    each = stage(each.withColumns({"canonical": _canonical(F.col("kind"), F.col("mention")), "gender": F.when(F.col("kind") == "name", _gender(F.col("mention"))).otherwise("m")}), "each")
+    whole = each.filter((F.col("kind") == "name") & (F.instr("canonical", " ") > 0)).select(F.col("row").alias("row_"), F.element_at(F.split("canonical", " "), -1).alias("last"), F.col("gender").alias("of"), "pos", F.col("canonical").alias("owner"))
+    whole = whole.groupBy("row_", "last", "of").agg(F.min_by("owner", "pos").alias("owner"))  # the first name of a text that ends so
+    short = (F.col("kind") == "name") & (F.col("row") == F.col("row_")) & (F.col("canonical") == F.col("last")) & (F.col("gender") == F.col("of"))
+    each = each.join(whole, short, "left").select("row", "pos", "mention", "kind", "gender", F.col("owner").isNotNull().alias("short"), F.coalesce("owner", "canonical").alias("canonical"))
     each = stage(each, "named")
-    entities = stage(each.groupBy("kind", "canonical").agg(F.min(F.when(F.col("kind") == "name", _gender(F.col("mention"))).otherwise("m")).alias("gender")), "entities")
+    entities = stage(each.select("kind", "canonical", "gender").distinct(), "entities")
     drawn = stage(surrogates(entities, key), "surrogates")
     surrogate = F.when(F.col("short"), F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
-    given = each.join(maybe_broadcast(drawn, drawn.count()), ["kind", "canonical"]).select("row", "pos", "kind", _rendered(F.col("kind"), F.col("mention"), surrogate).alias("new"))
+    given = each.join(maybe_broadcast(drawn, drawn.count()), ["kind", "canonical", "gender"]).select("row", "pos", "kind", _rendered(F.col("kind"), F.col("mention"), surrogate).alias("new"))
     by_row = given.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"))  # of one document
     joined = found.join(by_row, "row")
     text = F.concat(F.array_join(F.transform("new", lambda x, i: F.concat(F.get("parts", i), x["new"])), ""), F.element_at("parts", -1))
