@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
-from tessella.llm.common import doc_bucket, maybe_broadcast, stage
+from tessella.llm.common import doc_bucket, maybe_broadcast, stage, unstage
 from tessella.llm.queries import tokenizer_path
 
 
+#: The lists that runs under way collect their stages' tables in, the innermost last; a stage called by itself keeps its tables.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def _tables_deleted():
+    """Within it the tables that stages make are collected; they are deleted at its end, when the stage's result is written."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        unstage(*_OPEN.pop())
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` staged; a run deletes it once the stage's result is written."""
+    out = stage(df, name)
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """`docs`, staged, with a column that tells rows apart whatever their doc_ids, and its name, which no other column has."""
     row = "row_of_stage"
     while row.lower() in (c.lower() for c in docs.columns):
         row += "_"
-    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    return _kept(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def _without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """`docs` without the rows whose number is in `dropped`, and without that number."""
-    dropped = stage(dropped.select(row).distinct(), "dropped")
+    dropped = _kept(dropped.select(row).distinct(), "dropped")
     return docs.join(maybe_broadcast(dropped, dropped.count()), row, "left_anti").drop(row)
 
 
@@ -49,9 +73,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     numbered, row = _numbered(docs)
     found = ngram_join.near_duplicate_components(numbered.select(F.col(row).alias("doc_id"), "text"))
-    found = stage(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group_of_row")), "groups")
+    found = _kept(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group_of_row")), "groups")
     several = found.groupBy("group_of_row").agg(F.count("*").alias("n")).filter("n > 1").select("group_of_row")
-    members = stage(found.join(several, "group_of_row"), "members")
+    members = _kept(found.join(several, "group_of_row"), "members")
     named = numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(maybe_broadcast(members, members.count()), row)
     least = named.groupBy("group_of_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", row))[row].alias("kept_row"))
     return _without(numbered, members.join(least, "group_of_row").filter(F.col(row) != F.col("kept_row")), row)
@@ -78,6 +102,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, over the documents of `sf_dir`; the result of each is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written: list[DataFrame] = []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with _tables_deleted():
+            docs = stage(step(spark, docs, sf_dir), name)
+        unstage(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
