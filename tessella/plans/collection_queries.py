@@ -130,8 +130,8 @@ def labelled_counts(spark, sf_dir):
 def gallery_order(spark, sf_dir):
     rows = _points(spark, sf_dir).withColumn("cluster_score", F.when(F.col("vec_id") % 5 > 0, (F.col("vec_id") * 37 % 11).cast("double") / 10))
     shown = explore.gallery(rows, 2, "vec_id").select("vec_id", "cluster", "cluster_score")
-    place = F.row_number().over(Window.orderBy(F.desc(F.coalesce("cluster_score", F.lit(0.0))), "vec_id")).cast("bigint")  # of one cluster's gallery
-    return shown.withColumn("place", place)
+    came = shown.withColumn("came", F.monotonically_increasing_id())  # the order in which the operator gives them
+    return came.withColumn("place", F.row_number().over(Window.orderBy("came")).cast("bigint")).drop("came")
 
 
 @query(f"WITH {_MODELS} SELECT key, CASE WHEN key = 'dinov2_base' THEN 'own' WHEN contains(lower(family), 'dino') THEN 'dino text' WHEN contains(lower(family), 'clip') THEN 'clip text' ELSE 'any text' END AS guidance FROM m")
@@ -208,18 +208,33 @@ def failure_rows(spark, sf_dir):
     return rows.select("event_id", "status", "hint", F.get_json_object("report", "$.error").alias("error"), F.get_json_object("report", "$.stage").alias("stage"))
 
 
-@query(f"SELECT vec_id, cluster, 'kmeans' AS method, true AS applied, 4 AS k, 0.25::DOUBLE AS score FROM ({_POINTS})")
+@query(f"SELECT vec_id, vec_id AS count, CASE WHEN cluster > 1 THEN 'kmeans' END AS method, cluster > 2 AS applied, CASE WHEN cluster > 1 THEN 4 END AS k, CASE WHEN cluster = 2 THEN 'too few points' END AS warning FROM ({_POINTS})")
 def projection_metadata(spark, sf_dir):
-    rows = _points(spark, sf_dir).select("vec_id", "cluster", sinks.projection_metadata("openclip_vit_b_32", "img", F.col("vec_id"), method="kmeans", k=4, score=0.25).alias("json"))
-    parsed = F.from_json("json", "clustering struct<method: string, applied: boolean, k: int, score: double>")["clustering"]
-    return rows.select("vec_id", "cluster", parsed["method"].alias("method"), parsed["applied"].alias("applied"), parsed["k"].alias("k"), parsed["score"].alias("score"))
+    """Metadata of projections without clusters, of those that couldn't be clustered and of clustered ones."""
+    make = lambda **more: sinks.projection_metadata("openclip_vit_b_32", "img", F.col("vec_id"), **more)
+    cluster_of = F.col("cluster")
+    made = F.when(cluster_of == 1, make()).when(cluster_of == 2, make(method="kmeans", k=4, warning="too few points")).otherwise(make(method="kmeans", k=4, score=0.25))
+    parsed = F.from_json("json", "count long, clustering struct<method: string, applied: boolean, k: int, warning: string>")
+    rows = _points(spark, sf_dir).select("vec_id", made.alias("json")).select("vec_id", parsed.alias("d"))
+    return rows.select("vec_id", "d.count", "d.clustering.method", "d.clustering.applied", "d.clustering.k", "d.clustering.warning")
 
 
-@query("SELECT vec_id, 'a query' AS query, label + 1 AS rank, 'ok' AS status FROM embeddings")
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 3 > 0")
+def embedding_cache(spark, sf_dir):
+    """What is still to be encoded beside a stored third of the vectors, kept by model."""
+    rows = _vectors(spark, sf_dir).withColumn("model_key", F.concat(F.lit("model-"), (F.col("label") % 2).cast("string")))
+    path = f"{sinks.shared_folder(spark)}/vectors"
+    sinks.write_embeddings(rows.filter("vec_id % 3 = 0").select("vec_id", "embedding", "model_key"), path)
+    return sinks.missing(rows.select("vec_id", "label", "model_key"), spark.read.parquet(path), ["vec_id", "model_key"]).select("vec_id", "label")
+
+
+@query("SELECT vec_id, 'a query' AS query, CASE WHEN label > 0 THEN label + 1 END AS rank, CASE WHEN label = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label = 0 THEN 'no index \"' || vec_id || '\"' END AS error FROM embeddings")
 def search_log(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("vec_id", sinks.search_log("a query", F.lit("openclip_vit_b_32"), F.col("label") + 1).alias("json"))
-    parsed = F.from_json("json", "query string, hits int, status string")
-    return rows.select("vec_id", parsed["query"].alias("query"), parsed["hits"].alias("rank"), parsed["status"].alias("status"))
+    failed = F.col("label") == 0
+    error = F.when(failed, F.concat(F.lit('no index "'), F.col("vec_id").cast("string"), F.lit('"')))
+    rows = _vectors(spark, sf_dir).select("vec_id", sinks.search_log("a query", F.lit("openclip_vit_b_32"), F.when(~failed, F.col("label") + 1), error).alias("json"))
+    parsed = F.from_json("json", "query string, hits int, status string, error string")
+    return rows.select("vec_id", parsed["query"].alias("query"), parsed["hits"].alias("rank"), parsed["status"].alias("status"), parsed["error"].alias("error"))
 
 
 @query("""
@@ -229,7 +244,7 @@ def search_log(spark, sf_dir):
 def resize_outcomes(spark, sf_dir):
     k = F.col("p_partkey")
     suffix = F.when(k % 4 == 0, ".jpeg").when(k % 4 == 1, ".png").when(k % 4 == 2, ".webp").otherwise(".gif")
-    outcome = images.resize_outcome(k % 37 * 0 + k * 37 % 3000, k * 91 % 2000, 800, k % 9 == 0, F.col("p_size") * 100, k % 5000)
+    outcome = images.resize_outcome(k * 37 % 3000, k * 91 % 2000, 800, k % 9 == 0, F.col("p_size") * 100, k % 5000)
     return _read(spark, sf_dir, "part").select("p_partkey", outcome.alias("status"), images.image_format(suffix).alias("format"))
 
 

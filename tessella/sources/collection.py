@@ -32,8 +32,12 @@ def images(paths: DataFrame, path: str = "path", suffixes: tuple[str, ...] = IMA
 
 
 def decoded(spark: SparkSession, directory: str) -> DataFrame:
-    """Images as pixels; what can't be decoded is left out."""
-    return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(directory)
+    """(path, width, height, channels, pixels, error): images below a folder; one that can't be decoded has its path and an error."""
+    image = F.col("image")
+    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(directory)
+    fine = image["height"] > 0
+    one = lambda name: F.when(fine, image[name])
+    return rows.select(image["origin"].alias("path"), one("width").alias("width"), one("height").alias("height"), one("nChannels").alias("channels"), one("data").alias("pixels"), F.when(~fine, "cannot be decoded").alias("error"))
 
 
 def folders(paths: DataFrame, path: str = "path") -> DataFrame:

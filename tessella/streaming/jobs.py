@@ -16,11 +16,6 @@ def new_images(spark: SparkSession, directory: str) -> DataFrame:
     return found.filter(suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select("path", F.col("length").alias("size"), "modificationTime")
 
 
-def job_states(events: DataFrame, job: str = "user_id", ts: str = "ts", event: str = "event_id", status: str = "event_type") -> DataFrame:
-    """A streaming aggregation: the latest status of each job, and how many events it has had."""
-    return events.groupBy(job).agg(F.max_by(F.col(status), F.struct(ts, event)).alias("status"), F.max(ts).alias("updated_at"), F.count("*").alias("events"))
-
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import random
+import struct
+import time
+import zlib
 
 import numpy as np
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 from tessella.operators import explore, images, jobs, merkle, spatial, text_index
-from tessella.sources import npy
+from tessella.sources import collection, npy
 
 
 def scanned_files(df) -> int:
@@ -141,6 +145,37 @@ def test_measured_jobs(spark):
     assert got["kind"] == "failed" and "it broke" in got["error"]
 
 
+def test_images_that_cannot_be_decoded_have_an_error(spark, tmp_path):
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    pixels = b"".join(b"\0" + bytes([x, y, 9]) * 3 for y in (1, 2) for x in (5,))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in collection.decoded(spark, str(tmp_path)).collect()}
+    assert (got["a.png"]["width"], got["a.png"]["height"], got["a.png"]["channels"], got["a.png"]["error"]) == (3, 2, 3, None) and len(got["a.png"]["pixels"]) == 18
+    assert got["b.png"]["width"] is None and got["b.png"]["pixels"] is None and "decoded" in got["b.png"]["error"]
+
+
+def test_a_job_group_is_cancelled(spark):
+    seen = []
+
+    def work():
+        with jobs.JobGroup(spark, "slow"):
+            try:
+                spark.range(4, numPartitions=4).mapInPandas(lambda batches: (time.sleep(60) or x for x in batches), "id long").count()
+            except Exception as error:  # noqa: BLE001
+                seen.append(str(error))
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    time.sleep(4)
+    jobs.JobGroup(spark, "slow").cancel()
+    thread.join(40)
+    assert not thread.is_alive() and "cancel" in seen[0].lower() and spark.range(3).count() == 3
+
+
 def test_resampling(spark):
     one = spark.createDataFrame([([float(i) for i in range(12)],)], "p array<double>")
     got = one.select(images.resampled(F.col("p"), 4, 3, 2, 3, "box").alias("box"), images.resampled(F.col("p"), 4, 3, 4, 3).alias("same"), images.resampled(F.col("p"), 4, 3, 2, 6).alias("other")).first()
