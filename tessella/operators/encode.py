@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -86,15 +89,35 @@ def encode_column(rows: DataFrame, key: str, column: str, build, batch_size: int
 
 
 def hashed_text_entries(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """(key, d, w): a hashed bag of words, its entries unit-normed; a deterministic stand-in, not a semantic model."""
-    words = F.explode(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != ""))
-    d = (F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    each = rows.select(key, words.alias("word")).select(key, d.alias("d"))
-    # a column for each entry, so that tasks send one row for each text and nothing is joined
-    counts = each.groupBy(key).agg(*(F.count_if(F.col("d") == i).alias(f"c{i}") for i in range(dim)))
-    counts = counts.select(key, F.array(*(f"c{i}" for i in range(dim))).alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0).cast("long"), lambda s, c: s + c * c).cast("double"))
-    return counts.select(key, norm.alias("norm"), F.posexplode("c").alias("d", "n")).filter("n > 0").select(key, "d", (F.col("n") / F.col("norm")).alias("w"))
+    """(key, d, w): a hashed bag of words, its entries unit-normed; a deterministic stand-in, not a semantic model.
+
+    A text is counted where it is read, nothing is shuffled. Null texts and those without words have no entries.
+    """
+
+    class Places(dict):
+        def __missing__(self, word: str) -> int:
+            if len(self) >= 500_000:
+                self.clear()
+            place = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            return place
+
+    def run(batches: Iterator[pd.DataFrame]):
+        places, words = Places(), re.compile("[a-z]+")
+        for pdf in batches:
+            keys, entries, weights = [], [], []
+            for k, t in zip(pdf["key"], pdf["text"]):
+                found = words.findall(t)
+                if found:
+                    counts = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=dim)
+                    some = np.flatnonzero(counts)
+                    keys.append(np.repeat(k, len(some)))
+                    entries.append(some)
+                    weights.append(counts[some] / math.sqrt(float((counts * counts).sum())))
+            join = lambda x: np.concatenate(x) if x else []
+            yield pd.DataFrame({key: join(keys), "d": join(entries), "w": join(weights)})
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text IS NOT NULL").mapInPandas(run, f"{key} {kind}, d int, w double")
 
 
 def hashed_text_score(entries: DataFrame, query: DataFrame, key: str) -> DataFrame:
