@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 #: Settings while a table is staged: what was shuffled for it goes once it is written, and Python gets texts in small batches.
-_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write `df` as Parquet, with the writer's options, to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def stage(df: DataFrame, name: str, records: int = 500, **options: str) -> DataFrame:
+    """Write `df` as Parquet, with the writer's options, to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    Python gets `records` rows at a time meanwhile.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _STAGING}
-    for k, v in _STAGING.items():
+    settings = _STAGING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         df.write.options(**options).parquet(path)
