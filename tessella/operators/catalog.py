@@ -61,6 +61,26 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(model_rows(), SCHEMA)
 
 
+def registry(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """The built-in models and a table of the users' own, whose columns are brought to the catalogue's types; an own model replaces the built-in one of its key."""
+    fields = [x.strip().split() for x in SCHEMA.split(",")]
+    rows = own.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))
+    taken = rows.filter(F.col("key").isin(*(r[1] for r in model_rows()))).select("key")
+    return models(spark).join(taken, "key", "left_anti").select(*rows.columns).unionByName(rows)
+
+
+def lacking_families(rows: DataFrame, group: str) -> DataFrame:
+    """(group, lacking): how many of the required families no model of a group has."""
+    wanted = F.when(F.col("family").isin(*REQUIRED_FAMILIES), F.col("family"))
+    return rows.groupBy(group).agg((F.lit(len(REQUIRED_FAMILIES)) - F.count_distinct(wanted)).alias("lacking"))
+
+
+def requirements(rows: DataFrame, installed: list[str]) -> DataFrame:
+    """(module, models, required, installed) of the modules that models need: how many need each, and whether a stable one does."""
+    found = rows.select("status", F.explode("requires").alias("module")).groupBy("module").agg(F.count("*").alias("models"), F.bool_or(F.col("status") == "stable").alias("required"))
+    return found.withColumn("installed", F.col("module").isin(*installed))
+
+
 def legacy_key(name: Column, checkpoint: Column) -> Column:
     """The key that an old model name and checkpoint stand for, or one made of both."""
     both = F.concat_ws(" ", name, checkpoint)

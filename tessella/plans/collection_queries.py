@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, cluster, encode, explore, images, jobs, neighbours, search
 from ..sources import collection, sinks
-from .queries import _MODELS, _POINTS, _Z, _lloyd_sql, _points, _read, _silhouette_sql, _vectors, query
+from .queries import _POINTS, _REGISTRY, _Z, _lloyd_sql, _points, _read, _registry, _silhouette_sql, _vectors, query
 
 _PATH = "source || '/' || lang || '/d' || doc_id || '.jpg'"
 
@@ -54,21 +54,29 @@ def projection_read_back(spark, sf_dir):
     return collection.projection_table(spark, path).select("row_index", "filename", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster", "cluster_score")
 
 
-@query("SELECT 3 AS files, true AS newest_first, true AS sized")
+@query("SELECT CASE part WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS place, 'p' || part AS part, rows FROM (SELECT vec_id % 3 AS part, count(*) AS rows FROM embeddings GROUP BY 1)")
 def projection_listing(spark, sf_dir):
+    """Stored projections, newest first, with their rows; their times are set so that neither names nor the order of writing give the order."""
     folder = sinks.shared_folder(spark)
     for k in range(3):
         sinks.write_tsv(_points(spark, sf_dir).filter(F.col("vec_id") % 3 == k), f"{folder}/p{k}", 1)
-    found = collection.newest_first(collection.files(spark, folder, "*.csv"))
-    after = F.lag("mtime").over(Window.orderBy(F.desc("mtime"), "path"))  # of the few files of a folder
-    return found.withColumn("sorted", F.coalesce(after >= F.col("mtime"), F.lit(True))).agg(F.count("*").cast("int").alias("files"), F.bool_and("sorted").alias("newest_first"), F.bool_and(F.col("size") > 0).alias("sized"))
+    named = F.regexp_extract("path", r"/(p\d)/[^/]*$", 1).alias("part")
+    written = collection.files(spark, folder, "*.csv").select("path", named).collect()  # three
+    for row in written:
+        collection.set_time(spark, row["path"], 1_700_000_000 + {"p0": 20, "p1": 40, "p2": 0}[row["part"]])
+    found = collection.newest_first(collection.files(spark, folder, "*.csv")).select(named, F.monotonically_increasing_id().alias("came"))
+    placed = found.select("part", F.row_number().over(Window.orderBy("came")).alias("place"))  # of the few files of a folder
+    lines = spark.read.option("sep", "\t").option("header", "true").csv([r["path"] for r in written]).select(F.col("_metadata.file_path").alias("path"))
+    return placed.join(lines.groupBy(named).agg(F.count("*").alias("rows")), "part").select("place", "part", "rows")
 
 
-@query(f"WITH {_MODELS} SELECT key AS model_key, family AS model_family, ordinal * 10 AS count, 'e' || ordinal AS embedding_id FROM m WHERE supports_text_search")
+@query("SELECT 'm' || s_nationkey AS model_key, s_name AS model_family, s_suppkey::INTEGER * 10 AS count, 'e' || s_suppkey AS embedding_id FROM supplier WHERE s_acctbal > 0")
 def manifest_scan(spark, sf_dir):
+    """Manifests of stored vectors, one of each supplier in credit, written as JSON files and read back."""
     folder = sinks.shared_folder(spark)
-    rows = catalog.models(spark).filter("supports_text_search").select(
-        F.lit("h").alias("dataset_hash"), F.col("key").alias("model_key"), F.col("family").alias("model_family"), F.concat(F.lit("e"), F.col("ordinal").cast("string"), F.lit("_manifest.json")).alias("embedding_path"), (F.col("ordinal") * 10).alias("count"),
+    rows = _read(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
+        F.lit("h").alias("dataset_hash"), F.concat(F.lit("m"), F.col("s_nationkey")).alias("model_key"), F.col("s_name").alias("model_family"),
+        F.concat(F.lit("e"), F.col("s_suppkey"), F.lit("_manifest.json")).alias("embedding_path"), (F.col("s_suppkey").cast("int") * 10).alias("count"),
     )
     sinks.write_manifests(rows, folder)
     return collection.manifests(spark, folder).select("model_key", "model_family", "count", T.without_ending(F.col("embedding_path"), "_manifest.json").alias("embedding_id"))
@@ -134,20 +142,21 @@ def gallery_order(spark, sf_dir):
     return came.withColumn("place", F.row_number().over(Window.orderBy("came")).cast("bigint")).drop("came")
 
 
-@query(f"WITH {_MODELS} SELECT key, CASE WHEN key = 'dinov2_base' THEN 'own' WHEN contains(lower(family), 'dino') THEN 'dino text' WHEN contains(lower(family), 'clip') THEN 'clip text' ELSE 'any text' END AS guidance FROM m")
+@query(f"WITH {_REGISTRY} SELECT key, CASE WHEN key = 'dinov2_base' THEN 'own' WHEN contains(lower(family), 'dino') THEN 'dino text' WHEN contains(lower(family), 'clip') THEN 'clip text' ELSE 'any text' END AS guidance FROM m")
 def model_guidance(spark, sf_dir):
     own = spark.createDataFrame([("dinov2_base", "own")], "key string, guidance string")
-    return catalog.with_guidance(catalog.models(spark), own, [("dino", "dino text"), ("clip", "clip text")], "any text").select("key", "guidance")
+    return catalog.with_guidance(_registry(spark, sf_dir), own, [("dino", "dino text"), ("clip", "clip text")], "any text").select("key", "guidance")
 
 
-@query(f"WITH {_MODELS} SELECT key, concat_ws(' · ', family, nullif(concat_ws(' · ', CASE WHEN list_contains(recommended_for, 'fast') THEN 'Fast' END, CASE WHEN status = 'experimental' THEN 'Experimental' END, CASE WHEN hardware_tier IN ('gpu_recommended', 'large_gpu') THEN 'Requires GPU' END, CASE WHEN supports_text_search THEN 'Text search supported' ELSE 'Projection only' END), ''), 'provider ' || provider) AS label FROM m")
+@query(f"WITH {_REGISTRY} SELECT key, concat_ws(' · ', family, nullif(concat_ws(' · ', CASE WHEN list_contains(recommended_for, 'fast') THEN 'Fast' END, CASE WHEN status = 'experimental' THEN 'Experimental' END, CASE WHEN hardware_tier IN ('gpu_recommended', 'large_gpu') THEN 'Requires GPU' END, CASE WHEN supports_text_search THEN 'Text search supported' ELSE 'Projection only' END), ''), 'provider ' || provider) AS label FROM m")
 def model_labels(spark, sf_dir):
-    return catalog.models(spark).select("key", catalog.label().alias("label"))
+    return _registry(spark, sf_dir).select("key", catalog.label().alias("label"))
 
 
-@query(f"WITH {_MODELS} SELECT count(*) = 0 AS complete FROM (SELECT unnest({list(catalog.REQUIRED_FAMILIES)!r}) AS family) WHERE family NOT IN (SELECT family FROM m)")
+@query(f"WITH {_REGISTRY} SELECT batch_size, 16 - count(DISTINCT CASE WHEN list_contains({list(catalog.REQUIRED_FAMILIES)!r}, family) THEN family END) AS lacking FROM m GROUP BY 1")
 def required_families(spark, sf_dir):
-    return catalog.models(spark).agg((F.size(F.array_except(F.array(*map(F.lit, catalog.REQUIRED_FAMILIES)), F.collect_set("family"))) == 0).alias("complete"))
+    """For each size of batch, how many of the families that a catalogue must have its models lack."""
+    return catalog.lacking_families(_registry(spark, sf_dir), "batch_size")
 
 
 @query("""
@@ -160,15 +169,15 @@ def legacy_model_keys(spark, sf_dir):
     return old.select("event_id", catalog.legacy_key(F.col("model"), F.col("checkpoint")).alias("model_key"))
 
 
-_REQUIRED = "SELECT unnest(['torch', 'numpy', 'pandas', 'open_clip']) AS module, unnest([true, true, true, false]) AS required"
+_REQUIRED = f"{_REGISTRY}, r AS (SELECT module, count(*) AS models, bool_or(status = 'stable') AS required, module IN ('torch', 'numpy') AS installed FROM (SELECT status, unnest(requires) AS module FROM m) GROUP BY 1)"
 
 
-@query(f"SELECT module, required, module IN ('torch', 'numpy') AS installed FROM ({_REQUIRED})")
+@query(f"WITH {_REQUIRED} SELECT * FROM r")
 def dependency_report(spark, sf_dir):
-    return catalog.dependencies(spark, {"torch": True, "numpy": True, "pandas": True, "open_clip": False}, ["torch", "numpy"])
+    return catalog.requirements(_registry(spark, sf_dir), ["torch", "numpy"])
 
 
-@query(f"SELECT bool_and(installed) FILTER (required) AS ok, count(*) FILTER (required AND NOT installed) AS missing FROM (SELECT *, module IN ('torch', 'numpy') AS installed FROM ({_REQUIRED}))")
+@query(f"WITH {_REQUIRED} SELECT count(*) FILTER (required AND NOT installed) = 0 AS ok, count(*) FILTER (required AND NOT installed) AS missing FROM r")
 def dependency_summary(spark, sf_dir):
     return catalog.dependency_summary(dependency_report(spark, sf_dir))
 
@@ -248,14 +257,21 @@ def resize_outcomes(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", outcome.alias("status"), images.image_format(suffix).alias("format"))
 
 
-@query("SELECT key, provider IN ('openclip', 'openclip_hf_hub', 'transformers_clip', 'transformers_image_features', 'transformers_metaclip2', 'transformers_vision_pool', 'nomic_transformers', 'imagebind', 'sentence_transformers') AS runnable FROM m".replace("SELECT", f"WITH {_MODELS} SELECT", 1))
+@query("SELECT key, provider IN ('openclip', 'openclip_hf_hub', 'transformers_clip', 'transformers_image_features', 'transformers_metaclip2', 'transformers_vision_pool', 'nomic_transformers', 'imagebind', 'sentence_transformers') AS runnable FROM m".replace("SELECT", f"WITH {_REGISTRY} SELECT", 1))
 def encoder_dispatch(spark, sf_dir):
-    return catalog.models(spark).select("key", encode.runnable(F.col("provider")).alias("runnable"))
+    return _registry(spark, sf_dir).select("key", encode.runnable(F.col("provider")).alias("runnable"))
 
 
-@query("SELECT vec_id, vec_id % 50 = 7 AS failed, CASE WHEN vec_id % 50 = 7 THEN 0 ELSE 64 END AS dim FROM embeddings")
+@query("SELECT vec_id, vec_id % 50 = 7 AS failed, CASE WHEN vec_id % 50 = 7 THEN 0 ELSE 64 END AS dim, CASE WHEN vec_id % 50 <> 7 THEN vec_id % 16 + 1 END AS place FROM embeddings")
 def encode_with_retry(spark, sf_dir):
-    """Encodes with a plug-in that refuses one value in fifty as out of memory: the rest of its batch is encoded, one by one."""
+    """Encodes with a plug-in that refuses one value in fifty as out of memory: the rest of its batch is encoded, one by one.
+
+    Its output is a mapping, an object with a place for each token, or one with layers, as real models give; a vector's four entries of 1/2 tell whether the right part was taken.
+    """
+
+    class Output:
+        def __init__(self, **fields):
+            self.__dict__.update(fields)
 
     class Fussy:
         dim = 64
@@ -263,10 +279,13 @@ def encode_with_retry(spark, sf_dir):
         def encode(self, batch):
             if any(x % 50 == 7 for x in batch):
                 raise RuntimeError("out of memory")
-            return [{"image_embeds": None, "pooler_output": [[float(x)] * 64]}["pooler_output"][0] for x in batch]
+            right, wrong = ([[float(d % 16 == (x + shift) % 16) for d in range(64)] for x in batch] for shift in (0, 5))
+            tokens = [[r, w] for r, w in zip(right, wrong)]
+            forms = ({"image_embeds": None, "pooler_output": right, "logits": wrong}, Output(last_hidden_state=tokens, embeds=wrong), Output(hidden_states=(wrong, tokens)), right)
+            return forms[int(batch.iloc[0]) % 4]
 
     rows = encode.encode_column(_vectors(spark, sf_dir).select("vec_id", F.col("vec_id").alias("value")), "vec_id", "value", Fussy)
-    return rows.select("vec_id", F.col("error").isNotNull().alias("failed"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
+    return rows.select("vec_id", F.col("error").isNotNull().alias("failed"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"), F.array_position("embedding", F.lit(0.5).cast("float")).alias("place"))
 
 
 @query(

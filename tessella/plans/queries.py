@@ -295,6 +295,34 @@ def _values(columns: list[int]) -> str:
 
 
 _MODELS = f"m AS (SELECT * FROM {_values(list(range(15)))})"
+
+# A registry that grows: the built-in models and one of the users' own for each row of `part`, under the same columns.
+_REGISTRY = f"""m AS (SELECT * FROM {_values(list(range(15)))} UNION ALL
+    SELECT (100 + p_partkey)::INTEGER, 'own_' || p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE {list(catalog.REQUIRED_FAMILIES)!r}[p_partkey % 16 + 1] END,
+           CASE p_size % 5 WHEN 0 THEN 'openclip' WHEN 1 THEN 'transformers_clip' WHEN 2 THEN 'planned' WHEN 3 THEN 'imagebind' ELSE 'of_my_own' END, p_name,
+           list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'torch' END, CASE WHEN p_partkey % 3 = 0 THEN 'open_clip' END, CASE WHEN p_partkey % 5 = 0 THEN 'einops' END], lambda x: x IS NOT NULL),
+           CASE p_type WHEN 'ECONOMY' THEN ['fast', 'art_collection'] WHEN 'SMALL' THEN ['multilingual'] ELSE []::VARCHAR[] END, p_size::INTEGER,
+           CASE p_size % 4 WHEN 0 THEN 'cpu_ok' WHEN 1 THEN 'gpu_recommended' ELSE 'large_gpu' END, CASE p_partkey % 4 WHEN 0 THEN 'stable' WHEN 1 THEN 'experimental' WHEN 2 THEN 'planned' ELSE 'unavailable' END,
+           p_partkey % 7 <> 0, p_partkey % 5 <> 4, p_partkey % 5 > 2, p_partkey % 9 <> 0, p_partkey % 11 = 0 FROM part)"""
+
+
+def _registry(spark, sf_dir) -> DataFrame:
+    """The built-in models and the users' own, one for each row of `part`."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    some = lambda *pairs: F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in pairs)))
+    own = _read(spark, sf_dir, "part").select(
+        (k + 100).alias("ordinal"), F.concat(F.lit("own_"), k).alias("key"),
+        F.when(size % 3 == 0, F.col("p_brand")).otherwise(F.element_at(F.array(*map(F.lit, catalog.REQUIRED_FAMILIES)), (k % 16 + 1).cast("int"))).alias("family"),
+        F.when(size % 5 == 0, "openclip").when(size % 5 == 1, "transformers_clip").when(size % 5 == 2, "planned").when(size % 5 == 3, "imagebind").otherwise("of_my_own").alias("provider"),
+        F.col("p_name").alias("model_id"), some((k % 2 == 0, "torch"), (k % 3 == 0, "open_clip"), (k % 5 == 0, "einops")).alias("requires"),
+        F.when(F.col("p_type") == "ECONOMY", F.array(F.lit("fast"), F.lit("art_collection"))).when(F.col("p_type") == "SMALL", F.array(F.lit("multilingual"))).otherwise(F.array().cast("array<string>")).alias("recommended_for"),
+        size.alias("batch_size"), F.when(size % 4 == 0, "cpu_ok").when(size % 4 == 1, "gpu_recommended").otherwise("large_gpu").alias("hardware_tier"),
+        F.when(k % 4 == 0, "stable").when(k % 4 == 1, "experimental").when(k % 4 == 2, "planned").otherwise("unavailable").alias("status"),
+        (k % 7 != 0).alias("supports_image_embedding"), (k % 5 != 4).alias("supports_text_embedding"), (k % 5 > 2).alias("supports_text_search"), (k % 9 != 0).alias("supports_projection"), (k % 11 == 0).alias("trust_remote_code"),
+    )
+    return catalog.registry(spark, own)
+
+
 _CHIPS = """list_distinct(list_filter(list_concat([CASE WHEN supports_projection THEN 'projection' END, CASE WHEN supports_text_search THEN 'semantic search' END,
     CASE WHEN supports_text_embedding THEN 'text embedding' END, CASE WHEN NOT supports_image_embedding THEN 'image only' END,
     CASE hardware_tier WHEN 'cpu_ok' THEN 'CPU-friendly' WHEN 'gpu_recommended' THEN 'GPU recommended' WHEN 'large_gpu' THEN 'Large GPU' END],
@@ -410,40 +438,40 @@ def props_json_sum(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_MODELS}, a AS (SELECT key, status, list_filter(requires, lambda r: NOT list_contains({_INSTALLED!r}, r)) AS missing FROM m)
+    WITH {_REGISTRY}, a AS (SELECT key, status, list_filter(requires, lambda r: NOT list_contains({_INSTALLED!r}, r)) AS missing FROM m)
     SELECT key, array_to_string(missing, ',') AS missing_requirements, len(missing) = 0 AND status NOT IN ('planned', 'unavailable') AS available FROM a""")
 def model_availability(spark, sf_dir):
-    return catalog.availability(catalog.models(spark), _INSTALLED).select("key", F.array_join("missing_requirements", ",").alias("missing_requirements"), "available")
+    return catalog.availability(_registry(spark, sf_dir), _INSTALLED).select("key", F.array_join("missing_requirements", ",").alias("missing_requirements"), "available")
 
 
-@query(f"WITH {_MODELS} SELECT key, array_to_string(list_sort({_CHIPS}), '|') AS chips FROM m")
+@query(f"WITH {_REGISTRY} SELECT key, array_to_string(list_sort({_CHIPS}), '|') AS chips FROM m")
 def model_chips(spark, sf_dir):
-    return catalog.models(spark).select("key", F.array_join(F.array_sort(catalog.chips()), "|").alias("chips"))
+    return _registry(spark, sf_dir).select("key", F.array_join(F.array_sort(catalog.chips()), "|").alias("chips"))
 
 
-@query(f"WITH {_MODELS} SELECT DISTINCT unnest({_CHIPS}) AS chip FROM m")
+@query(f"WITH {_REGISTRY} SELECT DISTINCT unnest({_CHIPS}) AS chip FROM m")
 def chip_facets(spark, sf_dir):
-    return catalog.models(spark).select(F.explode(catalog.chips()).alias("chip")).distinct().orderBy("chip")
+    return _registry(spark, sf_dir).select(F.explode(catalog.chips()).alias("chip")).distinct().orderBy("chip")
 
 
 @query(f"""
-    WITH {_MODELS}, c AS (SELECT *, {_CHIPS} AS chips FROM m)
+    WITH {_REGISTRY}, c AS (SELECT *, {_CHIPS} AS chips FROM m)
     SELECT key, status FROM c WHERE status = 'experimental' AND list_contains(list_transform(chips, lambda x: lower(x)), 'multilingual')
       AND contains(lower(concat_ws(' ', family, key, model_id, provider, status, array_to_string(chips, ' '))), 'clip')""")
 def model_filter(spark, sf_dir):
-    return catalog.filter_models(catalog.models(spark), "experimental", "Multilingual", "CLIP").select("key", "status")
+    return catalog.filter_models(_registry(spark, sf_dir), "experimental", "Multilingual", "CLIP").select("key", "status")
 
 
-@query(f"WITH {_MODELS} SELECT status, count(*) AS n FROM m GROUP BY 1")
+@query(f"WITH {_REGISTRY} SELECT status, count(*) AS n FROM m GROUP BY 1")
 def model_status_counts(spark, sf_dir):
-    return catalog.models(spark).groupBy("status").agg(F.count("*").alias("n"))
+    return _registry(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"""
-    WITH {_MODELS} SELECT count(*) FILTER (supports_projection AND NOT supports_image_embedding) AS projection_without_image,
+    WITH {_REGISTRY} SELECT count(*) FILTER (supports_projection AND NOT supports_image_embedding) AS projection_without_image,
       count(*) FILTER (supports_text_search AND NOT supports_text_embedding) AS search_without_text, count(*) FILTER (status = 'planned' AND len(requires) > 0) AS planned_with_requirements, count(DISTINCT family) AS families FROM m""")
 def registry_constraints(spark, sf_dir):
-    return catalog.models(spark).agg(
+    return _registry(spark, sf_dir).agg(
         F.count_if(F.col("supports_projection") & ~F.col("supports_image_embedding")).alias("projection_without_image"),
         F.count_if(F.col("supports_text_search") & ~F.col("supports_text_embedding")).alias("search_without_text"),
         F.count_if((F.col("status") == "planned") & (F.size("requires") > 0)).alias("planned_with_requirements"),
@@ -452,11 +480,11 @@ def registry_constraints(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_MODELS}, a AS (SELECT *, len(list_filter(requires, lambda r: NOT list_contains({_INSTALLED!r}, r))) = 0 AND status <> 'planned' AS available FROM m)
-    SELECT ordinal, key, status <> 'planned' AND NOT (available AND supports_image_embedding AND supports_projection) AS disabled FROM a
+    WITH {_REGISTRY}, a AS (SELECT *, len(list_filter(requires, lambda r: NOT list_contains({_INSTALLED!r}, r))) = 0 AND status NOT IN ('planned', 'unavailable') AS available FROM m)
+    SELECT ordinal, key, status = 'unavailable' OR status <> 'planned' AND NOT (available AND supports_image_embedding AND supports_projection) AS disabled FROM a
     WHERE (supports_image_embedding AND supports_projection AND status <> 'planned') OR status = 'planned'""")
 def selectable_models(spark, sf_dir):
-    rows = catalog.availability(catalog.models(spark), _INSTALLED).filter(catalog.selectable(include_planned=True))
+    rows = catalog.availability(_registry(spark, sf_dir), _INSTALLED).filter(catalog.selectable(include_planned=True))
     return rows.select("ordinal", "key", catalog.option_disabled().alias("disabled")).orderBy("ordinal")
 
 

@@ -22,6 +22,12 @@ def files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
+def set_time(spark: SparkSession, path: str, mtime: int) -> None:
+    """Set the time of a file, in seconds."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(file, mtime * 1000, -1)
+
+
 def newest_first(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("mtime"), "path")
 

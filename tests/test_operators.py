@@ -53,6 +53,18 @@ def test_catalogue_facts(spark):
     assert rows.select("family").distinct().count() == 18
 
 
+def test_own_models_beside_the_built_in_ones(spark):
+    like = catalog.models(spark).filter("key = 'dinov2_base'")
+    own = like.withColumn("status", F.lit("planned")).unionByName(like.withColumns({"key": F.lit("mine"), "family": F.lit("Mine"), "requires": F.array(F.lit("torch"), F.lit("mymodule"))}))
+    rows = catalog.registry(spark, own)
+    assert rows.count() == catalog.models(spark).count() + 1
+    assert [r[0] for r in rows.filter("key = 'dinov2_base'").select("status").collect()] == ["planned"]
+    assert catalog.registry(spark, own.limit(0)).count() == catalog.models(spark).count()
+    needs = {r["module"]: (r["models"], r["required"], r["installed"]) for r in catalog.requirements(own, ["torch"]).collect()}
+    assert needs == {"torch": (2, True, True), "transformers": (1, False, False), "mymodule": (1, True, False)}
+    assert {tuple(r) for r in catalog.lacking_families(own, "status").collect()} == {("planned", 15), ("stable", 16)}
+
+
 def test_paths(spark):
     paths = spark.createDataFrame([(p,) for p in ("a-b.jpg", "a/b.jpg", "A/c.JPG", "x.bmp", "y.txt", ".h/z.png", "a/.h/z.png")], "path string")
     assert [r[0] for r in collection.images(paths).collect()] == [".h/z.png", "A/c.JPG", "a/.h/z.png", "a/b.jpg", "a-b.jpg", "x.bmp"]
