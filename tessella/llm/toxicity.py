@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +21,22 @@ CHANCE = 0.05
 #: MinHash bands and rows by which near copies meet, and the Jaccard similarity of their five-word shingles in per cent.
 BANDS, BAND_ROWS, SIMILARITY = 8, 2, 75
 
-# Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
-_LOOKALIKES = str.maketrans("аеорсухіјѕԁһ" "αεικνορτυχ", "aeopcyxijsdh" "aeiknoptux")
-_DIGITS = str.maketrans("013457", "oieast")
+# Letters of other scripts, in both cases, that look like Latin ones, and digits and signs that stand for letters.
+_LOOKALIKES = str.maketrans(
+    "АВЕЅІЈКМНОРСТУХԌԚԜ" "авеѕіјкмнорстухԍԛԝԁһүѵӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "αβγεηικνορτυχω" "ıɑɡɩłøđŁØĐ",
+    "ABESIJKMHOPCTYXGQW" "abesijkmhopctyxgqwdhyvl" "ABEZHIKMNOPTYX" "abyenikvoptuxw" "iagilodLOD",
+)
+_DIGITS = str.maketrans("012345789", "oizeastbg")  # 6 is read as b and as g, so it stays
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 
+_FOREIGN = re.compile(f"[{''.join(map(chr, _LOOKALIKES))}]")
+# Marks over and under letters, joiners and other characters without a form of their own.
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u0483-\u0489\u061c\u180b-\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
+# Three or more letters kept apart by one sign, or four or more by blanks.
+_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:([-.*~·_])[^\W\d_](?:\1[^\W\d_])+| [^\W\d_](?: [^\W\d_]){2,})(?![^\W_])")
+#: Letters with an accent, and what is left of them without it.
+_PLAIN = {c: d[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFD", chr(c))) and len(d) > 1 and d[0].isascii()}
+_BETWEEN = re.compile(r"[\W_]+")
 _SIGN_WITHIN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -33,12 +45,15 @@ _HAS_LETTER = re.compile(r"[^\W\d_]")
 def fold(text: str | None) -> str:
     """Lower-cased words of a text, one space before and after each, look-alikes, digits and signs inside words folded to letters.
 
-    Full-width forms become their ordinary letters; words of digits alone stay; signs at the edge of a word fall away.
+    Full-width, circled, mathematical and other forms become their ordinary letters (NFKC), unseen characters and marks that make no letter of their own go, look-alikes are told
+    before letters are lower-cased, and words spelled letter by letter (m.o.r.o.n) are joined. Words of digits alone stay; signs at the edge of a word fall away.
     """
-    s = (text or "").lower()
+    s = text or ""
     if not s.isascii():
-        s = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in s).lower().translate(_LOOKALIKES)
-    s = _SIGN_WITHIN.sub(lambda m: _SIGNS[m[0]], s)
+        s = _UNSEEN.sub("", unicodedata.normalize("NFKC", s))
+        if _FOREIGN.search(s):
+            s = s.translate(_LOOKALIKES)
+    s = _APART.sub(lambda m: _BETWEEN.sub("", m[0]), _SIGN_WITHIN.sub(lambda m: _SIGNS[m[0]], s.lower()))
     words = _WORD.findall(s)
     return f" {' '.join(w.translate(_DIGITS) if not w.isalpha() and _HAS_LETTER.search(w) else w for w in words)} " if words else " "
 
@@ -68,7 +83,10 @@ class Lexicon:
         return self.__dict__["_automaton"]
 
     def hits(self, folded: str) -> list[tuple[int, float]]:
-        """(place, weight) of each word that an entry matches and no exception phrase holds."""
+        """(place, weight) of each word that an entry matches and no exception phrase holds.
+
+        A word with accents that no entry matches is looked up without them.
+        """
         automaton = self.matcher()
         if not len(automaton):
             return []
@@ -82,6 +100,13 @@ class Lexicon:
                 exempt.append([start, end - 1])
             elif weight > best.get(start, 0):
                 best[start] = weight
+        if not folded.isascii() and (plain := folded.translate(_PLAIN)) != folded:
+            bare: dict[int, float] = {}
+            for end, (size, weight) in automaton.iter(plain):
+                start = end - size + 1
+                if weight is not None and start not in best and plain[start : end + 1] != folded[start : end + 1]:
+                    bare[start] = max(weight, bare.get(start, 0))
+            best |= bare
         out, k = [], 0
         for at, w in sorted(best.items()):
             while k < len(exempt) and exempt[k][1] <= at:
@@ -209,9 +234,12 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Lexicon:
     sound = (e for e, w in odds.items() if w >= 2.5 and _surprise(with1[e], with0.get(e, 0), n1 / (n1 + n0)) >= sure)
     ranked = sorted(sound, key=lambda e: (-with1[e] * odds[e], -len(e), e))
     weights: dict[str, float] = {}
+    lengthened: set[tuple] = set()  # beginnings of the entries taken, with the documents that these are in
     for e in ranked:
-        if not any(e.startswith(x) or x.startswith(e) and (with1[x], with0.get(x)) == (with1[e], with0.get(e)) for x in weights):
+        begins = [e[:k] for k in range(1, len(e) + 1)]
+        if weights.keys().isdisjoint(begins) and (e, with1[e], with0.get(e)) not in lengthened:
             weights[e] = round(odds[e], 4)
+            lengthened.update((b, with1[e], with0.get(e)) for b in begins)
     lexicon = Lexicon(weights, learned_from=(n0, n1))
     lexicon.exceptions = _exceptions(kept, lexicon)
     lexicon.curve = _curve(kept, lexicon)

@@ -190,7 +190,7 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 
 def test_toxicity(spark, sf_dir, docs, empty):
-    assert toxicity.fold("M0R0N!! you !d1ot tr@sh ｍｏｒｏｎ мoron") == " moron you diot trash moron мoron ".replace("мoron", toxicity.fold("мoron").strip())
+    assert toxicity.fold("M0R0N!! you !d1ot tr@sh ｍｏｒｏｎ мoron") == " moron you diot trash moron moron "
     lexicon = toxicity.Lexicon({" mor": 3.0, " trash ": 2.0}, [" trash can "])
     assert [w for _, w in lexicon.hits(toxicity.fold("Moronic trash can trash"))] == [3.0, 2.0] and not lexicon.hits(toxicity.fold("humor trashy"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
