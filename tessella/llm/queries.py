@@ -88,6 +88,14 @@ ORACLE_SQL = {
              g AS (SELECT folded, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY folded)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(folded) AS text_sha256
         FROM t JOIN g USING (folded)""",
+    # a checksum byte by byte, with the table of its polynomial
+    "op9_sharding": r"""
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+             b AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+             c AS (SELECT doc_id, bytes, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+             s AS (SELECT doc_id, bytes + 1 AS size, text_crc32, sum(bytes + 1) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) - bytes - 1 AS start, sum(bytes + 1) OVER () AS total FROM c),
+             p AS (SELECT *, (start::HUGEINT * 16 // total)::INTEGER AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p""",
     # phrases longer than three words aren't mined, so a pair is held by candidates of three words alone
     "op12_phrases": rf"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
