@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, unstage
+from .common import arrow_map, components, maybe_broadcast, mix, shingle_hashes, stage, tasks_for, unstage
 
 #: Entries that one bucket of the frequency check holds, about.
 BUCKET_ENTRIES = 1_000_000
@@ -19,6 +19,8 @@ BUCKET_ENTRIES = 1_000_000
 COSTLY = 16
 #: Sets whose signatures a task holds at once.
 SIGNED_SETS = 256
+#: Signatures of a set, about.
+SET_SIGNATURES = 20
 #: Rounds in which sets are held against pivots before pairs are, at most, and pivots that a signature offers in each but the first.
 PIVOT_ROUNDS, PIVOTS = 3, 4
 #: Sets that are compared with all others at once when their signatures can't meet the error budget.
@@ -376,40 +378,47 @@ def _hard_links(tokens: DataFrame, scheme: Scheme) -> DataFrame | None:
     return reduce(DataFrame.unionByName, out) if out else None
 
 
-def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, allocate: bool = True) -> list[DataFrame]:
+def paired_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme) -> DataFrame:
+    """Verified links among the ids that share a signature, of any kind, that few have; `signed` has (sig, id, n, u, x, y) and `tokens` (id, n, tokens)."""
+    a, b = (signed.select("sig", *(F.col(x).alias(f"{x}_{k}") for x in ("id", "n", "u", "x", "y"))) for k in "ab")
+    pairs = a.join(b, "sig").filter("id_a < id_b").filter(_possible(scheme, "_a", "_b") & _near_enough(scheme, "_a", "_b"))
+    return _verified(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), tokens, scheme)
+
+
+def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:
     """Verified links among the ids that share a signature of `scheme`, enough to connect every linked pair.
 
     `signed` has (sig, id, n, u), `tokens` (id, n, tokens, x, y), x and y being the parities of the tokens and u
     counting the tokens of a set that no other has. No group is gathered: each signature has a pivot, the set with the fewest tokens of its own, which its
     members join, and then a few others drawn by hash. Of a signature that several components and
-    many ids share, only the ids that can't do without it look for others there; without `allocate` the signatures may be
-    any, and all ids look for others in all of them.
+    many ids share, only the ids that can't do without it look for others there.
     """
+    few = tasks_for(SET_SIGNATURES * tokens.count())
     pivots = signed.groupBy("sig").agg(F.min(F.struct("u", "id", "n")).alias("p"), F.count("*").alias("many")).filter("many > 1")
     multi = signed.join(pivots, "sig").select("sig", "id", "n", "u", "many", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.u").alias("u_p"))
-    multi = stage(multi, "multi")
+    multi = stage(multi, "multi", tasks=few)
 
     # First each set against the one pivot that shares most signatures with it.
     stars = multi.filter("id <> pivot").filter(_possible(scheme, "", "_p")).groupBy("id", "pivot").agg(F.count("*").alias("c"))
-    tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("a")).select("a", F.col("id").alias("b")), "tried")
-    links = stage(_verified(tried, tokens, scheme), "links")
+    tried = stage(stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("a")).select("a", F.col("id").alias("b")), "tried", tasks=few)
+    links = stage(_verified(tried, tokens, scheme), "links", tasks=few)
 
     # Then, in signatures that still hold several components, each set against one of a few other pivots, as long as such rounds connect many of the sets.
     links, staged = [links], [multi, tried]
     for turn in range(PIVOT_ROUNDS):
         label = stage(components(reduce(DataFrame.unionByName, links)), "label")
-        marks = stage(tokens.select("id", "x", "y").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", F.coalesce("component", "id").alias("c")), "marks")
+        marks = stage(tokens.select("id", "x", "y").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "x", "y", F.coalesce("component", "id").alias("c")), "marks", tasks=few)
         named = multi.select("sig", "id", "n", "u", "many").join(maybe_broadcast(marks, marks.count()), "id")
         mixed = named.groupBy("sig").agg(F.min("c").alias("lowest"), F.max("c").alias("highest")).filter("lowest < highest").select("sig")
-        open_ = stage(named.join(mixed, "sig"), "open")
+        open_ = stage(named.join(mixed, "sig"), "open", tasks=few)
         staged += [label, marks, open_]
         if turn == PIVOT_ROUNDS - 1:
             break
         drawn = [F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS * turn + k)).alias("h"), *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))) for k in range(PIVOTS)]
         heads = open_.groupBy("sig").agg(F.array(*drawn).alias("p")).select("sig", F.explode("p").alias("p")).select("sig", "p.*")
         able = open_.join(heads, "sig").filter("c <> c_p").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p")).groupBy("id", "id_p").agg(F.count("*").alias("times"))
-        again = stage(able.groupBy("id").agg(F.max_by("id_p", F.struct("times", "id_p")).alias("a")).select("a", F.col("id").alias("b")), "tried")
-        more = stage(_verified(again, tokens, scheme), "links")
+        again = stage(able.groupBy("id").agg(F.max_by("id_p", F.struct("times", "id_p")).alias("a")).select("a", F.col("id").alias("b")), "tried", tasks=few)
+        more = stage(_verified(again, tokens, scheme), "links", tasks=few)
         tried = tried.unionByName(again)
         links.append(more)
         staged.append(again)
@@ -417,35 +426,34 @@ def colliding_links(signed: DataFrame, tokens: DataFrame, scheme: Scheme, alloca
             break
 
     # Last, pairs across components.
-    costly = F.col("many") > COSTLY if allocate else F.lit(False)
+    costly = F.col("many") > COSTLY
     a, b = (open_.filter(~costly).select("sig", *(F.col(x).alias(f"{x}_{k}") for x in ("id", "n", "u", "x", "y", "c"))) for k in "ab")
     pairs = a.join(b, "sig").filter("id_a < id_b AND c_a <> c_b").filter(_possible(scheme, "_a", "_b") & _near_enough(scheme, "_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    if allocate:
-
-        def choose(batches):
-            for batch in batches:
-                sig, most, ids, n, u = ([np.empty(0, np.int64)] for _ in range(5))
-                for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
-                    t = np.frombuffer(data, "<u8")
-                    given = np.array([x["sig"] for x in dear], np.int64).view(np.uint64)
-                    order = np.argsort(given)
-                    still, limit = scheme.unavoidable(t, k, given[order], np.array([x["many"] for x in dear], np.int64)[order])
-                    sig.append(still.view(np.int64)), most.append(limit), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k)), u.append(np.full(len(still), k - len(t)))
-                yield {"sig": np.concatenate(sig), "most": np.concatenate(most), "id": np.concatenate(ids), "n": np.concatenate(n), "u": np.concatenate(u)}
-
-        dear = open_.filter(costly).groupBy("id").agg(F.collect_list(F.struct("sig", "many")).alias("dear"))  # of one set
-        asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, most long, id long, n long, u long"), "asks")
-        askers = asks.join(marks, "id").select("sig", "most", *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))
-        asked = open_.filter(costly).join(askers, "sig").filter("c <> c_p AND u <= most AND (n > n_p OR n = n_p AND id > id_p)").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p"))
-        pairs = pairs.unionByName(asked.select(F.least("id_p", "id").alias("a"), F.greatest("id_p", "id").alias("b")))
-        staged.append(asks)
+
+    def choose(batches):
+        for batch in batches:
+            sig, most, ids, n, u = ([np.empty(0, np.int64)] for _ in range(5))
+            for i, k, data, dear in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), batch["dear"].to_pylist()):
+                t = np.frombuffer(data, "<u8")
+                given = np.array([x["sig"] for x in dear], np.int64).view(np.uint64)
+                order = np.argsort(given)
+                still, limit = scheme.unavoidable(t, k, given[order], np.array([x["many"] for x in dear], np.int64)[order])
+                sig.append(still.view(np.int64)), most.append(limit), ids.append(np.full(len(still), i)), n.append(np.full(len(still), k)), u.append(np.full(len(still), k - len(t)))
+            yield {"sig": np.concatenate(sig), "most": np.concatenate(most), "id": np.concatenate(ids), "n": np.concatenate(n), "u": np.concatenate(u)}
+
+    dear = open_.filter(costly).groupBy("id").agg(F.collect_list(F.struct("sig", "many")).alias("dear"))  # of one set
+    asks = stage(arrow_map(tokens.select("id", "n", "tokens").join(dear, "id"), choose, "sig long, most long, id long, n long, u long"), "asks", tasks=few)
+    askers = asks.join(marks, "id").select("sig", "most", *(F.col(x).alias(f"{x}_p") for x in ("id", "n", "u", "x", "y", "c")))
+    asked = open_.filter(costly).join(askers, "sig").filter("c <> c_p AND u <= most AND (n > n_p OR n = n_p AND id > id_p)").filter(_possible(scheme, "", "_p") & _near_enough(scheme, "", "_p"))
+    pairs = pairs.unionByName(asked.select(F.least("id_p", "id").alias("a"), F.greatest("id_p", "id").alias("b")))
+    staged.append(asks)
     across = pairs.distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage(_verified(across, tokens, scheme), "links")
+    more = stage(_verified(across, tokens, scheme), "links", tasks=few)
     unstage(*staged)
     return [*links, more]
 
 
-def comparable_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
+def comparable_sets(sets: DataFrame, scheme: Scheme, tasks: int | None = None) -> DataFrame:
     """(id, n, u, tokens, x, y) of the sets (id, n, tokens) that can link at all, staged.
 
     Of each set only the tokens that another has too are kept, all that an overlap can hold; a set without enough of them is left out. u counts
@@ -460,7 +468,7 @@ def comparable_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
             yield {"id": [i for i, _, _ in sets], "n": [n for _, n, _ in sets], "u": [n - len(t) for _, n, t in sets], "tokens": [t.astype("<u8").tobytes() for _, _, t in sets], "x": bits[:, 0], "y": bits[:, 1]}
 
     known = shared_tokens(sets).join(sets.select("id", "n").distinct(), "id").select("id", "n", "parts")
-    return stage(arrow_map(known, ready, "id long, n long, u long, tokens binary, x long, y long"), "comparable")
+    return stage(arrow_map(known, ready, "id long, n long, u long, tokens binary, x long, y long"), "comparable", tasks=tasks)
 
 
 def signature_links(tokens: DataFrame, scheme: Scheme) -> list[DataFrame]:

@@ -6,12 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, stage, unstage
-from .ngram_join import COSTLY, Scheme, colliding_links, comparable_sets, signature_links
+from .common import _LOWER, _POWERS, _WORDS, arrow_map, components, maybe_broadcast, mix, stage, tasks_for, unstage
+from .ngram_join import COSTLY, Scheme, comparable_sets, paired_links, shared_tokens, signature_links
 
 #: Words on either side that decide whether a piece ends at a word, and of the longest piece.
 REACH = 4
@@ -60,7 +59,7 @@ def _contents(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a text: their hashes, lower-cased in A-Z, their places in the UTF-8 bytes, and where lines begin among them."""
+    """The words of a text: their hashes, lower-cased in A-Z, their places in the UTF-8 bytes, and where lines end there."""
 
     def __init__(self, text: str):
         raw = text.encode("utf-8", "surrogatepass")
@@ -68,8 +67,7 @@ class Words:
         data = np.frombuffer(raw, np.uint8)
         space = np.r_[True, (data == 32) | ((data >= 9) & (data <= 13)), True]
         self.starts, self.ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-        line = np.searchsorted(np.flatnonzero(data == 10), self.starts)
-        self.lines = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
+        self.breaks = np.flatnonzero(data == 10)
 
     def shingles(self, width: int = 5) -> np.ndarray:
         """Hashes of the shingles at each word but the last few, equal to those of `shingle_hashes`."""
@@ -80,17 +78,19 @@ class Words:
         return mix(total)
 
     def long_lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, last + 1, content) of the lines that are compared."""
-        stop = np.r_[self.lines[1:], len(self.hashes)]
-        keep = stop - self.lines >= MIN_PASSAGE_WORDS
-        return self.lines[keep], stop[keep], _contents(self.hashes, self.lines)[keep]
+        """(first word, last + 1, content) of the lines that are compared, of a text with words."""
+        line = np.searchsorted(self.breaks, self.starts)
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        stop = np.r_[first[1:], len(self.hashes)]
+        keep = stop - first >= MIN_PASSAGE_WORDS
+        return first[keep], stop[keep], _contents(self.hashes, first)[keep]
 
 
 def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """The pieces and paragraphs of every text: (doc_id, kind, start, end, at, words, content, keys).
 
     start and end are byte places in the UTF-8 text, at is the place of the first word among the words; keys, of paragraphs only, are the band keys of its
-    MinHash values.
+    MinHash values, 64 bits each.
     """
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     keyed = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -99,16 +99,15 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         """Keys of the paragraphs of a whole batch: its shingles one after the other, and where those of each paragraph begin and end."""
         s, cuts = np.concatenate([*shingles, np.zeros(1, np.uint64)]), np.concatenate(cuts)
         least = np.stack([np.minimum.reduceat((s ^ (seed >> np.uint64(7))) * seed, cuts)[::2] for seed in seeds], axis=1).reshape(len(cuts) // 2, bands, rows)
-        return mix(least.sum(axis=2, dtype=np.uint64) + keyed).view(np.int64).ravel()
+        return mix(least.sum(axis=2, dtype=np.uint64) + keyed).astype("<u8")
 
     def batch(kind, ids, starts, ends, at, words, contents, keys):
         sizes = [len(x) for x in starts]
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         count = sum(sizes)
-        lists = pa.nulls(count, pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(keys))
         return {
             "doc_id": np.repeat(np.array(ids, np.int64), sizes), "kind": [kind] * count, "start": join(starts, np.int32), "end": join(ends, np.int32),
-            "at": join(at, np.int32), "words": join(words, np.int32), "content": join(contents, np.int64), "keys": lists,
+            "at": join(at, np.int32), "words": join(words, np.int32), "content": join(contents, np.int64), "keys": [None] * count if keys is None else [x.tobytes() for x in keys],
         }
 
     def cut(batches):
@@ -130,10 +129,10 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     for to, v in zip(lines, (d, w.starts[x], w.ends[y - 1], x, y - x, content)):
                         to.append(v)
             yield batch("piece", *pieces, None)
-            yield batch("paragraph", *lines, band_keys(shingles, cuts) if cuts else np.empty(0, np.int64))
+            yield batch("paragraph", *lines, band_keys(shingles, cuts) if cuts else [])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(source, cut, "doc_id long, kind string, start int, end int, at int, words int, content long, keys array<long>")
+    return arrow_map(source, cut, "doc_id long, kind string, start int, end int, at int, words int, content long, keys binary")
 
 
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -156,73 +155,92 @@ def _paragraph_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFr
     return arrow_map(rows, cut, "id long, n long, tokens binary")
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """(doc_id, at, left, left_places, right, right_places) of pieces given as (doc_id, at, words): the hashes of the words on either side, outwards, and where
-    these begin (left) or end (right) in the bytes.
+def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, edge, on_right, hashes, places) of places given as (doc_id, edge, on_right): the hashes of the words before word `edge`, or from there on if on_right,
+    outwards, and how many bytes from the start of word `edge` each ends; 16 bits a place where that is enough.
 
     A side has at most `MAX_UNIT_WORDS` words, the most that a piece has: were more of a side repeated, it would hold a whole repeated piece.
     """
-    own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("asked"))  # of one document
+    own = wanted.groupBy("doc_id").agg(F.collect_list(F.when(F.col("on_right"), F.col("edge")).otherwise(-1 - F.col("edge"))).alias("asked"))  # of one document
 
     def read(batches):
         for b in batches:
-            out = {n: [] for n in ("doc_id", "at", "left", "left_places", "right", "right_places")}
+            out = {n: [] for n in ("doc_id", "edge", "on_right", "hashes", "places")}
             for d, t, asked in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["asked"].to_pylist()):
                 w = Words(t or "")
                 for x in asked:
-                    at, to = x["at"], x["at"] + x["words"]
-                    if to > len(w.hashes):  # another row of this doc_id
+                    right, edge = x >= 0, x if x >= 0 else -1 - x
+                    if edge + (not right) > len(w.hashes):  # another row of this doc_id
                         continue
-                    before, after = slice(max(0, at - MAX_UNIT_WORDS), at), slice(to, to + MAX_UNIT_WORDS)
-                    row = (d, at, w.hashes[before][::-1].tobytes(), w.starts[before][::-1].astype("<i4").tobytes(), w.hashes[after].tobytes(), w.ends[after].astype("<i4").tobytes())
+                    if right:
+                        hashes, places = w.hashes[edge : edge + MAX_UNIT_WORDS], w.ends[edge : edge + MAX_UNIT_WORDS] - w.starts[edge : edge + 1]
+                    else:
+                        before = slice(max(0, edge - MAX_UNIT_WORDS), edge)
+                        hashes, places = w.hashes[before][::-1], w.starts[edge] - w.starts[before][::-1]
+                    if not len(hashes):
+                        continue
+                    row = (d, edge, right, hashes.tobytes(), places.astype("<u2" if places[-1] < 1 << 16 else "<u4").tobytes())
                     for column, v in zip(out.values(), row):
                         column.append(v)
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(own, n_wanted), "doc_id").select("doc_id", "text", "asked")
-    return arrow_map(rows, read, "doc_id long, at int, left binary, left_places binary, right binary, right_places binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id").select("doc_id", "text", "asked")
+    return arrow_map(rows, read, "doc_id long, edge int, on_right boolean, hashes binary, places binary")
 
 
-def _extensions(docs: DataFrame, same: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(marks, staged tables): the words on both sides of repeated pieces that are repeated too, up to the first that differs from those in the document that stays.
+def _extensions(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """Marks of the words on both sides of repeated pieces that are repeated too, up to the first that differs from those in the document that stays, staged.
 
-    `same` has the repeated pieces (doc_id, start, end, at, words, keep, component). Only the ends of runs of pieces are looked at.
+    `same` has the repeated pieces (doc_id, start, end, at, words, keep, component). Only the ends of runs of pieces are looked at, each on its own.
     """
+    most = tasks_for(same.count())
     order = Window.partitionBy("doc_id").orderBy("at", "words")
     ends = same.filter("doc_id <> keep").withColumns({"on_left": F.lag(F.col("at") + F.col("words")).over(order), "on_right": F.lead("at").over(order)})
     ends = ends.withColumns({"on_left": F.coalesce(F.col("on_left") < F.col("at"), F.lit(True)), "on_right": F.coalesce(F.col("on_right") > F.col("at") + F.col("words"), F.lit(True))})
-    ends = ends.filter("on_left OR on_right").select("doc_id", "start", "end", "at", "words", "keep", "component", "on_left", "on_right").distinct()
-    kept = same.filter("doc_id = keep").select("component", F.col("start").alias("kept_start"), F.col("end").alias("kept_end"), F.col("at").alias("kept_at"), F.col("words").alias("kept_words")).distinct()
-    pairs = stage(ends.join(kept, "component"), "ends")
-    wanted = stage(pairs.select("doc_id", "at", "words").unionByName(pairs.select(F.col("keep").alias("doc_id"), F.col("kept_at").alias("at"), F.col("kept_words").alias("words"))).distinct(), "asked")
-    around = stage(_surroundings(docs, wanted, wanted.count()), "around", compression="zstd")
-    sides = ("left", "left_places", "right", "right_places")
-    whole = pairs.join(around, ["doc_id", "at"]).join(around.select(F.col("doc_id").alias("keep"), F.col("at").alias("kept_at"), *(F.col(c).alias(f"kept_{c}") for c in sides)), ["keep", "kept_at"])
+    ends = ends.withColumn("on_right", F.explode(F.expr("filter(array(false, true), x -> if(x, on_right, on_left))")))
+    edge, byte = F.when(F.col("on_right"), F.col("at") + F.col("words")).otherwise(F.col("at")).alias("edge"), F.when(F.col("on_right"), F.col("end")).otherwise(F.col("start")).alias("byte")
+    ends = ends.select("doc_id", edge, "on_right", byte, "keep", "component").distinct()
+    kept = same.filter("doc_id = keep").withColumn("on_right", F.explode(F.array(F.lit(False), F.lit(True))))
+    kept = kept.select("component", edge.alias("kept_edge"), "on_right", byte.alias("kept_byte")).distinct()
+    pairs = stage(ends.join(kept, ["component", "on_right"]), "ends", tasks=most)
+    wanted = stage(pairs.select("doc_id", "edge", "on_right").unionByName(pairs.select(F.col("keep").alias("doc_id"), F.col("kept_edge").alias("edge"), "on_right")).distinct(), "asked", tasks=most)
+    around = stage(_surroundings(docs, wanted), "around", tasks=2 * most, compression="zstd")
+    there = around.select(F.col("doc_id").alias("keep"), F.col("edge").alias("kept_edge"), "on_right", F.col("hashes").alias("kept_hashes"), F.col("places").alias("kept_places"))
+    whole = pairs.join(around, ["doc_id", "edge", "on_right"]).join(there, ["keep", "kept_edge", "on_right"])
+    names = ("doc_id", "edge", "byte", "hashes", "places")
 
     def compare(batches):
-        names = ("doc_id", "start", "end", "at", "words", "keep", "component")
         for b in batches:
-            out = {n: [] for n in names}
-            rows = [dict(zip(b, values)) for values in zip(*(c.to_pylist() for c in b.values()))]
-            for r in rows:
-                for side in ("left", "right"):
-                    if not r[f"on_{side}"]:
-                        continue
-                    x, y = (np.frombuffer(r[n], np.uint64) for n in (side, f"kept_{side}"))
-                    n = min(len(x), len(y))
-                    differ = np.flatnonzero(x[:n] != y[:n])
-                    n = int(differ[0]) if len(differ) else n
-                    if not n:
-                        continue
-                    for doc, prefix, start, end, at, words in ((r["doc_id"], "", r["start"], r["end"], r["at"], r["words"]), (r["keep"], "kept_", r["kept_start"], r["kept_end"], r["kept_at"], r["kept_words"])):
-                        place = int(np.frombuffer(r[f"{prefix}{side}_places"], "<i4")[n - 1])
-                        row = (doc, place, start, at - n, n, r["keep"], r["component"]) if side == "left" else (doc, end, place, at + words, n, r["keep"], r["component"])
-                        for column, v in zip(out.values(), row):
-                            column.append(v)
+            out = {n: [] for n in ("doc_id", "start", "end", "at", "words", "keep", "component")}
+            values = (b[x].to_pylist() for x in ("keep", "component", "on_right", *names, "kept_edge", "kept_byte", "kept_hashes", "kept_places"))
+            for keep, component, right, doc, edge, byte, own, places, kept_edge, kept_byte, other, kept_places in zip(*values):
+                if own[:8] != other[:8]:
+                    continue
+                n = min(len(own), len(other)) // 8
+                differ = np.flatnonzero(np.frombuffer(own, np.uint64, n) != np.frombuffer(other, np.uint64, n))
+                n = int(differ[0]) if len(differ) else n
+                for d, e, at_byte, far, count in ((doc, edge, byte, places, len(own) // 8), (keep, kept_edge, kept_byte, kept_places, len(other) // 8)):
+                    far = int(np.frombuffer(far, f"<u{len(far) // count}")[n - 1])
+                    row = (d, at_byte, at_byte + far, e, n, keep, component) if right else (d, at_byte - far, at_byte, e - n, n, keep, component)
+                    for column, v in zip(out.values(), row):
+                        column.append(v)
             yield out
 
-    marks = arrow_map(whole.select("doc_id", "start", "end", "at", "words", "keep", "component", "on_left", "on_right", "kept_start", "kept_end", "kept_at", "kept_words", *sides, *(f"kept_{c}" for c in sides)), compare, "doc_id long, start int, end int, at int, words int, keep long, component long")
-    return stage(marks, "extensions"), [pairs, wanted, around]
+    marks = arrow_map(whole.select("keep", "component", "on_right", *names, "kept_edge", "kept_byte", "kept_hashes", "kept_places"), compare, "doc_id long, start int, end int, at int, words int, keep long, component long")
+    marks = stage(marks, "extensions", tasks=2 * most)
+    unstage(pairs, wanted, around)
+    return marks
+
+
+def _colliding(firsts: DataFrame) -> DataFrame:
+    """(sig, id): the band keys that several of the paragraphs (content, keys), each given once, have in common."""
+
+    def part(batches):
+        for b in batches:
+            keys = [np.frombuffer(b"".join(x), "<u8").view(np.int64) for x in b["parts"].to_pylist()]
+            yield {"sig": np.concatenate([*keys, np.empty(0, np.int64)]), "id": np.repeat(b["id"].to_numpy(), [len(x) for x in keys])}
+
+    return arrow_map(shared_tokens(firsts.select(F.col("content").alias("id"), F.col("keys").alias("tokens"))), part, "sig long, id long")
 
 
 def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100), recall: float = 0.995, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
@@ -242,32 +260,34 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
     """
     bands, rows = tune_bands(similarity[0] / similarity[1], recall)
     units = stage(_units(docs, bands, rows), "units")
+    most = tasks_for(units.count())
     pieces = units.filter("kind = 'piece'").select("doc_id", "start", "end", "at", "words", "content")
     lines = units.filter("kind = 'paragraph'")
 
     spread = pieces.groupBy("content").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).filter("keep < last").select("content", "keep")
-    spread = stage(spread, "spread")
-    same = stage(pieces.join(maybe_broadcast(spread, spread.count()), "content").select("doc_id", "start", "end", "at", "words", "keep", F.col("content").alias("component")), "same")
-    longer, read = _extensions(docs, same)
+    spread = stage(spread, "spread", tasks=most)
+    same = stage(pieces.join(spread, "content").select("doc_id", "start", "end", "at", "words", "keep", F.col("content").alias("component")), "same", tasks=most)
+    unstage(spread)
+    longer = _extensions(docs, same)
 
     # Paragraphs that collide in a band; of these, those that have enough shingles in common with others to link at all.
-    firsts = lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), *(F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)))
-    firsts = stage(firsts, "firsts")
-    signed = firsts.select(F.explode(F.array(*(f"k{i}" for i in range(bands)))).alias("sig"), F.col("content").alias("id"))
-    shared = signed.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("sig")
-    colliding = stage(signed.join(shared, "sig"), "colliding")
-    wanted = stage(colliding.select(F.col("id").alias("content")).distinct().join(firsts, "content").select("doc_id", "content"), "wanted")
+    firsts = stage(lines.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys")), "firsts", tasks=most)
+    colliding = stage(_colliding(firsts), "colliding", tasks=most)
+    wanted = stage(colliding.select(F.col("id").alias("content")).distinct().join(firsts.select("content", "doc_id"), "content").select("doc_id", "content"), "wanted", tasks=most)
+    unstage(firsts)
     scheme = Scheme(*similarity)
-    sets = stage(_paragraph_sets(docs, wanted, wanted.count()), "tokens")
-    tokens = comparable_sets(sets, scheme)
+    sets = stage(_paragraph_sets(docs, wanted, wanted.count()), "tokens", tasks=most)
+    tokens = comparable_sets(sets, scheme, most)
+    unstage(wanted, sets)
 
     # Bands that few paragraphs share are joined pair by pair; paragraphs in others find each other by exact signatures.
-    banded = stage(colliding.join(maybe_broadcast(tokens.select("id", "n", "u"), tokens.count()), "id"), "left")
+    banded = stage(colliding.join(maybe_broadcast(tokens.select("id", "n", "u", "x", "y"), tokens.count()), "id"), "left", tasks=most)
     many = banded.groupBy("sig").agg(F.count("*").alias("many")).filter("many > 1")
-    left = stage(banded.join(many, "sig"), "bands")
-    links = colliding_links(left.filter(F.col("many") <= COSTLY).drop("many"), tokens, scheme, allocate=False)
-    crowded = stage(tokens.join(left.filter(F.col("many") > COSTLY).select("id").distinct(), "id", "left_semi"), "crowded")
-    links += signature_links(crowded, scheme)
+    left = stage(banded.join(many, "sig"), "bands", tasks=most)
+    unstage(colliding, banded)
+    crowded = stage(tokens.join(left.filter(F.col("many") > COSTLY).select("id").distinct(), "id", "left_semi"), "crowded", tasks=most)
+    links = [stage(paired_links(left.filter(F.col("many") <= COSTLY), tokens, scheme), "links", tasks=most), *signature_links(crowded, scheme)]
+    unstage(tokens, left, crowded)
     label = stage(components(reduce(DataFrame.unionByName, links)), "label")
     labelled = lines.select("doc_id", "start", "end", "at", "words", "content").join(maybe_broadcast(label.withColumnRenamed("node", "content"), label.count()), "content", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "content"))
@@ -285,8 +305,8 @@ def repeated_passages(docs: DataFrame, similarity: tuple[int, int] = (75, 100),
         F.min("component").alias("component"),
         F.min("keep").alias("keep_doc_id"),
     )
-    passages = stage(passages.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "component", "keep_doc_id", "removed"), "passages")
-    unstage(units, spread, firsts, colliding, wanted, sets, tokens, banded, left, crowded, label, same, longer, *read, *links)
+    passages = stage(passages.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "component", "keep_doc_id", "removed"), "passages", tasks=most)
+    unstage(units, label, same, longer, *links)
     return passages
 
 
