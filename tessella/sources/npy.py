@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -115,16 +116,20 @@ class NpyWriter(DataSourceArrowWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        keys, values = [], []
+        keys, values, widths = [], [], set()
         for batch in iterator:
             column = batch.column("embedding")
             if column.null_count:
                 raise ValueError("a row without a vector can't be stored in a matrix")
+            widths.update(pc.list_value_length(column).unique().to_pylist())
+            if len(widths) > 1:
+                raise ValueError("vectors of several widths can't be stored in a matrix")
             keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            values += column.to_pylist()
-        matrix = np.array(values, np.float32).reshape(len(values), -1)
-        rows = np.empty(len(values), np.dtype([("key", "<i8"), ("embedding", "<f4", (matrix.shape[1],))]))
-        rows["key"], rows["embedding"] = np.concatenate([*keys, np.empty(0, np.int64)]), matrix
+            values.append(column.flatten().to_numpy(zero_copy_only=False))
+        n, width = sum(map(len, keys)), max(widths, default=0)
+        rows = np.empty(n, np.dtype([("key", "<i8"), ("embedding", "<f4", (width,))]))
+        if n:  # a task may have no rows
+            rows["key"], rows["embedding"] = np.concatenate(keys), np.concatenate(values).reshape(n, width)
         data = io.BytesIO()
         np.save(data, rows)
         system, inner = _open(self.path)

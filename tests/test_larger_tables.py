@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 from parity import differences
 from pyspark.sql import functions as F
 from tessella.plans import ORACLE_SQL, QUERIES
+from tessella.sources import npy
 
 
 def repeated(spark, sf_dir, tmp_path, table: str, key: str, times: int):
@@ -22,3 +24,12 @@ def repeated(spark, sf_dir, tmp_path, table: str, key: str, times: int):
 def test_resize_outcomes_of_pictures_without_a_height(spark, sf_dir, tmp_path):
     folder, con = repeated(spark, sf_dir, tmp_path, "part", "p_partkey", 4)
     assert differences(spark, con, QUERIES["resize_outcomes"], ORACLE_SQL["resize_outcomes"], folder) == ""
+
+
+@pytest.mark.parametrize("rows", [3, 0])
+def test_npy_files_of_tasks_without_rows(spark, tmp_path, rows):
+    table = spark.range(0, rows, 1, 8).select("id", F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("embedding"))
+    npy.write_npy(table, f"file://{tmp_path}/few", "id")
+    assert sorted((r["key"], *r["embedding"]) for r in npy.read_npy(spark, f"file://{tmp_path}/few").collect()) == [(i, i, 0.5) for i in range(rows)]
+    with pytest.raises(Exception, match="several widths"):
+        npy.write_npy(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>").coalesce(1), f"file://{tmp_path}/ragged", "id")
