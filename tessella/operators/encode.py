@@ -32,14 +32,14 @@ def device(cuda: Column, mps: Column) -> Column:
 def as_matrix(output) -> np.ndarray:
     """The vectors in a model's output: an array, or the first present field of a mapping or object; of one with a place for each token, the first token.
 
-    Of a list of layers the last one counts.
+    Of a list of layers, which only `hidden_states` can be, the last one counts.
     """
     given = output.get if isinstance(output, dict) else lambda n: getattr(output, n, None)
     if not isinstance(output, (np.ndarray, list, tuple)):
-        found = next((given(n) for n in OUTPUTS if given(n) is not None), None)
+        name, found = next(((n, given(n)) for n in OUTPUTS if given(n) is not None), (None, None))
         if found is None:
             raise RuntimeError(f"{type(output).__name__} has no field that holds vectors")
-        output = found[-1] if isinstance(found, (list, tuple)) and np.ndim(found[-1]) >= 2 else found
+        output = found[-1] if name == "hidden_states" and isinstance(found, (list, tuple)) and np.ndim(found[-1]) >= 2 else found
     matrix = np.asarray(output, np.float64)
     return matrix[:, 0] if matrix.ndim == 3 else matrix
 
@@ -81,7 +81,8 @@ def encode_column(rows: DataFrame, key: str, column: str, build, batch_size: int
                         except RuntimeError as error:
                             vectors.append(None)
                             errors.append(str(error))
-                unit = [None if v is None else [float(x) / max(sum(float(y) ** 2 for y in v) ** 0.5, 1e-12) for x in v] for v in vectors]
+                norms = [None if v is None else max(sum(float(y) ** 2 for y in v) ** 0.5, 1e-12) for v in vectors]
+                unit = [None if v is None else [float(x) / norm for x in v] for v, norm in zip(vectors, norms)]
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": unit, "error": errors})
 
     kind = dict(rows.dtypes)[key]

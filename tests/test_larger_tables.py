@@ -33,3 +33,10 @@ def test_npy_files_of_tasks_without_rows(spark, tmp_path, rows):
     assert sorted((r["key"], *r["embedding"]) for r in npy.read_npy(spark, f"file://{tmp_path}/few").collect()) == [(i, i, 0.5) for i in range(rows)]
     with pytest.raises(Exception, match="several widths"):
         npy.write_npy(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<float>").coalesce(1), f"file://{tmp_path}/ragged", "id")
+
+
+def test_encoded_batches_that_begin_at_any_key(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 100").orderBy("vec_id").withColumn("vec_id", F.col("vec_id") + 9).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert differences(spark, con, QUERIES["encode_with_retry"], ORACLE_SQL["encode_with_retry"], str(tmp_path)) == ""
