@@ -7,8 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import checkpointed, python_batches
+
 #: Keys of a posting list: the list of a run is cut where keys pass a multiple of this, so that none grows with the table.
 BLOCK_KEYS = 1 << 16
+#: Texts or lists that Python gets at a time; postings and lists of a task that wait to be sent, and candidates.
+RECORDS = 256
+WAITING, WAITING_LISTS = 1 << 21, 1 << 18
 
 
 def delta_code(ids: np.ndarray) -> bytes:
@@ -46,52 +51,84 @@ def needed(needle: str) -> set[str]:
 def build(rows: DataFrame, path: str, key: str, text: str = "text") -> None:
     """Write the index of `rows` (a whole `key` from 0 on and a text, lower-cased; nulls hold nothing) below `path`, in order of runs.
 
-    Tasks send a partial list of each run and block of keys, not a row for each run of each text; a list is bounded by its block.
+    Tasks send a partial list of each run and block of keys, not a row for each run of each text; a list is bounded by its block. What a task holds is
+    bounded too: it sends its lists whenever so many postings wait, and lists are joined one at a time.
     """
 
+    def coded(lists: dict[tuple[str, int], list[int]]) -> pd.DataFrame:
+        return pd.DataFrame({"run": [r for r, _ in lists], "block": [b for _, b in lists], "ids": [delta_code(np.unique(v)) for v in lists.values()]})
+
     def partial(batches):
+        lists: dict[tuple[str, int], list[int]] = {}
+        waiting = 0
         for pdf in batches:
-            lists: dict[tuple[str, int], list[int]] = {}
             for k, t in zip(pdf["key"], pdf["text"]):
                 block, place = divmod(int(k), BLOCK_KEYS)
-                for run in runs(t):
+                found = runs(t)
+                for run in found:
                     lists.setdefault((run, block), []).append(place)
-            if lists:
-                yield pd.DataFrame({"run": [r for r, _ in lists], "block": [b for _, b in lists], "ids": [delta_code(np.unique(v)) for v in lists.values()]})
+                waiting += len(found)
+                if waiting >= WAITING or len(lists) >= WAITING_LISTS:
+                    yield coded(lists)
+                    lists, waiting = {}, 0
+        if lists:
+            yield coded(lists)
 
     def join(batches):
         for pdf in batches:
-            ids = [np.unique(np.concatenate([delta_decode(x) for x in several])) for several in pdf["parts"]]
-            yield pd.DataFrame({"run": pdf["run"], "block": pdf["block"], "n": [len(x) for x in ids], "ids": [delta_code(x) for x in ids]})
+            out = []
+            for several in pdf["parts"]:
+                ids = np.unique(np.concatenate([delta_decode(x) for x in several]))
+                out.append((len(ids), delta_code(ids)))
+            yield pd.DataFrame({"run": pdf["run"], "block": pdf["block"], "n": [n for n, _ in out], "ids": [x for _, x in out]})
 
     source = rows.select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text")).filter("key >= 0 AND text IS NOT NULL")
     lists = source.mapInPandas(partial, "run string, block long, ids binary").groupBy("run", "block").agg(F.collect_list("ids").alias("parts"))
     index = lists.mapInPandas(join, "run string, block long, n int, ids binary")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index.repartitionByRange(parts, "run", "block").sortWithinPartitions("run", "block").write.mode("overwrite").parquet(path)
+    with python_batches(rows.sparkSession, RECORDS):
+        index.repartitionByRange(parts, "run", "block").sortWithinPartitions("run", "block").write.mode("overwrite").parquet(path)
 
 
 def candidates(spark: SparkSession, path: str, needles: DataFrame) -> DataFrame:
-    """(needle_id, key): the texts that hold all runs of a needle (needle_id, needle); null and empty needles have none."""
+    """(needle_id, key): the texts that hold all runs of a needle (needle_id, needle); null and empty needles have none.
+
+    The lists of a needle and block meet one after another, the shortest first, so that a task holds what they share and no row for each key of each list.
+    """
 
     def exploded(batches):
         for pdf in batches:
             out = [(i, r, n) for i, t in zip(pdf["needle_id"], pdf["needle"]) for found in [needed(t)] for n in [len(found)] for r in sorted(found)]
             yield pd.DataFrame(out, columns=["needle_id", "run", "wanted"])
 
-    def opened(batches):
+    def shared(batches):
+        group, met, left = None, 0, np.empty(0, np.int64)
+        ready, size = [], 0
         for pdf in batches:
-            ids = [delta_decode(x) for x in pdf["ids"]]
-            times = [len(x) for x in ids]
-            yield pd.DataFrame({
-                "needle_id": np.repeat(pdf["needle_id"].to_numpy(), times), "wanted": np.repeat(pdf["wanted"].to_numpy(), times),
-                "key": np.concatenate([*ids, np.empty(0, np.int64)]) + np.repeat(pdf["block"].to_numpy() * BLOCK_KEYS, times),
-            })
+            for needle, block, wanted, data in zip(pdf["needle_id"], pdf["block"], pdf["wanted"], pdf["ids"]):
+                if (needle, block) != group:
+                    group, met, left = (needle, block), 0, delta_decode(data)
+                elif len(left):
+                    left = np.intersect1d(left, delta_decode(data), assume_unique=True)
+                met += 1
+                if met == wanted and len(left):
+                    ready.append((needle, left + block * BLOCK_KEYS))
+                    size += len(left)
+                    if size >= WAITING_LISTS:
+                        yield frame(ready)
+                        ready, size = [], 0
+        if ready:
+            yield frame(ready)
+
+    def frame(ready):
+        return pd.DataFrame({"needle_id": np.repeat([n for n, _ in ready], [len(k) for _, k in ready]), "key": np.concatenate([k for _, k in ready])})
 
     asked = needles.select(F.col("needle_id").cast("long").alias("needle_id"), F.lower("needle").alias("needle")).filter("needle <> ''")
     asked = asked.mapInPandas(exploded, "needle_id long, run string, wanted int")
-    met = spark.read.parquet(path).join(asked, "run").select("needle_id", "wanted", "block", "ids").mapInPandas(opened, "needle_id long, wanted int, key long")
-    return met.groupBy("needle_id", "key").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted")).filter("n = wanted").select("needle_id", "key")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = spark.read.parquet(path).join(asked, "run").select("needle_id", "block", "wanted", "n", "ids").repartition(parts, "needle_id", "block")
+    with python_batches(spark, RECORDS):
+        return checkpointed(met.sortWithinPartitions("needle_id", "block", "n").mapInPandas(shared, "needle_id long, key long"))
 
 
 def search(path: str, rows: DataFrame, needles: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -99,4 +136,4 @@ def search(path: str, rows: DataFrame, needles: DataFrame, key: str, text: str =
     found = candidates(rows.sparkSession, path, needles)
     texts = rows.select(F.col(key).cast("long").alias("key"), F.lower(text).alias("_text"))
     asked = needles.select(F.col("needle_id").cast("long").alias("needle_id"), F.lower("needle").alias("_needle"))
-    return found.join(texts, "key").join(asked, "needle_id").filter(F.contains("_text", "_needle")).select("needle_id", F.col("key").alias(key))
+    return found.join(asked, "needle_id").join(texts, "key").filter(F.contains("_text", "_needle")).select("needle_id", F.col("key").alias(key))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from parity import differences
 from pyspark.sql import functions as F
+from tessella.operators import text_index
 from tessella.plans import ORACLE_SQL, QUERIES
 from tessella.sources import npy
 
@@ -40,3 +41,24 @@ def test_encoded_batches_that_begin_at_any_key(spark, sf_dir, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert differences(spark, con, QUERIES["encode_with_retry"], ORACLE_SQL["encode_with_retry"], str(tmp_path)) == ""
+
+
+def test_lists_of_a_needle_meet_without_a_row_for_each_key(spark, tmp_path):
+    needle = "abcdefghijklmnopqrstuvwxyz0123456789"
+    docs = spark.range(0, 6000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, needle).otherwise(needle[1:]).alias("text"))
+    path, asked = f"file://{tmp_path}/index", spark.createDataFrame([(1, needle)], "needle_id long, needle string")
+    text_index.build(docs, path, "doc_id")
+    context = spark.sparkContext
+    context.setJobGroup("lists of a needle", "")
+    try:
+        found = text_index.candidates(spark, path, asked).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["key"] for r in found) == list(range(0, 6000, 2))
+    sent, tracker = [], context.statusTracker()
+    for job in tracker.getJobIdsForGroup("lists of a needle"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            info = tracker.getStageInfo(stage)
+            if info is not None and info.numCompletedTasks:
+                sent.append(context._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords())
+    assert 0 < max(sent) < 500
