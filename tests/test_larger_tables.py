@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from parity import differences
 from pyspark.sql import functions as F
-from tessella.operators import text_index
+from tessella.operators import neighbours, text_index
 from tessella.plans import ORACLE_SQL, QUERIES
 from tessella.sources import npy
 
@@ -62,3 +62,23 @@ def test_lists_of_a_needle_meet_without_a_row_for_each_key(spark, tmp_path):
             if info is not None and info.numCompletedTasks:
                 sent.append(context._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords())
     assert 0 < max(sent) < 500
+
+
+def test_neighbours_by_the_method_of_less_work(spark, monkeypatch):
+    for name in ("knn_graph", "descent_graph"):
+        monkeypatch.setattr(neighbours, name, lambda *_, name=name: name)
+    assert [neighbours.neighbours(None, k, "vec_id", n) for k, n in ((15, 2048), (15, 10_000), (90, 12_000), (90, 1_000_000))] == ["knn_graph", "descent_graph", "knn_graph", "descent_graph"]
+
+
+def test_a_round_of_descent_gets_few_nodes_at_a_time(spark, monkeypatch):
+    held, real = [], neighbours.checkpointed
+
+    def seen(df):
+        held.append(("MapInPandas" in df._jdf.queryExecution().executedPlan().toString(), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+        return real(df)
+
+    monkeypatch.setattr(neighbours, "checkpointed", seen)
+    table = spark.range(0, 200, 1, 2).select(F.col("id").alias("vec_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"))
+    assert neighbours.descent_graph(table, 5, rounds=2).count() == 1000
+    rounds = [records for python, records in held if python][1:]  # the first is the start, pair by pair
+    assert rounds and max(rounds) <= 64
